@@ -171,6 +171,7 @@ def by_owner(sent: DataFrame, fn: Callable[[list[bytes]], list[bytes]]) -> DataF
     """``fn`` gets all payloads of a bucket and returns an answer to each."""
 
     def owner(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk")
         answers = fn(t["payload"].to_pylist())
         return rows(list(zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(), answers)))
 

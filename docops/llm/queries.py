@@ -7,16 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .block_dedup import dedup_blocks
+from .decontaminate import contaminated
+from . import host_rules
 from .shared import documents
+from .suffix_dedup import dedup_suffixes
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_suffixes(documents(spark, sf_dir))
 
 
 def op5_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_blocks(documents(spark, sf_dir))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.host_rules(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_block_dedup,)}
+    return {f.__name__: f for f in (op2_suffix_dedup, op5_block_dedup, op7_decontaminate, op9_host_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_host_rules": host_rules.ORACLE}
