@@ -171,13 +171,14 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = 512, pivo
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than k words the whole sequence is the one
     shingle; a null, empty or blank text has an empty set, linked with nothing.  Repeated rows of one doc_id each give
-    a row of the same component if their sets are alike; rows without doc_id are left out; other columns are ignored.
+    a row of the same component (they should be of one text); rows without doc_id are left out; other columns are ignored.
     """
     spark = docs.sparkSession
     sets = stored(shingle_sets(docs, k, percent), "sets")
     # one set for all equal ones
     reps = stored(sets.where("tokens IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rid")), "reps")
-    distinct = sets.where("tokens IS NOT NULL").join(reps, ["s1", "s2"]).where("doc_id = rid").dropDuplicates(["rid"])
+    own = sets.where("tokens IS NOT NULL").withColumnRenamed("doc_id", "rid").select("rid", "n", "prefix", "tokens")
+    distinct = own.join(reps.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
     prefix = distinct.select("rid", F.explode("prefix").alias("token"))
     roots = prefix.groupBy("token").agg(F.min("rid").alias("root"), F.count("*").alias("c")).where("c > 1").drop("c")
     near = components(prefix.join(roots, "token").where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))

@@ -6,31 +6,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import host_rules, license_scan, toxicity
+from .best_fit import packed
 from .block_dedup import dedup_blocks
 from .decontaminate import contaminated
-from . import host_rules
+from .ngram_join import linked
+from .quality_lm import quality
 from .shared import documents
 from .suffix_dedup import dedup_suffixes
+from .token_files import token_files
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(documents(spark, sf_dir), k=4, percent=85)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_suffixes(documents(spark, sf_dir))
 
 
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op5_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_blocks(documents(spark, sf_dir))
 
 
+def op6_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.host_rules(documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return license_scan.scan(docs, license_scan.fit(docs))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_suffix_dedup, op5_block_dedup, op7_decontaminate, op9_host_rules)}
+    found = (op1_ngram_join, op2_suffix_dedup, op3_best_fit, op4_toxicity, op5_block_dedup, op6_quality_lm, op7_decontaminate, op8_token_files, op9_host_rules, op10_license_scan, pipeline)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,12 +15,14 @@ sent by their own hashes instead, each once a chunk, so that such a group spread
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .chunks import _BASE, _BYTE, Texts, by_chunk, by_owner, chunked, cut, deltas, groups, pack, powers, prefix_hash, span_hash, undeltas, unpack, with_answers
+from .chunks import _BASE, _BYTE, Texts, by_chunk, by_owner, chunked, cut, deltas, groups, mix, pack, powers, prefix_hash, span_hash, undeltas, unpack, with_answers
 from .shared import partitions
 
 GRAM = 32
@@ -177,8 +179,9 @@ class _Anchors:
         self.hash = prefix_hash(texts.data)
         self.at = np.zeros(0, np.int64)
         if n >= length:
-            at = np.arange(n - GRAM + 1)
-            gram = span_hash(self.hash, at, at + GRAM)
+            gram = self.hash[GRAM:] - self.hash[:-GRAM]
+            gram *= powers(_BASE, n + 1)[1][: len(gram)]
+            gram = mix(gram)
             inside = np.zeros(n + 1, np.int8)
             long = texts.lengths >= length
             inside[texts.starts[long]] += 1
@@ -221,7 +224,7 @@ class _Repeated:
         self.rep = np.concatenate([[True], (context[1:] != context[:-1]) | (self.key[1:] != self.key[:-1])])[: len(at)]
         # windows of hot anchors
         hot = code == 2
-        cover = np.zeros(len(texts.data) + 2, np.int64)
+        cover = np.zeros(len(texts.data) + 2, np.int32)
         np.add.at(cover, np.maximum(a.at[hot] - side, start[hot]), 1)
         np.add.at(cover, np.minimum(a.at[hot], end[hot] - length) + 1, -1)
         self.window = np.flatnonzero(np.cumsum(cover) > 0)
@@ -240,19 +243,13 @@ def _ranks(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
     return rank
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
-    """Remove every byte covered by a ``length``-byte string that also starts earlier in the corpus.
-
-    Order: doc_id, then place; strings lie within one document and are judged on the input.  Returns doc_id, n_bytes,
-    n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining UTF-8 bytes.  A null text is empty; texts
-    under ``length`` bytes lose nothing; of repeated rows of one doc_id one counts as the earlier; rows without doc_id
-    are left out; other columns are ignored.
-    """
+def _deduped(docs: DataFrame, length: int, hot: int, extra: tuple[str, ...], report: Callable, schema: str, table: Callable) -> DataFrame:
+    """``report(texts, removed)`` makes rows of each chunk and the mask of its removed bytes."""
     if not 2 * GRAM <= length <= 220:
         raise ValueError(f"length must be from {2 * GRAM} to 220")
     side = length - GRAM
     buckets = 2 * partitions(docs.sparkSession)
-    chunks = chunked(docs)
+    chunks = chunked(docs, extra)
     none = np.zeros(0, np.uint8)
 
     def probe(chunk: int, texts: Texts) -> list:
@@ -326,10 +323,27 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
         gone[np.setdiff1d(np.arange(len(gone)), r.wfirst, assume_unique=True)] = True
         begin = np.concatenate([begin, r.low[copies], r.window[gone]])
         end = np.concatenate([end, r.high[copies], r.window[gone] + length])
-        cover = np.zeros(len(texts.data) + 1, np.int64)
+        cover = np.zeros(len(texts.data) + 1, np.int32)
         np.add.at(cover, begin, 1)
         np.add.at(cover, end, -1)
         removed = np.cumsum(cover)[:-1] > 0
+        return report(texts, removed)
+
+    counts = by_owner(by_chunk(chunks, probe), count)
+    found = by_owner(with_answers(chunks, counts, contexts), resolve)
+    return with_answers(chunks, found, finish, schema, table)
+
+
+def dedup_suffixes(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
+    """Remove every byte covered by a ``length``-byte string that also starts earlier in the corpus.
+
+    Order: doc_id, then place; strings lie within one document and are judged on the input.  Returns doc_id, n_bytes,
+    n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining UTF-8 bytes.  A null text is empty; texts
+    under ``length`` bytes lose nothing; of repeated rows of one doc_id one counts as the earlier; rows without doc_id
+    are left out; other columns are ignored.
+    """
+
+    def report(texts: Texts, removed: np.ndarray) -> list:
         edges = np.concatenate([[0], np.cumsum(np.diff(removed.view(np.int8), prepend=np.int8(0)) == 1)])
         lost = np.concatenate([[0], np.cumsum(removed)])
         keep = ~removed
@@ -340,6 +354,28 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
         cols = (texts.ids, texts.lengths, lost[e] - lost[s], edges[e] - edges[s], stay[s], stay[e])
         return [(i, n, m, k, hashlib.sha256(kept[x:y]).hexdigest()) for i, n, m, k, x, y in zip(*(v.tolist() for v in cols))]
 
-    counts = by_owner(by_chunk(chunks, probe), count)
-    found = by_owner(with_answers(chunks, counts, contexts), resolve)
-    return with_answers(chunks, found, finish, RESULT, _table)
+    return _deduped(docs, length, hot, (), report, RESULT, _table)
+
+
+def stripped(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
+    """The documents without what dedup_suffixes removes, all columns kept; n_chars, if there, counts the new text.
+
+    A character goes only if all its bytes do, so that texts stay valid.
+    """
+    schema = docs.select(*[F.col(c).cast("long").alias(c) if c in ("doc_id", "n_chars") else c for c in docs.columns]).schema
+    extra = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+
+    def report(texts: Texts, removed: np.ndarray) -> list:
+        first = (texts.data & 0xC0) != 0x80
+        begin = np.flatnonzero(first)
+        gone = np.repeat(np.logical_and.reduceat(removed, begin), np.diff(np.append(begin, len(removed))))
+        keep = ~gone
+        keep[texts.ends] = False
+        stay, chars = np.concatenate([[0], np.cumsum(keep)]), np.concatenate([[0], np.cumsum(keep & first)])
+        s, e = texts.starts, texts.ends
+        offsets = pa.py_buffer(np.append(0, np.cumsum(stay[e] - stay[s])).astype(np.int32).tobytes())
+        text = pa.Array.from_buffers(pa.string(), len(texts.ids), [None, offsets, pa.py_buffer(texts.data[keep].tobytes())])
+        new = {"doc_id": pa.array(texts.ids, pa.int64()), "text": text, "n_chars": pa.array(chars[e] - chars[s], pa.int64())}
+        return [pa.table({c: new.get(c, texts.table[c] if c in extra else None) for c in schema.names})]
+
+    return _deduped(docs, length, hot, extra, report, schema, pa.concat_tables)

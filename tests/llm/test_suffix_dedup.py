@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from common import SF, awkward, empty, smallest
 from docops.llm.queries import op2_suffix_dedup
-from docops.llm.suffix_dedup import Suffixes, dedup_suffixes
+from docops.llm.suffix_dedup import Suffixes, dedup_suffixes, stripped
 
 
 def brute(texts, length=100):
@@ -60,3 +60,16 @@ def test_suffix_sort():
                 while same < min(len(rows[i]), len(rows[i - 1])) and rows[i][same] == rows[i - 1][same]:
                     same += 1
                 assert lcp[i] == same
+
+
+def test_stripped_keeps_columns_and_whole_characters(spark):
+    df, texts = awkward(spark)
+    out = stripped(df)
+    assert out.columns == df.columns
+    rows = {r.doc_id: r for r in out.collect()}
+    sums = got(dedup_suffixes(df))
+    before = {r.doc_id: r for r in df.collect()}
+    for i, t in texts.items():
+        assert rows[i].n_chars == len(rows[i].text) and rows[i].source == before[i].source and rows[i].score == 0.5
+        size = len(rows[i].text.encode())
+        assert sums[i][0] - sums[i][1] <= size <= sums[i][0] - sums[i][1] + 6 * sums[i][2]
