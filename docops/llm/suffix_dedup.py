@@ -190,7 +190,7 @@ class _Anchors:
             least = np.where(inside, sliding(np.minimum, gram, width), np.uint64(0))
             pad = np.zeros(width - 1, np.uint64)
             self.at = np.flatnonzero((gram == sliding(np.maximum, np.concatenate([pad, least, pad]), width)) & (gram > 0))
-            self.key = gram[self.at] >> np.uint64(64 - PROBE_BITS)
+            self.key = mix(gram[self.at] ^ np.uint64(1)) >> np.uint64(64 - PROBE_BITS)  # least hashes are small: mixed again, keys spread over the owners
         else:
             self.key = np.zeros(0, np.uint64)
         order = np.argsort(self.key, kind="stable")
