@@ -119,7 +119,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _links(ids: np.ndarray, tokens: list[np.ndarray], active: np.ndarray, apart: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect all linked sets of a tile.  At least one of a compared pair is active; equal ``apart`` values are known to be connected."""
+    """Star edges that connect all linked sets of a tile.  At least one of a compared pair is active; equal ``apart`` values are known to be connected."""
     m = len(ids)
     size = np.array([len(t) for t in tokens])
     order = np.lexsort((ids, size))
@@ -133,7 +133,6 @@ def _links(ids: np.ndarray, tokens: list[np.ndarray], active: np.ndarray, apart:
     root = np.arange(m)
     for group in pd.Series(range(m)).groupby(apart).indices.values():
         root[group] = group[0]
-    edges = []
     for i in range(m):
         # sets before i are no larger; beyond the band they can't link
         low = np.searchsorted(100 * size, percent * size[i])
@@ -151,8 +150,8 @@ def _links(ids: np.ndarray, tokens: list[np.ndarray], active: np.ndarray, apart:
             inter = len(np.intersect1d(tokens[i], tokens[j], assume_unique=True))
             if 100 * inter >= percent * (size[i] + size[j] - inter):
                 root[root == root[j]] = root[i]
-                edges.append((int(ids[i]), int(ids[j])))
-    return edges
+    low = pd.Series(ids).groupby(root).transform("min").to_numpy()
+    return list(zip(ids[low < ids].tolist(), low[low < ids].tolist()))
 
 
 def _tiled(tiles: DataFrame, percent: int) -> DataFrame:

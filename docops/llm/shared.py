@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,25 +37,50 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's edges, each vertex with the smallest one it is connected to there."""
+    root: dict[int, int] = {}
+    for batch in batches:
+        for ends in zip(*(c.to_pylist() for c in batch.columns)):
+            top = []
+            for v in ends:
+                path = []
+                while (r := root.setdefault(v, v)) != v:
+                    path.append(v)
+                    v = r
+                root.update(dict.fromkeys(path, v))
+                top.append(v)
+            low, high = sorted(top)
+            root[high] = low
+    out = []
+    for v in root:
+        r = v
+        while root[r] != r:
+            r = root[r]
+        if r != v:
+            out.append((v, r))
+    for i in range(0, len(out), 50_000):
+        u, v = zip(*out[i : i + 50_000])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge table: (id, component), the component being its smallest id.
 
-    Every vertex takes the smallest label among its neighbours and then its label's label; each round is written
-    to the shared folder.  Ids without an edge do not appear.  Nothing is gathered on the driver but a count.
+    Each partition first reduces its edges to stars.  Then every vertex takes the smallest label of its neighbours and
+    itself, and that label's label; each round is written to the shared folder.  Ids without an edge do not appear.
+    Nothing is gathered on the driver but whether a label moved.
     """
-    both = stored(
-        edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct(),
-        "edges",
-    )
-    label = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("id"), "label"), "labels")
+    few = max(16, partitions(edges.sparkSession) // 8)  # rounds are small: files and tasks beyond this only cost time
+    stars = edges.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).mapInArrow(_forest, "u long, v long")
+    ends = F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")), F.struct("u", F.col("u").alias("v")), F.struct(F.col("v").alias("u"), "v")))
+    both = stored(stars.select(ends).distinct().coalesce(few), "edges")
+    label = stored(both.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id").coalesce(few), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        hooked = label.join(near.withColumnRenamed("u", "id"), "id").select("id", "label", F.least("label", "near").alias("low"))
+        near = both.join(label.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("low"), F.min(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("own"))
         jump = label.select(F.col("id").alias("low"), F.col("label").alias("far"))
-        step = stored(
-            hooked.join(jump, "low").select("id", F.least("low", "far").alias("label"), (F.least("low", "far") < F.col("label")).alias("moved")),
-            "labels",
-        )
+        moved = F.least("low", "far")
+        step = stored(near.join(jump, "low").select(F.col("u").alias("id"), moved.alias("label"), (moved < F.col("own")).alias("moved")).coalesce(few), "labels")
         label = step.select("id", "label")
         if not step.where("moved").limit(1).count():
             return label.select("id", F.col("label").alias("component"))
