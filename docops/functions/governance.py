@@ -90,7 +90,7 @@ def content_id(content: Column) -> Column:
 
 def resolve_langs(requested: Column, available: list[str]) -> Column:
     """struct(langs, missing, error): the wanted languages (``a+b``) that are there, in order."""
-    want = F.filter(F.transform(F.split(F.coalesce(requested, F.lit("")), r"\+"), F.trim), lambda x: x != "")
+    want = F.filter(F.transform(F.split(F.coalesce(requested, F.lit("")), r"\+"), lambda x: F.trim(x)), lambda x: x != "")
     have = F.filter(want, lambda x: x.isin(available))
     missing = F.filter(want, lambda x: ~x.isin(available))
     return F.struct(F.array_join(have, "+").alias("langs"), F.array_join(missing, ",").alias("missing"), ((F.size(want) > 0) & (F.size(have) == 0)).alias("error"))

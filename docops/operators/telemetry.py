@@ -117,7 +117,7 @@ def error_buffer(events: DataFrame, n: int = 100) -> DataFrame:
 def join_tool_prefix(events: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Each event with the tool of its first matching prefix (prefixes: ord, prefix, tool); a small, fixed table."""
     p = F.lower(F.trim(F.col("path")))
-    hit = events.join(F.broadcast(prefixes), p.startswith(F.col("prefix")), "left")
+    hit = events.select("event_id", "path").join(F.broadcast(prefixes), p.startswith(F.col("prefix")), "left")
     return hit.groupBy("event_id").agg(F.min_by("tool", "ord").alias("tool"))
 
 

@@ -115,7 +115,7 @@ def a18_preservation_flags(load):
     return op.preservation_flags(load(O)).drop("has_annotation_appearances", "has_need_appearances")
 
 
-@query("SELECT d.doc_id, bool_or((d.key = '/SigFlags' AND CAST(nullif(d.value, '') AS INT) % 2 = 1) OR (d.key = '/FT' AND d.value = '/Sig') OR coalesce(d.key = '/Widget' AND p.key = '/FT' AND p.value = '/Sig', false)) AS signed FROM (SELECT doc_id, parent_id, key, CASE WHEN key = '/SigFlags' THEN value ELSE CASE WHEN key = '/FT' THEN value ELSE '' END END AS value FROM doc_objects) d LEFT JOIN doc_objects p ON d.doc_id = p.doc_id AND d.parent_id = p.object_id GROUP BY d.doc_id", O)
+@query("SELECT d.doc_id, bool_or((d.key = '/SigFlags' AND TRY_CAST(d.value AS INT) % 2 = 1) OR (d.key = '/FT' AND d.value = '/Sig') OR coalesce(d.key = '/Widget' AND p.key = '/FT' AND p.value = '/Sig', false)) AS signed FROM (SELECT doc_id, parent_id, key, CASE WHEN key = '/SigFlags' THEN value ELSE CASE WHEN key = '/FT' THEN value ELSE '' END END AS value FROM doc_objects) d LEFT JOIN doc_objects p ON d.doc_id = p.doc_id AND d.parent_id = p.object_id GROUP BY d.doc_id", O)
 def a19_has_signature(load):
     return op.has_signature(load(O))
 
@@ -128,7 +128,7 @@ def a19b_signature_markers(load):
 
 @query("""x AS (SELECT job_id, file_id AS pos, file_id % 4 = 0 AS signed, file_id % 3 = 0 AS preserved, file_id % 2 = 0 AS resize, job_id % 2 = 0 AS flatten FROM job_files),
     w AS (SELECT job_id, pos, 1 AS k, 'preserved' AS m FROM x WHERE preserved UNION ALL SELECT job_id, pos, 2, 'resize_ignored' FROM x WHERE preserved AND resize UNION ALL SELECT job_id, pos, 3, 'signature' FROM x WHERE signed UNION ALL SELECT job_id, pos, 4, 'flatten_disabled' FROM x WHERE signed AND flatten),
-    f AS (SELECT job_id, m, min(pos * 10 + k) AS at FROM w GROUP BY ALL), s AS (SELECT job_id, string_agg(m, '; ' ORDER BY at) AS warnings FROM f GROUP BY job_id), j AS (SELECT job_id, bool_or(flatten) AND NOT bool_or(signed) AS flatten FROM x GROUP BY job_id)
+    f AS (SELECT job_id, m, min(pos * 10 + k) AS first FROM w GROUP BY ALL), s AS (SELECT job_id, string_agg(m, '; ' ORDER BY first) AS warnings FROM f GROUP BY job_id), j AS (SELECT job_id, bool_or(flatten) AND NOT bool_or(signed) AS flatten FROM x GROUP BY job_id)
     SELECT job_id, coalesce(warnings, '') AS warnings, flatten FROM j LEFT JOIN s USING (job_id)""", "job_files")
 def a20_job_warnings(load):
     n = F.col("file_id")

@@ -71,7 +71,7 @@ def a11_selection_summary(load):
 
 
 GROUPS = f"{SET}, sg AS (SELECT doc_id, keep_original AS kept, CASE WHEN NOT keep_original THEN q END AS quality, CASE WHEN NOT keep_original THEN d END AS dpi, CASE WHEN NOT keep_original THEN rz END AS resize_to_a4, list_sort(list(page_number)) AS pages FROM cs WHERE include GROUP BY ALL)"
-PARTS = f"{GROUPS}, ps AS (SELECT doc_id, kept, dense_rank() OVER (PARTITION BY doc_id ORDER BY kept, pages[1]) AS part, pages FROM sg), px AS (SELECT doc_id, kept, part, unnest(pages) AS page_number, unnest(range(len(pages))) AS at FROM ps)"
+PARTS = f"""{GROUPS}, ps AS (SELECT doc_id, kept, dense_rank() OVER (PARTITION BY doc_id ORDER BY kept, pages[1]) AS part, pages FROM sg), px AS (SELECT doc_id, kept, part, unnest(pages) AS page_number, unnest(range(len(pages))) AS "at" FROM ps)"""
 
 
 @query(f"{GROUPS} SELECT doc_id, kept, quality, dpi, resize_to_a4, array_to_string(pages, ',') AS pages FROM sg", "page_settings")
@@ -79,7 +79,7 @@ def a12_settings_groups(load):
     return op.settings_groups(settings(load)).withColumn("pages", F.array_join(F.col("pages").cast("array<string>"), ","))
 
 
-@query(f"{PARTS} SELECT doc_id, kept, CAST(part AS INT) AS part, CAST(at AS INT) AS at, page_number FROM px", "page_settings")
+@query(f'{PARTS} SELECT doc_id, kept, CAST(part AS INT) AS part, CAST("at" AS INT) AS "at", page_number FROM px', "page_settings")
 def j6_page_sources(load):
     return op.page_sources(op.settings_groups(settings(load)))
 
@@ -296,8 +296,8 @@ def j4_page_edits(load):
     return op.page_edits(pages.select("doc_id", "page_number"), rotations, crops_)
 
 
-@query("""n AS (SELECT doc_id, count(*) AS n FROM page_geometry GROUP BY 1), s AS (SELECT doc_id, n, unnest(range(CASE WHEN doc_id % 3 = 0 THEN n WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END)) AS at FROM n WHERE doc_id % 3 <> 2 OR n > 0),
-    t AS (SELECT doc_id, at, CASE WHEN doc_id % 3 = 0 THEN at WHEN doc_id % 3 = 1 THEN 0 ELSE n - 1 END AS page0 FROM s) SELECT doc_id AS job_id, CAST(at AS INT) AS at, CAST(page0 AS INT) AS page0, CASE at WHEN 0 THEN 90 WHEN 1 THEN 180 END AS rotation, CASE WHEN page0 = 0 THEN 7 END AS crop FROM t""", G)
+@query("""n AS (SELECT doc_id, count(*) AS n FROM page_geometry GROUP BY 1), s AS (SELECT doc_id, n, unnest(range(CASE WHEN doc_id % 3 = 0 THEN n WHEN doc_id % 3 = 1 THEN 2 ELSE 1 END)) AS "at" FROM n WHERE doc_id % 3 <> 2 OR n > 0),
+    t AS (SELECT doc_id, "at", CASE WHEN doc_id % 3 = 0 THEN "at" WHEN doc_id % 3 = 1 THEN 0 ELSE n - 1 END AS page0 FROM s) SELECT doc_id AS job_id, CAST("at" AS INT) AS "at", CAST(page0 AS INT) AS page0, CASE "at" WHEN 0 THEN 90 WHEN 1 THEN 180 END AS rotation, CASE WHEN page0 = 0 THEN 7 END AS crop FROM t""", G)
 def j5_nested_plan_pages(load):
     n = load(G).groupBy(F.col("doc_id").alias("job_id")).agg(F.count("*").cast("int").alias("n_pages"))
     k = F.col("job_id") % 3
@@ -320,7 +320,7 @@ def l6_order_pages(load):
     return op.order_pages(pages, pages.where("page_number % 2 = 0").withColumn("pos", 100 - F.col("page_number")))
 
 
-@query("f AS (SELECT doc_id, width, min(page_number) AS at FROM page_geometry GROUP BY ALL) SELECT doc_id, string_agg(CAST(width AS STRING), ',' ORDER BY at) AS widths FROM f GROUP BY doc_id", G)
+@query("f AS (SELECT doc_id, width, min(page_number) AS first FROM page_geometry GROUP BY ALL) SELECT doc_id, string_agg(CAST(width AS STRING), ',' ORDER BY first) AS widths FROM f GROUP BY doc_id", G)
 def u3_ordered_distinct(load):
     return op.ordered_distinct(load(G), ["doc_id"], "width", "page_number").select("doc_id", F.array_join(F.col("values").cast("array<string>"), ",").alias("widths"))
 

@@ -54,3 +54,13 @@ def st9_ingest_feedback(load):
     return good.unionByName(spark.read.parquet(f"{folder}/rejected").select(*cols, "reject_reason"))
 
 
+
+
+@query("m AS (SELECT max(ts) AS m FROM sessions) SELECT session_id FROM sessions, m WHERE epoch_ms(ts) + 3600000 < epoch_ms(m)", "sessions")
+def st6_stream_expired_sessions(load):
+    spark = load("events").sparkSession
+    folder = st.work_folder(spark, "st6")
+    load("sessions").select("session_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{folder}/in")
+    out = st.expired_sessions(spark.readStream.schema("session_id long, ts timestamp").parquet(f"{folder}/in"))
+    st.run(out, folder, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), "append")
+    return spark.read.schema("session_id long").parquet(f"{folder}/out/*").select("session_id")

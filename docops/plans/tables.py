@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import pages as pf
 from ..functions import tables as t
 from ..operators import tables as op
+from ..sources import readers
+from ..sources.checkpoints import shared_folder
 from .fixtures import query
 
 C = "cells"
@@ -45,7 +49,7 @@ def p35_format_brl(load):
     return load("money_strings").where("style NOT IN (3, 7)").select("doc_id", "pos", t.format_brl(F.col("raw")).alias("money"))
 
 
-MONEY = r"""CASE WHEN regexp_matches(line, 'R\$\s*\d{1,3}(?:\.\d{3})*,\d{2}') THEN regexp_extract_all(line, 'R\$\s*\d{1,3}(?:\.\d{3})*,\d{2}') ELSE list_transform(regexp_extract_all(line, '\b\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\b'), x -> concat('R$ ', x)) END"""
+MONEY = r"""CASE WHEN regexp_matches(line, 'R\$\s*\d{1,3}(?:\.\d{3})*,\d{2}') THEN regexp_extract_all(line, 'R\$\s*\d{1,3}(?:\.\d{3})*,\d{2}') ELSE [concat('R$ ', x) for x in regexp_extract_all(line, '\b\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\b')] END"""
 
 
 @query(f"SELECT doc_id, line_pos, array_to_string({MONEY}, ';') AS money FROM fee_lines WHERE NOT regexp_matches(line, '^\\d\\.')", "fee_lines")
@@ -219,6 +223,22 @@ def w7_cluster_1d(load):
     return op.cluster_1d(load("words"), "x0", ["doc_id"], 60.0).withColumn("mean", F.round("mean", 6))
 
 
+@query("f AS (SELECT table_id, row_pos, count(*) AS n, string_agg(trim(value), '|' ORDER BY col_pos) AS labels FROM cells WHERE trim(coalesce(value, '')) <> '' GROUP BY ALL) SELECT table_id, labels FROM f WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY row_pos) = 1", C)
+def s7_target_labels(load):
+    return readers.target_labels(load(C)).select("table_id", F.array_join("labels", "|").alias("labels"))
+
+
+SAFE = "CASE WHEN regexp_matches(coalesce(value, ''), '^[=+@-]') THEN concat(chr(39), value) ELSE coalesce(value, '') END"
+
+
+@query(f"SELECT string_agg({SAFE}, ';' ORDER BY col_pos) AS line FROM (SELECT t.table_id, t.row_pos, g.col_pos, value FROM (SELECT DISTINCT table_id, row_pos FROM cells) t CROSS JOIN (SELECT unnest(range(5)) AS col_pos) g LEFT JOIN cells c USING (table_id, row_pos, col_pos)) x GROUP BY table_id, row_pos", C)
+def s8_write_tables_csv(load):
+    cells = load(C)
+    path = f"{shared_folder(cells.sparkSession)}/csv-{uuid.uuid4().hex}"
+    op.write_tables_csv(cells, path, 5)
+    return cells.sparkSession.read.text(path).select(F.regexp_replace("value", '""', "").alias("line"))
+
+
 TARGETS = ["quantidade", "Valor", "Taxa anual", "Qtd", "Observação"]
 
 

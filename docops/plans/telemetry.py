@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import telemetry as t
+from ..functions.governance import sniff_type
 from ..operators import telemetry as op
 from ..sources import readers
+from ..sources.checkpoints import shared_folder
 from .fixtures import NOW, query
 
 RANGE = f"(SELECT * FROM request_events WHERE ts >= date_trunc('minute', TIMESTAMP '{NOW}') - INTERVAL 1439 MINUTE AND ts <= TIMESTAMP '{NOW}')"
@@ -266,6 +270,23 @@ def s1_read_feedback(load):
     return readers.parse_feedback(lines).select("arrival", "page", "type", "message", "request_id")
 
 
+@query("SELECT page, type, message, request_id FROM feedback", "feedback")
+def s2_write_feedback(load):
+    rows = load("feedback")
+    path = f"{shared_folder(rows.sparkSession)}/feedback-{uuid.uuid4().hex}"
+    half = F.col("arrival") % 2 == 0
+    for part in (rows.where(half), rows.where(~half)):  # the second is appended
+        readers.write_feedback(part.select("page", "type", "message", "request_id"), path)
+    return readers.read_feedback(rows.sparkSession, path).select("page", "type", "message", "request_id")
+
+
+@query()
+def s6_read_documents(load):
+    """The tables' own files as documents."""
+    files = load("events").inputFiles()
+    return readers.read_documents(load("events").sparkSession, files[0].rsplit("/", 1)[0]).select("path", "length", sniff_type(F.col("header")).alias("type"))
+
+
 @query("SELECT conv_id, turn, lower(trim(role)) IN ('1', 'true', 'yes', 'on') OR turn % 2 = 0 AS flag FROM conversations")
 def p51_to_bool(load):
     raw = F.when(F.col("turn") % 4 == 0, " TRUE ").when(F.col("turn") % 4 == 2, "on").otherwise(F.col("role"))

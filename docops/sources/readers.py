@@ -63,10 +63,14 @@ def read_updates(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.coalesce("recent", F.array(one))).alias("u")).select("u.*")
 
 
-def target_columns(cells: DataFrame, listed: str | None = None) -> list[str]:
-    """Target labels: of the first row with two or more filled cells, else a comma list, else none.  Reads one row."""
+def target_labels(cells: DataFrame) -> DataFrame:
+    """(table_id, labels): of each table's first row with two or more filled cells, in order of columns."""
     filled = F.coalesce(F.trim("value"), F.lit("")) != ""
-    first = cells.groupBy("row_pos").agg(F.count_if(filled).alias("n"), F.sort_array(F.collect_list(F.when(filled, F.struct("col_pos", F.trim("value").alias("v"))))).alias("row")).where("n >= 2").orderBy("row_pos").limit(1).collect()
-    if first:
-        return [c.v for c in first[0].row]
-    return [x.strip() for x in (listed or "").split(",") if x.strip()]
+    rows = cells.groupBy("table_id", "row_pos").agg(F.count_if(filled).alias("n"), F.sort_array(F.collect_list(F.when(filled, F.struct("col_pos", F.trim("value").alias("v"))))).alias("row"))
+    return rows.where("n >= 2").groupBy("table_id").agg(F.min_by("row", "row_pos").alias("row")).select("table_id", F.transform("row", lambda c: c["v"]).alias("labels"))
+
+
+def target_columns(cells: DataFrame, listed: str | None = None) -> list[str]:
+    """Target labels of one schema table, else of a comma list, else none."""
+    first = target_labels(cells).orderBy("table_id").limit(1).collect()
+    return first[0].labels if first else [x.strip() for x in (listed or "").split(",") if x.strip()]

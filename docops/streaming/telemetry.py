@@ -6,10 +6,12 @@ Windows keep state for the watermark's 24 hours, as long as the widest range tha
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import telemetry as t
 from ..operators import telemetry as op
@@ -67,6 +69,25 @@ def ingest_feedback(stream: DataFrame, good: str, rejected: str, checkpoint: str
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def expired_sessions(stream: DataFrame, ttl: int = 3600, delay: str = "0 seconds") -> DataFrame:
+    """(session_id, ts): sessions of (session_id, ts) whose last use lies more than ttl seconds behind the stream's time."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            (last,) = state.get
+            state.remove()
+            yield pd.DataFrame({"session_id": [key[0]], "ts": [pd.Timestamp(last, unit="us")]})
+            return
+        last = state.get[0] if state.exists else 0
+        for b in batches:
+            last = max(last, int(b.ts.astype("datetime64[us]").astype("int64").max()))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + 1000 * ttl, state.getCurrentWatermarkMs() + 1))
+
+    used = stream.withWatermark("ts", delay)
+    return used.groupBy("session_id").applyInPandasWithState(step, "session_id long, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     from ..sources.checkpoints import shared_folder
 

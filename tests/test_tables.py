@@ -76,3 +76,13 @@ def test_files(spark, tmp_path):
     op.write_tables_csv(table(spark, [["=a", "b;c"], ["1", None]]), str(tmp_path / "csv"), 2)
     text = "".join(f.read_text() for f in sorted((tmp_path / "csv").glob("part-*")))
     assert text.splitlines() == ["'=a;\"b;c\"", '1;""']
+
+
+def test_updates_and_targets(spark, tmp_path):
+    from docops.sources import readers
+
+    (tmp_path / "u.json").write_text('{"recent": [{"date": "2026-01-01", "tag": "new", "title": "a", "desc": "b"}, {"date": "2026-01-02", "tag": "fix", "title": "c", "desc": "d"}]}')
+    assert [r.title for r in readers.read_updates(spark, str(tmp_path / "u.json")).orderBy("date").collect()] == ["a", "c"]
+    cells = table(spark, [["", "one"], ["A ", "B"], ["C", "D"]])
+    assert readers.target_columns(cells) == ["A", "B"]
+    assert readers.target_columns(cells.limit(0), "x, ,y") == ["x", "y"] and readers.target_columns(cells.limit(0)) == []
