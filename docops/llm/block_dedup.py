@@ -149,3 +149,14 @@ def dedup_blocks(docs: DataFrame, window: int = 13, block: int = 7) -> DataFrame
     hits = by_owner(by_chunk(chunks, probe), hit)
     owners = by_owner(with_answers(chunks, hits, compare), owned)
     return with_answers(chunks, owners, finish, RESULT, _table)
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+m AS (SELECT g, min(doc_id) AS first FROM x GROUP BY g),
+c AS (SELECT DISTINCT doc_id, i + k AS p FROM x JOIN m USING (g), range(13) AS r(k) WHERE first < doc_id),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+t AS (SELECT k.doc_id, count(c.p) AS n_removed, string_agg(word, ' ' ORDER BY k.p) FILTER (c.p IS NULL) AS kept FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.p = c.p GROUP BY k.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)
+"""
