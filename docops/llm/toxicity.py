@@ -1,14 +1,17 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
-
-The index is fitted on at most ``sample`` labelled documents (those of smallest hash) and at most ``features`` terms,
-the ones most associated with the label by chi-squared; both bounds are parameters, so what is broadcast is bounded.
-Every document is scored against it.  Postings stand in blocks of examples with each term's largest weight; a search
-takes blocks in order of the bound these give and stops when no block can reach the k-th best, so it is exact.  Votes
-are weighted by closeness, with the label's rate as a prior of weight ``prior_weight``.
+"""Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF vectors over block-max inverted indexes.
+
+The index is fitted on at most ``sample`` labelled documents (those of smallest hash), with all their terms; the bound
+is a parameter, so what is broadcast is bounded.  A term's weight is its TF-IDF times 1 + chi-squared of term and
+label: no word is dropped, and those that tell the labels apart weigh most.  Every document is scored against the index
+with its whole vector, words that no example has included.  Postings are sparse and stand in blocks of examples with
+each term's largest weight; a search adds up the strong terms first and looks further only at examples that can still
+reach the k-th best by the weak terms' maxima, over all and by block, so it is exact.  Votes are weighted by closeness, with the label's rate as a prior of weight
+``prior_weight``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,57 +30,116 @@ def terms(text: str | None) -> list[str]:
     return _LETTERS.findall((text or "").lower())
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... of each range, one after the other."""
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples, and every term's largest weight by block of examples."""
+    """Unit vectors of the examples as postings by term, and every term's largest weight by block of examples.
+
+    idf: a term's factor; unseen: that of a term that no example has.  counts: a dict, or term numbers and counts.
+    """
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, counts: list[dict[int, int]], labels: list[int], ids: list[int], prior: float):
-        self.vocabulary, self.idf, self.prior = vocabulary, idf, prior
+    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, counts: list, labels: list[int], ids: list[int], prior: float, unseen: float = 0.0):
+        self.vocabulary, self.idf, self.prior, self.unseen = vocabulary, idf, prior, unseen
         rows = [(self.vector(c), y, i) for c, y, i in zip(counts, labels, ids)]
         rows.sort(key=lambda r: (r[0][0][np.argmax(r[0][1])], r[2]))  # like examples stand together: tight bounds
         self.labels = np.array([y for _, y, _ in rows], float)
         self.ids = np.array([i for _, _, i in rows], np.int64)
-        self.weights = np.zeros((len(vocabulary), -(-len(rows) // BLOCK) * BLOCK), np.float64)
-        for n, ((t, w), _, _) in enumerate(rows):
-            self.weights[t, n] = w
-        self.most = self.weights.reshape(len(vocabulary), -(-len(rows) // BLOCK), BLOCK).max(axis=2)
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[i] for i in t.tolist()])) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
-
-    def nearest(self, counts: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.blocks = -(-len(rows) // BLOCK)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for (t, _), _, _ in rows)])
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for (t, _), _, _ in rows])
+        order = np.argsort(term, kind="stable")  # by term, then example
+        term, self.row = term[order], row[order]
+        self.weight = np.concatenate([np.zeros(0), *(w for (_, w), _, _ in rows)])[order]
+        place = term * max(self.blocks, 1) + self.row // BLOCK
+        first = np.flatnonzero(np.diff(place, prepend=-1))  # of each term's part in a block
+        self.block = (self.row[first] // BLOCK).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.begin = np.append(first, len(term))
+        self.parts = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
+        self.start = self.begin[self.parts]
+        self.top = np.array([self.most[i:j].max() if j > i else 0.0 for i, j in zip(self.parts, self.parts[1:])])
+        self.own_term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for (t, _), _, _ in rows)])  # by example
+        self.own_weight = np.concatenate([np.zeros(0), *(w for (_, w), _, _ in rows)])
+        self.own_start = np.cumsum([0, *(len(t) for (t, _), _, _ in rows)])
+        self.scratch = np.zeros(len(vocabulary))
+
+    @property
+    def weights(self) -> np.ndarray:
+        """All weights, a row a term and a column an example."""
+        out = np.zeros((len(self.vocabulary), self.blocks * BLOCK))
+        size = np.diff(self.begin)
+        out[np.repeat(np.repeat(np.arange(len(self.vocabulary)), np.diff(self.parts)), size), self.row] = self.weight
+        return out
+
+    def vector(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray], beyond: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of a unit vector; beyond: what unseen terms add to its squared length."""
+        t, n = (np.array(sorted(counts), np.int64), [counts[i] for i in sorted(counts)]) if isinstance(counts, dict) else counts
+        w = (1 + np.log(n)) * self.idf[t]
+        return t, w / np.sqrt((w * w).sum() + beyond)
+
+    def nearest(self, counts: dict[int, int], k: int, beyond: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples of positive cosine and their cosines, nearest first; of equal ones the first in the index."""
-        t, w = self.vector(counts)
-        bound = w @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, cosine, step = np.zeros(0, np.int64), np.zeros(0), max(2, -(-2 * k // BLOCK))
-        for i in range(0, len(order), step):
-            if len(found) == k and bound[order[i]] < cosine[-1] - 1e-12:
-                break
-            rows = (np.sort(order[i : i + step])[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            got = w @ self.weights[np.ix_(t, rows)]
-            found, cosine = np.concatenate([found, rows[got > 0]]), np.concatenate([cosine, got[got > 0]])
-            best = np.lexsort((found, -cosine))[:k]
-            found, cosine = found[best], cosine[best]
-        return found, cosine
+        t, w = self.vector(counts, beyond)
+        most = w * self.top[t]
+        order = np.argsort(-most, kind="stable")
+        rest = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)  # what the terms from here on can add
+        cut = int(np.searchsorted(-rest, -0.02 * rest[0]))
+        strong, weak = order[:cut], order[cut:]
+        part = self._sums(self.start, t[strong], w[strong], self.row, self.weight, len(self.ids))
+        least = (np.partition(part, -k)[-k] if len(part) > k else 0.0) - 1e-12
+        rows = np.flatnonzero(part + rest[cut] >= least)
+        if len(rows) > 4 * k:  # the weak terms' block maxima
+            bound = self._sums(self.parts, t[weak], w[weak], self.block, self.most, self.blocks)
+            rows = rows[part[rows] + bound[rows // BLOCK] >= least]
+        if len(rows) > len(part) // 8:
+            got = (part + self._sums(self.start, t[weak], w[weak], self.row, self.weight, len(self.ids)))[rows]
+        else:
+            size = self.own_start[rows + 1] - self.own_start[rows]
+            at = _ranges(self.own_start[rows], size)
+            self.scratch[t] = w
+            got = np.bincount(np.repeat(np.arange(len(rows)), size), self.scratch[self.own_term[at]] * self.own_weight[at], minlength=len(rows))
+            self.scratch[t] = 0.0
+        rows, got = rows[got > 0], got[got > 0]
+        best = np.lexsort((rows, -got))[:k]
+        return rows[best], got[best]
+
+    @staticmethod
+    def _sums(start: np.ndarray, t: np.ndarray, w: np.ndarray, place: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+        """The terms' values times w, added up by place."""
+        if not len(t):
+            return np.zeros(n)
+        first, end = start[t], start[t + 1]
+        slices = [slice(i, j) for i, j in zip(first.tolist(), end.tolist())]
+        return np.bincount(np.concatenate([place[x] for x in slices]), np.concatenate([value[x] for x in slices]) * np.repeat(w, end - first), minlength=n)
 
     def score(self, text: str | None, k: int, prior_weight: float) -> tuple[float, list[int]]:
-        counts = Counter(n for x in terms(text) if (n := self.vocabulary.get(x)) is not None)
+        counts, beyond = {}, 0.0
+        for x, c in Counter(terms(text)).items():
+            if (n := self.vocabulary.get(x)) is not None:
+                counts[n] = c
+            else:
+                beyond += ((1 + math.log(c)) * self.unseen) ** 2
         if not counts or not len(self.ids):
             return self.prior, []
-        found, cosine = self.nearest(counts, k)
+        found, cosine = self.nearest(counts, k, beyond)
         vote = cosine**2
         return float((vote @ self.labels[found] + prior_weight * self.prior) / (vote.sum() + prior_weight)), self.ids[found[:3]].tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192, features: int = 256, least_chi2: float = 15.0) -> BlockMaxIndex:
-    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0; at most ``sample`` of them, ``features`` terms."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192) -> BlockMaxIndex:
+    """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0; at most ``sample`` of them, with all their terms."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    totals = chosen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    n, pos = totals[0], totals[1]
+    if not n or not pos:
+        return BlockMaxIndex({}, np.zeros(0), [], [], [], pos / n if n else 0.0)
+    # of repeated rows one is an example
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -85,21 +147,26 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192, features: int =
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "toxic": pa.array([r[1] for r in rows], pa.int32()), "term": pa.array([r[2] for r in rows], pa.list_(pa.string())), "n": pa.array([r[3] for r in rows], pa.list_(pa.int32()))})
 
     counted = texts.mapInArrow(count, "doc_id long, toxic int, term array<string>, n array<int>")
-    totals = chosen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    n, pos = totals[0], totals[1]
-    if not n or not pos:
-        return BlockMaxIndex({}, np.zeros(0), [], [], [], pos / n if n else 0.0)
-    df = counted.select("toxic", F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("a")).where("df >= 3")
-    a, b = F.col("a").cast("double"), (F.col("df") - F.col("a")).cast("double")
-    c, d = pos - a, (n - pos) - b
-    chi2 = n * (a * d - b * c) * (a * d - b * c) / ((a + b) * (c + d) * pos * max(n - pos, 1))
-    best = df.withColumn("chi2", chi2).where((a * (n - pos) > b * pos) & (F.col("chi2") >= least_chi2)).orderBy(F.desc("chi2"), "term").limit(features)
-    chosen_terms = best.select("term", "df").collect()
-    vocabulary = {r.term: i for i, r in enumerate(chosen_terms)}
-    idf = np.array([np.log((1 + n) / (1 + r.df)) + 1 for r in chosen_terms])
-    marked = counted.select("doc_id", "toxic", F.filter(F.arrays_zip("term", "n"), lambda x: x["term"].isin(list(vocabulary) or [""])).alias("t")).where(F.size("t") > 0)
-    rows = marked.dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most ``sample`` rows of at most ``features`` terms
-    return BlockMaxIndex(vocabulary, idf, [{vocabulary[x.term]: x.n for x in r.t} for r in rows], [r.toxic for r in rows], [r.doc_id for r in rows], pos / n)
+    every = counted.select("toxic", F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("a")).toArrow().sort_by("term")
+    df, a = every["df"].to_numpy().astype(float), every["a"].to_numpy().astype(float)
+    b = df - a
+    chi2 = n * (a * (n - pos - b) - b * (pos - a)) ** 2 / np.maximum(df * (n - df) * pos * (n - pos), 1)
+    vocabulary = {x: i for i, x in enumerate(every["term"].to_pylist())}
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value
+        for x in batches:
+            t = pa.array([[of[w] for w in ws] for ws in x["term"].to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([x["doc_id"], x["toxic"], t, x["n"]], ["doc_id", "toxic", "term", "n"])
+
+    rows = counted.mapInArrow(number, "doc_id long, toxic int, term array<int>, n array<int>").toArrow().sort_by("doc_id")  # at most ``sample`` rows of numbers
+    counts = []
+    for t, c in zip(rows["term"], rows["n"]):
+        t, c = t.values.to_numpy().astype(np.int64), c.values.to_numpy()
+        order = np.argsort(t)
+        counts.append((t[order], c[order]))
+    return BlockMaxIndex(vocabulary, (np.log((1 + n) / (1 + df)) + 1) * (1 + chi2), counts, rows["toxic"].to_pylist(), rows["doc_id"].to_pylist(), pos / n, float(np.log(1 + n) + 1))
 
 
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, k: int = 25, prior_weight: float = 0.5) -> DataFrame:

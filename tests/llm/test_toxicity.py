@@ -1,3 +1,8 @@
+import math
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
 from common import awkward, empty
 from docops.llm import toxicity
@@ -37,3 +42,37 @@ def test_awkward(spark):
     none = toxicity.fit(df, labels.limit(0))
     assert {r.score for r in toxicity.score_toxicity(df, none).collect()} == {0.0}
     assert toxicity.score_toxicity(empty(spark), none).collect() == []
+
+
+def test_whole_vectors(spark):
+    """All terms and labelled rows are in the index, rare ones too, and a search gives the cosines of whole vectors."""
+    r = random.Random(3)
+    # a toxic word stands in four toxic documents at most
+    rows = [(i, " ".join(r.choice([f"w{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(20)]) for _ in range(40)), int(i % 10 == 0)) for i in range(400)]
+    rows = [(i, t + (f" rare{chr(97 + i // 40)}x" * 3 if y else ""), y) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(df, df.drop("text"))
+    used = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    count = Counter(w for _, t, _ in used for w in set(t.split()))
+    assert set(index.vocabulary) == set(count) and len(count) > 256 and sorted(index.ids.tolist()) == [i for i, *_ in used]
+    n, pos = len(used), sum(y for *_, y in used)
+    toxic = Counter(w for _, t, y in used for w in set(t.split()) if y)
+
+    def vector(t):
+        out = {}
+        for w, c in Counter(t.split()).items():
+            d, a = count[w], toxic[w]
+            chi2 = n * (a * (n - pos - d + a) - (d - a) * (pos - a)) ** 2 / (d * (n - d) * pos * (n - pos)) if d else 0
+            out[w] = (1 + math.log(c)) * (math.log((1 + n) / (1 + d)) + 1) * (1 + chi2)
+        size = math.sqrt(sum(x * x for x in out.values()))
+        return {w: x / size for w, x in out.items()}
+
+    examples = [vector(t) for _, t, _ in used]
+    rare = next(w for w, c in sorted(count.items()) if w.startswith("rare") and c <= 2)
+    text = f"waa wab unheard unheard {rare} {rare}"
+    own = vector(text)
+    every = sorted((sum(x * e.get(w, 0) for w, x in own.items()) for e in examples), reverse=True)[:25]
+    known = {index.vocabulary[w]: c for w, c in Counter(text.split()).items() if w in index.vocabulary}
+    assert np.allclose(index.nearest(known, 25, ((1 + math.log(2)) * index.unseen) ** 2)[1], [x for x in every if x > 0])
+    score, near = index.score(text, 25, 0.5)
+    assert near and {y for i, _, y in used if i in near[: count[rare]]} == {1} and score >= 0.5
