@@ -3,8 +3,9 @@
 Numbers, names and units become typed placeholders that remember their value, so that a question with other figures
 has the same template.  Every rolling window of ``block`` template words of the benchmark is joined by hash with the
 documents' non-overlapping blocks: a common run of 2 * block - 1 words holds a whole block.  Around each hit the two
-templates are laid side by side; a document is contaminated by an item if a run of ``run`` template words is equal
-(the whole item, if it is shorter) and the slots agree: one value of the item always stands for one of the document.
+templates are laid side by side; a document is contaminated by an item if ``run`` words or more (the whole item, if it
+is shorter) are quoted word for word, or if any whole run of as many equal template words has slots that agree: one
+value of the item always stands for one of the document.
 """
 
 from __future__ import annotations
@@ -72,14 +73,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = 13, block: in
     both = own.join(laid, "doc_id").select("doc_id", F.split(annotate(F.col("text")), " ").alias("doc"), F.explode("p").alias("p")).select("doc_id", "doc", "p.item_id", "p.item", F.explode("p.shifts").alias("shift"))
     bare = lambda x: F.regexp_replace(x, f"{MID}[^{CLOSE}]*{CLOSE}", CLOSE)
     both = both.withColumn("eq", F.transform("item", lambda x, j: (F.col("shift") + j >= 0) & F.coalesce(bare(x) == bare(F.get("doc", F.greatest(F.col("shift") + j, F.lit(0)))), F.lit(False))))
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("end"), F.lit(0).alias("at"))
-
-    def step(s: Column, e: Column) -> Column:
-        now = F.when(e, s["now"] + 1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(s["best"], now).alias("best"), F.when(now > s["best"], s["at"] + 1).otherwise(s["end"]).alias("end"), (s["at"] + 1).alias("at"))
-
-    both = both.withColumn("best", F.aggregate("eq", start, step)).withColumn("run", F.col("best.best")).withColumn("from", F.col("best.end") - F.col("run"))
-    both = both.where(F.col("run") >= F.least(F.lit(run), F.size("item")))
+    both = both.withColumn("same", F.transform("item", lambda x, j: F.get("eq", j) & (x == F.get("doc", F.greatest(F.col("shift") + j, F.lit(0))))))
+
+    def runs(flags: str) -> Column:
+        """Every maximal run of true ones: where it begins and how long it is."""
+        at = lambda j: F.coalesce(F.when(j >= 0, F.get(flags, j)), F.lit(False))
+        places = F.sequence(F.lit(0), F.size(flags) - 1)
+        first, last = F.filter(places, lambda j: at(j) & ~at(j - 1)), F.filter(places, lambda j: at(j) & ~at(j + 1))
+        return F.zip_with(first, last, lambda i, j: F.struct(i.alias("from"), (j - i + 1).alias("run")))
+
+    # what is quoted word for word is a leak whatever stands beside it
+    both = both.withColumn("part", F.explode(F.filter(F.array_union(runs("eq"), runs("same")), lambda r: r["run"] >= F.least(F.lit(run), F.size("item")))))
+    both = both.select("doc_id", "item_id", "doc", "item", "shift", "part.*")
     value = lambda x: F.regexp_extract(x, f"{MID}([^{CLOSE}]*){CLOSE}", 1)
     slots = F.filter(F.transform(F.slice("item", F.col("from") + 1, F.col("run")), lambda x, j: F.struct(value(x).alias("i"), value(F.get("doc", F.col("shift") + F.col("from") + j)).alias("d"))), lambda s: s["i"] != "")
     both = both.withColumn("slots", F.array_distinct(slots)).withColumn("n_slots", F.size(slots))

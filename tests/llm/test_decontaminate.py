@@ -43,3 +43,18 @@ def test_query_finds_every_passage(spark):
         own = {tuple(w[p : p + 13]) for p in range(len(w) - 12)}
         for i in items.item_id:
             assert not (own & grams[i]) or (d, i) in got
+
+
+def test_every_run_of_a_shift(spark):
+    """A verbatim run beside a slot that disagrees, and a run with agreeing slots beside a longer one that disagrees."""
+    road = "the long road from the hill to the sea was built by men who came here on foot"
+    item = f"it took 120 days until {road} and then 120 more"
+    two = f"there were 5 of them in the house when we came and saw it alpha {item}"
+    docs = [(1, item.replace("120 more", "121 more"), 0, ""), (2, "it took 120 days until the long road and then 121 more", 0, ""), (3, item.replace("120", "77"), 0, "")]
+    docs += [(5, item.replace("120 days", "3 days").replace("120 more", "4 more"), 0, "")]
+    docs += [(6, two.replace("alpha", "beta").replace("5", "6").replace("120 days", "3 days").replace("120 more", "4 more").replace("sea", "lake").replace("men who", "those that"), 0, "")]
+    got = run(spark, docs, [(10, item, 1), (11, two, 1)])
+    assert (got[1, 10].doc_start, got[1, 10].run, got[1, 10].n_slots, got[1, 10].exact) == (0, 25, 2, True)
+    assert (2, 10) not in got and got[3, 10].run == 27
+    assert got[6, 11].run == 14 and not got[6, 11].exact
+    assert got[5, 10].exact and got[5, 10].run == 22  # "days until ... and then", word for word
