@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders that remember their value, so that a question with other figures
-has the same template.  Every rolling window of ``block`` template words of the benchmark is joined by hash with the
+has the same template.  Any capitalised word may be a name; two words are equal as names or as words in lower case.  Every rolling window of ``block`` template words of the benchmark is joined by hash with the
 documents' non-overlapping blocks: a common run of 2 * block - 1 words holds a whole block.  Around each hit the two
 templates are laid side by side; a document is contaminated by an item if ``run`` words or more (the whole item, if it
 is shorter) are quoted word for word, or if any whole run of as many equal template words has slots that agree: one
@@ -28,8 +28,8 @@ def annotate(text: Column) -> Column:
     number = F.regexp_replace(number, rf"(?<![\p{{L}}\p{{N}}{POINT}])(\d[\d{POINT}]*)(?![\p{{L}}\p{{N}}{POINT}])", f"{OPEN}d{MID}$1{CLOSE}")
     number = F.regexp_replace(number, rf"(?i)({CLOSE} )({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{OPEN}u{MID}$2{CLOSE}")
     out = F.when(text.rlike(r"\d"), number).otherwise(text)
-    # a capitalised word after a word that ends no sentence
-    out = F.regexp_replace(out, rf"(?<=[\p{{L}}\p{{N}},{CLOSE}] )(\p{{Lu}}\p{{Ll}}+)(?![\p{{L}}\p{{N}}])", f"{OPEN}n{MID}$1{CLOSE}")
+    # a capitalised word may be a name wherever it stands
+    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}{MID}])(\p{{Lu}}\p{{Ll}}+)(?![\p{{L}}\p{{N}}])", f"{OPEN}n{MID}$1{CLOSE}")
     return F.trim(F.regexp_replace(F.lower(out), rf"[^\p{{L}}\p{{N}}{OPEN}-{POINT}]+", " "))
 
 
@@ -37,8 +37,21 @@ def template(annotated: Column) -> Column:
     return F.split(F.regexp_replace(annotated, f"{MID}[^{CLOSE}]*{CLOSE}", CLOSE), " ")
 
 
-def _hash(tokens: str, i: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(F.col(tokens), i + k) for k in range(n)])
+def worded(annotated: Column) -> Column:
+    """The template with the names as the words that they are."""
+    return template(F.regexp_replace(annotated, f"{OPEN}n{MID}([^{CLOSE}]*){CLOSE}", "$1"))
+
+
+def _hashes(i: Column, n: int) -> Column:
+    """Of the n words from place i of t and l: a hash for every choice of reading its names as names or as words.
+
+    Two windows share one if each word of one equals the other's as a name or as a word.
+    """
+    names = sum(F.when(F.get("t", i + k) != F.get("l", i + k), 1 << k).otherwise(0) for k in range(n))
+    plain = F.xxhash64(*[F.get("t", i + k) for k in range(n)])
+    choice = lambda v: F.xxhash64(*[F.when(v.bitwiseAND(1 << k) > 0, F.get("l", i + k)).otherwise(F.get("t", i + k)) for k in range(n)])
+    every = lambda m: F.when(m == 0, F.array(plain)).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.lit((1 << n) - 1)), lambda v: v.bitwiseAND(m) == v), choice))
+    return F.array_distinct(F.flatten(F.transform(F.array(names), every)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = 13, block: int = 5) -> DataFrame:
@@ -51,17 +64,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = 13, block: in
     if run < 2 * block - 1:
         raise ValueError("a run must be long enough to hold a whole block: run >= 2 * block - 1")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), annotate(F.col("text")).alias("a")).where("item_id IS NOT NULL AND a <> ''").distinct()
-    items = items.select("item_id", F.split("a", " ").alias("item"), template(F.col("a")).alias("t")).where(F.size("t") >= block)
-    windows = items.select("item_id", F.explode(F.sequence(F.lit(0), F.size("t") - block)).alias("i"), F.size("t").alias("size"), "t").select("item_id", "i", "size", _hash("t", F.col("i"), block).alias("h"))
+    items = items.select("item_id", F.split("a", " ").alias("item"), template(F.col("a")).alias("t"), worded(F.col("a")).alias("l")).where(F.size("t") >= block)
+    windows = items.select("item_id", F.explode(F.sequence(F.lit(0), F.size("t") - block)).alias("i"), F.size("t").alias("size"), "t", "l").select("item_id", "i", "size", F.explode(_hashes(F.col("i"), block)).alias("h"))
     small = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     marked = own.select("doc_id", annotate(F.col("text")).alias("a"))
-    split = marked.select("doc_id", template(F.col("a")).alias("t"))
+    split = marked.select("doc_id", template(F.col("a")).alias("t"), worded(F.col("a")).alias("l"))
 
     def hits(step: int, part: DataFrame) -> DataFrame:
         places = F.sequence(F.lit(0), F.floor((F.size("t") - block) / step).cast("int"))
-        hashes = F.when(F.size("t") >= block, F.transform(places, lambda j: _hash("t", j * step, block)))
-        blocks = split.select("doc_id", F.posexplode(hashes).alias("j", "h"))
+        hashes = F.when(F.size("t") >= block, F.transform(places, lambda j: _hashes(j * step, block)))
+        blocks = split.select("doc_id", F.posexplode(hashes).alias("j", "h")).select("doc_id", "j", F.explode("h").alias("h"))
         return blocks.join(F.broadcast(part) if small else part, "h").select("doc_id", "item_id", (F.col("j") * step - F.col("i")).alias("shift")).distinct()
 
     found = hits(block, windows.where(F.col("size") >= 2 * block - 1))
@@ -72,8 +85,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = 13, block: in
     laid = pairs.join(F.broadcast(items) if small else items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "shifts")).alias("p"))
     both = own.join(laid, "doc_id").select("doc_id", F.split(annotate(F.col("text")), " ").alias("doc"), F.explode("p").alias("p")).select("doc_id", "doc", "p.item_id", "p.item", F.explode("p.shifts").alias("shift"))
     bare = lambda x: F.regexp_replace(x, f"{MID}[^{CLOSE}]*{CLOSE}", CLOSE)
-    both = both.withColumn("eq", F.transform("item", lambda x, j: (F.col("shift") + j >= 0) & F.coalesce(bare(x) == bare(F.get("doc", F.greatest(F.col("shift") + j, F.lit(0)))), F.lit(False))))
-    both = both.withColumn("same", F.transform("item", lambda x, j: F.get("eq", j) & (x == F.get("doc", F.greatest(F.col("shift") + j, F.lit(0))))))
+    word = lambda x: F.regexp_replace(x, f"{OPEN}[dnu]{MID}|{CLOSE}", "")
+    is_name = lambda x: x.startswith(f"{OPEN}n{MID}")
+    equal = lambda x, y: (x == y) | (bare(x) == bare(y)) | ((is_name(x) | is_name(y)) & (word(x) == word(y)))
+    both = both.withColumn("eq", F.transform("item", lambda x, j: (F.col("shift") + j >= 0) & F.coalesce(equal(x, F.get("doc", F.greatest(F.col("shift") + j, F.lit(0)))), F.lit(False))))
+    both = both.withColumn("same", F.transform("item", lambda x, j: F.get("eq", j) & (word(x) == word(F.get("doc", F.greatest(F.col("shift") + j, F.lit(0)))))))
 
     def runs(flags: str) -> Column:
         """Every maximal run of true ones: where it begins and how long it is."""
@@ -85,8 +101,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = 13, block: in
     # what is quoted word for word is a leak whatever stands beside it
     both = both.withColumn("part", F.explode(F.filter(F.array_union(runs("eq"), runs("same")), lambda r: r["run"] >= F.least(F.lit(run), F.size("item")))))
     both = both.select("doc_id", "item_id", "doc", "item", "shift", "part.*")
-    value = lambda x: F.regexp_extract(x, f"{MID}([^{CLOSE}]*){CLOSE}", 1)
-    slots = F.filter(F.transform(F.slice("item", F.col("from") + 1, F.col("run")), lambda x, j: F.struct(value(x).alias("i"), value(F.get("doc", F.col("shift") + F.col("from") + j)).alias("d"))), lambda s: s["i"] != "")
+    slot = lambda x: F.contains(x, F.lit(MID))
+    facing = F.transform(F.slice("item", F.col("from") + 1, F.col("run")), lambda x, j: F.struct(x.alias("x"), F.get("doc", F.col("shift") + F.col("from") + j).alias("y")))
+    slots = F.transform(F.filter(facing, lambda s: slot(s["x"]) | slot(s["y"])), lambda s: F.struct(word(s["x"]).alias("i"), word(s["y"]).alias("d")))
     both = both.withColumn("slots", F.array_distinct(slots)).withColumn("n_slots", F.size(slots))
     n = F.size("slots")
     agree = (F.size(F.array_distinct(F.transform("slots", lambda s: s["i"]))) == n) & (F.size(F.array_distinct(F.transform("slots", lambda s: s["d"]))) == n)

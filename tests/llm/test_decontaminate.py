@@ -58,3 +58,13 @@ def test_every_run_of_a_shift(spark):
     assert (2, 10) not in got and got[3, 10].run == 27
     assert got[6, 11].run == 14 and not got[6, 11].exact
     assert got[5, 10].exact and got[5, 10].run == 22  # "days until ... and then", word for word
+
+
+def test_names_anywhere_and_in_any_case(spark):
+    item = "Anna has 12 apples and gives 3 away. Then Berlin sells all of the rest."
+    short = "Which river runs through the old town of Prague today"
+    docs = [(1, item.replace("Anna", "Peter"), 0, ""), (2, f"He said:\n\"{item.replace('Anna', 'Peter').replace('Berlin', 'Paris')}\"", 0, ""), (3, item.lower(), 0, ""), (4, item.upper(), 0, "")]
+    docs += [(5, f"and so, {short}", 0, ""), (6, short.upper(), 0, ""), (7, short.replace("river", "lake"), 0, ""), (8, item.lower().replace("anna", "peter"), 0, "")]
+    got = run(spark, docs, [(10, item, 1), (11, short, 1)])
+    assert set(got) == {(1, 10), (2, 10), (3, 10), (4, 10), (5, 11), (6, 11), (8, 10)}
+    assert got[3, 10].exact and got[4, 10].exact and not got[1, 10].exact and got[5, 11].exact
