@@ -62,6 +62,12 @@ def p37_norm_key(load):
     return load("documents").where(F.length("text") < 2000).select("doc_id", t.norm_key(F.col("text")).alias("key"))
 
 
+# all documents, long ones too; its test holds it against plain Python
+@query()
+def p37_norm_key_all(load):
+    return load("documents").select("doc_id", t.norm_key(F.col("text")).alias("key"))
+
+
 HITS = " + ".join(f"CASE WHEN contains(lower(line), '{x}') THEN 1 ELSE 0 END" for x in t.HEADER_TOKENS)
 KIND = rf"""CASE WHEN regexp_matches(line, '(?i)\*\s*Obs[:\s]') THEN 'note' WHEN ({HITS}) >= 3 AND NOT regexp_matches(line, '\d\.\d\d\.\d{{5}}') THEN 'header' WHEN regexp_matches(line, '(?i)OUTROS\s+EXEMPLOS') THEN 'section'
     WHEN contains(upper(line), 'TOTAL DE COPARTICI') THEN 'total' WHEN regexp_matches(line, '^\d\.\d\d\.\d{{5}}') THEN 'item' ELSE 'other' END"""

@@ -1,3 +1,4 @@
+import re
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -86,3 +87,14 @@ def test_updates_and_targets(spark, tmp_path):
     cells = table(spark, [["", "one"], ["A ", "B"], ["C", "D"]])
     assert readers.target_columns(cells) == ["A", "B"]
     assert readers.target_columns(cells.limit(0), "x, ,y") == ["x", "y"] and readers.target_columns(cells.limit(0)) == []
+
+
+def test_keys_of_all_documents(spark):
+    from docops.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fold = str.maketrans("çáàãâéêíóôõú", "caaaaeeiooou")
+    plain = lambda x: re.sub(r"[ \t\n\v\f\r]+", " ", (x or "").strip(" ").lower()).translate(fold).replace("%", " pct ").replace("º", "")
+    got = {r.doc_id: r.key for r in QUERIES["p37_norm_key_all"](spark, sf).collect()}
+    assert any(len(x or "") >= 2000 for x in docs.values()) and got == {i: plain(x) for i, x in docs.items()}
