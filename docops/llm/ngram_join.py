@@ -4,20 +4,23 @@
    link with no other and leaves.
 2. The sets left, rarest shingles first, meet others on their prefix: two sets alike share one of its shingles.
    Each shingle gives star edges, so the edges are as many as the prefixes; their components bound where links are.
-3. Components are cut into size-banded tiles (``tile`` sets each; only the same or the next band can link).  Within a
-   tile, hashed bitmap signatures bound the overlap from above by bit counts, and what passes is decided by exact
-   intersection of sorted arrays; sets already connected aren't compared again.
-4. A component of several tiles shares ``pivots`` sets among its tiles, which connects most of it; the sets still
-   apart from its largest group then visit every tile they may link with.  So no link is lost, no task gets a whole
-   large group, and copies never make pairs.
+3. A component of at most ``tile`` sets is one tile.  A larger one is first cut by partition signatures, which sets
+   that share no more than some passages do not have in common; what stays large is cut into size-banded tiles (only
+   the same or the next band can link).  Within a tile, hashed bitmap signatures bound the overlap from above by bit
+   counts, and what passes is decided by exact intersection of sorted arrays; sets already connected aren't compared.
+4. A component of several tiles shares ``pivots`` sets among its tiles, which connects most of it.  The sets still
+   apart from its largest group then meet all its other sets, a piece of about ``tile`` of them and a tile at a time.
+   So no link is lost, no task gets more than about twice ``tile`` sets, and copies never make pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Texts, Words, by_chunk, by_owner, chunked, cut, deltas, groups, mix, pack, undeltas, unpack, with_answers
@@ -165,64 +168,133 @@ def _tiled(tiles: DataFrame, percent: int) -> DataFrame:
     return tiles.groupBy("tile").applyInArrow(one, "a long, b long")
 
 
+def _signatures(percent: int):
+    """(rid, component, sig) of rows (rid, component, band, tokens): sets that link share one.
+
+    Of two linked sets, the smaller in band b, at most ``most`` shingles stand in only one.  Dealt by hash into more
+    than so many parts, some part holds the same shingles in both.  A part is a signature by its number and contents;
+    empty parts are signatures only of sets with more than ``spare`` of them, as some other part agrees else.
+    """
+    step = _step(percent)
+
+    def one(band: int, tokens: np.ndarray) -> np.ndarray:
+        most = int(np.exp((band + 1) * step) * (1 + 1e-6) * (100 - percent) / percent)
+        spare = most // 50 + (most >= 4)
+        parts = most + 1 + spare
+        part = (mix(tokens ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        number = part[order]
+        first = groups(number)
+        number, content = number[first], np.add.reduceat(mix(tokens[order] ^ np.uint64(0x9FB21C651E98DF25)), first)
+        if parts - len(number) > spare:
+            empty = np.setdiff1d(np.arange(parts), number, assume_unique=True)
+            number, content = np.concatenate([number, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
+        return mix(content * np.uint64(0x9E3779B97F4A7C15) + (number + (band << 32)).astype(np.uint64))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, component, band, tokens in zip(*(batch[c].to_pylist() for c in ("rid", "component", "band", "tokens"))):
+                t = np.frombuffer(tokens, np.uint64)
+                sig = np.concatenate([one(b, t) for b in (band, band - 1) if b >= 0])
+                ids = [pa.array(np.full(len(sig), x, np.int64)) for x in (rid, component)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(sig.view(np.int64))], ["rid", "component", "sig"])
+
+    return every
+
+
+def _step(percent: int) -> float:
+    """Width of a band in log sizes: a link stays within a band or goes to the next."""
+    return float(np.log(100 / percent)) * (1 + 1e-9)
+
+
+def _split(large: DataFrame, percent: int) -> DataFrame:
+    """Components of shared prefixes cut into components of shared signatures; sets that share none can't link and go."""
+    sigs = stored(large.mapInArrow(_signatures(percent), "rid long, component long, sig long"), "signatures")
+    roots = sigs.groupBy("component", "sig").agg(F.min("rid").alias("root"), F.count("*").alias("c")).where("c > 1").drop("c")
+    near = components(sigs.join(roots, ["component", "sig"]).where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
+    return large.drop("component").join(near, F.col("rid") == F.col("id")).select("rid", "component", "band", "tokens")
+
+
+def _home_tiles(large: DataFrame, salts: DataFrame, tile: int, pivots: int) -> DataFrame:
+    """Every set in the tile of its band and salt, and the pivots of a component in all tiles that they may link with."""
+    cols = [F.concat_ws("/", "component", "to", "salt").alias("tile"), "rid", "tokens", F.lit(True).alias("active"), F.col("rid").alias("apart")]
+    # the pivots of a band: those whose hash falls in a bounded share of it
+    chosen = large.where(F.pmod(F.xxhash64("rid", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("salts") * tile / pivots))) == 0)
+    other = salts.select("component", F.col("band").alias("to"), F.col("salts").alias("to_salts"))
+    visits = chosen.drop("salt").withColumn("to", F.explode(_bands("band"))).join(other, ["component", "to"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("to_salts") - 1)))
+    return large.withColumn("to", F.col("band")).select(*cols).unionByName(visits.select(*cols)).dropDuplicates(["tile", "rid"])
+
+
+def _bands(band: str) -> Column:
+    return F.array(*[F.col(band) + d for d in (-1, 0, 1)])
+
+
+def _pair_tiles(labelled: DataFrame, salts: DataFrame, tile: int) -> DataFrame:
+    """Tiles where the sets still apart from a component's main group meet every other set of it.
+
+    Those sets are dealt into pieces of about ``tile``; a tile is one piece and one home tile, so it never holds more
+    than about twice ``tile`` sets, however large the component is.
+    """
+    rest = labelled.where("group <> main")
+    pieces = rest.groupBy("component", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("pieces"))
+    name = F.concat_ws("/", "component", "to", "salt", "from", "piece").alias("tile")
+    cols = [name, "rid", "tokens", "active", F.col("group").alias("apart")]
+    visitors = rest.join(pieces, ["component", "band"]).withColumn("piece", F.pmod(F.xxhash64("rid", F.lit(2)), F.col("pieces")).cast("int")).drop("salt", "salts")
+    other = salts.select("component", F.col("band").alias("to"), F.col("salts").alias("to_salts"))
+    visitors = visitors.withColumn("from", F.col("band")).withColumn("to", F.explode(_bands("band"))).join(other, ["component", "to"])
+    visitors = visitors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("to_salts") - 1))).withColumn("active", F.lit(True))
+    hosts = labelled.withColumn("to", F.col("band")).withColumn("from", F.explode(_bands("band"))).join(pieces.withColumnRenamed("band", "from"), ["component", "from"])
+    hosts = hosts.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("active", F.lit(False))
+    both = hosts.select(*cols).unionByName(visitors.select(*cols))
+    return both.groupBy("tile", "rid", "apart").agg(F.max("active").alias("active"), F.first("tokens").alias("tokens"))
+
+
 def linked(docs: DataFrame, k: int = 5, percent: int = 80, tile: int = 512, pivots: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of Jaccard similarity >= percent / 100.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; with fewer than k words the whole sequence is the one
     shingle; a null, empty or blank text has an empty set, linked with nothing.  Repeated rows of one doc_id each give
-    a row of the same component (they should be of one text); rows without doc_id are left out; other columns are ignored.
+    a row, and all of them the component of the smallest doc_id that any of the rows' sets is linked with; rows
+    without doc_id are left out; other columns are ignored; an empty table gives an empty result.
+
+    Shingles are 64-bit hashes and equal sets have equal pairs of 64-bit sums, so a false link needs a collision
+    within one compared pair: for sets of n shingles a chance of about n**2 / 2**64.
     """
-    spark = docs.sparkSession
     sets = stored(shingle_sets(docs, k, percent), "sets")
     # one set for all equal ones
     reps = stored(sets.where("tokens IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rid")), "reps")
-    own = sets.where("tokens IS NOT NULL").withColumnRenamed("doc_id", "rid").select("rid", "n", "prefix", "tokens")
-    distinct = own.join(reps.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
+    own = sets.where("tokens IS NOT NULL").withColumnRenamed("doc_id", "rid").select("s1", "s2", "rid", "n", "prefix", "tokens")
+    distinct = own.join(reps, ["s1", "s2", "rid"], "left_semi").dropDuplicates(["rid", "s1", "s2"])
     prefix = distinct.select("rid", F.explode("prefix").alias("token"))
     roots = prefix.groupBy("token").agg(F.min("rid").alias("root"), F.count("*").alias("c")).where("c > 1").drop("c")
     near = components(prefix.join(roots, "token").where("rid <> root").select(F.col("rid").alias("a"), F.col("root").alias("b")))
-    # bands of sizes: a link stays within a band or goes to the next
-    step = float(np.log(100 / percent)) * (1 + 1e-9)
-    placed = stored(distinct.join(near, F.col("rid") == F.col("id")).select("rid", "component", F.floor(F.log(F.col("n")) / F.lit(step)).cast("int").alias("band"), "tokens"), "placed")
-    counts = placed.groupBy("component", "band").count()
-    whole = counts.groupBy("component").agg(F.sum("count").alias("total"))
-    small = whole.where(F.col("total") <= tile)
-    tiles = placed.join(small, "component").select(F.col("component").cast("string").alias("tile"), "rid", "tokens", F.lit(True).alias("active"), F.col("rid").alias("apart"))
+    placed = stored(distinct.join(near, F.col("rid") == F.col("id")).select("rid", "component", F.floor(F.log(F.col("n")) / F.lit(_step(percent))).cast("int").alias("band"), "tokens"), "placed")
+    over = lambda df: df.groupBy("component").count().where(F.col("count") > tile).select("component")
+    single = lambda df: df.select(F.col("component").cast("string").alias("tile"), "rid", "tokens", F.lit(True).alias("active"), F.col("rid").alias("apart"))
+    big = over(placed)
+    tiles, large = single(placed.join(big, "component", "left_anti")), None
+    if big.limit(1).count():
+        fine = stored(_split(placed.join(big, "component", "left_semi"), percent), "split")
+        tiles = tiles.unionByName(single(fine.join(over(fine), "component", "left_anti")))
+        salts = fine.join(over(fine), "component", "left_semi").groupBy("component", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("salts"))
+        large = fine.join(salts, ["component", "band"]).withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int"))
+        tiles = tiles.unionByName(_home_tiles(large, salts, tile, pivots))
     edges = stored(_tiled(tiles, percent), "links")
-    if whole.where(F.col("total") > tile).limit(1).count():
-        salts = counts.join(whole.where(F.col("total") > tile), "component").select("component", "band", F.ceil(F.col("count") / tile).cast("int").alias("salts"))
-        large = placed.join(salts, ["component", "band"]).withColumn("salt", F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int"))
-        name = F.concat_ws("/", "component", "to", "salt").alias("tile")
-        home = large.withColumn("to", F.col("band"))
-        # the pivots of a band: those whose hash falls in a bounded share of it
-        chosen = large.where(F.pmod(F.xxhash64("rid", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("salts") * tile / pivots))) == 0)
-        other = salts.select("component", F.col("band").alias("to"), F.col("salts").alias("to_salts"))
-
-        def visits(rows: DataFrame) -> DataFrame:
-            """Rows in every tile of their own and the two next bands."""
-            out = rows.drop("salts", "salt").withColumn("to", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)]))).join(other, ["component", "to"])
-            return out.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("to_salts") - 1)))
-
-        cols = [name, "rid", "tokens", F.lit(True).alias("active"), F.col("rid").alias("apart")]
-        first = home.select(*cols).unionByName(visits(chosen).select(*cols)).dropDuplicates(["tile", "rid"])
-        edges = stored(edges.unionByName(_tiled(first, percent)), "links")
-        group = stored(large.select("rid", "component").join(components(edges).withColumnRenamed("component", "group"), F.col("rid") == F.col("id"), "left").select("rid", "component", F.coalesce("group", "rid").alias("group")), "groups")
-        sizes = group.groupBy("component", "group").count()
-        main = sizes.groupBy("component").agg(F.max(F.struct("count", "group")).alias("m")).select("component", F.col("m.group").alias("main"))
-        labelled = large.join(group.select("rid", "group"), "rid").join(main, "component")
-        rest = labelled.where("group <> main")
-        if rest.limit(1).count():
-            cols = [name, "rid", "tokens"]
-            second = labelled.withColumn("to", F.col("band")).select(*cols, F.lit(False).alias("active"), F.col("group").alias("apart"))
-            second = second.unionByName(visits(rest).select(*cols, F.lit(True).alias("active"), F.col("group").alias("apart")))
-            second = second.groupBy("tile", "rid", "apart").agg(F.max("active").alias("active"), F.first("tokens").alias("tokens"))
-            edges = stored(edges.unionByName(_tiled(second, percent)), "links")
     group = components(edges)
+    if large is not None:
+        named = stored(large.select("rid", "component").join(group.withColumnRenamed("component", "group"), F.col("rid") == F.col("id"), "left").select("rid", "component", F.coalesce("group", "rid").alias("group")), "groups")
+        sizes = named.groupBy("component", "group").count()
+        main = sizes.groupBy("component").agg(F.max(F.struct("count", "group")).alias("m")).select("component", F.col("m.group").alias("main"))
+        labelled = large.join(named.select("rid", "group"), "rid").join(main, "component")
+        if labelled.where("group <> main").limit(1).count():
+            group = components(edges.unionByName(stored(_tiled(_pair_tiles(labelled, salts, tile), percent), "links")))
+    # copies take what their set's representative has; empty sets stay out of the join on set hashes
     classes = reps.join(group, F.col("rid") == F.col("id"), "left").select("s1", "s2", F.coalesce("component", "rid").alias("root"))
-    lone = sets.groupBy("s1", "s2").agg(F.min("doc_id").alias("own"))
-    classes = lone.join(classes, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("root", "own").alias("root"))
-    out = sets.select("doc_id", "n", "s1", "s2").join(classes, ["s1", "s2"])
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))
+    some = sets.where("n > 0").select("doc_id", "n", "s1", "s2")
+    classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("own")).join(classes, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("root", "own").alias("root"))
+    out = some.join(classes, ["s1", "s2"]).select("doc_id", "n", F.col("root").alias("component_id"))
+    out = out.unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 ORACLE = r"""

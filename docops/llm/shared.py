@@ -67,17 +67,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge table: (id, component), the component being its smallest id.
 
-    Each partition first reduces its edges to stars.  Then every vertex takes the smallest label of its neighbours and
-    itself, and that label's label; each round is written to the shared folder.  Ids without an edge do not appear.
-    Nothing is gathered on the driver but whether a label moved.
+    Edges are reduced to stars twice: as they lie, and after a shuffle by their larger end, when a vertex comes out of
+    one partition only (but for the few that are roots elsewhere), however many partitions held its edges.  Then every
+    vertex takes the smallest label of its neighbours and itself, and that label's label; each round is written to the
+    shared folder.  Ids without an edge do not appear.  Nothing is gathered on the driver but whether a label moved.
     """
-    few = max(16, partitions(edges.sparkSession) // 8)  # rounds are small: files and tasks beyond this only cost time
-    stars = edges.where(F.col(a) != F.col(b)).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).mapInArrow(_forest, "u long, v long")
-    ends = F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")), F.struct("u", F.col("u").alias("v")), F.struct(F.col("v").alias("u"), "v")))
-    both = stored(stars.select(ends).distinct().coalesce(few), "edges")
-    label = stored(both.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "id").coalesce(few), "labels")
+    spark = edges.sparkSession
+    few = max(16, partitions(spark) // 8)  # rounds are small: files and tasks beyond this only cost time
+    high, low = F.greatest(F.col(a), F.col(b)).cast("long").alias("u"), F.least(F.col(a), F.col(b)).cast("long").alias("v")
+    stars = edges.where(F.col(a) != F.col(b)).select(high, low).mapInArrow(_forest, "u long, v long")
+    stars = stored(stars.repartition(partitions(spark), "u").mapInArrow(_forest, "u long, v long").distinct().coalesce(few), "stars")
+    ways = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    label = stored(ways.groupBy("u").agg(F.min(F.least("u", "v")).alias("label")).withColumnRenamed("u", "id").coalesce(few), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("low"), F.min(F.when(F.col("u") == F.col("v"), F.col("label"))).alias("own"))
+        own = label.select(F.col("id").alias("u"), F.col("label").alias("low"), F.col("label").alias("own"))
+        near = ways.join(label.withColumnRenamed("id", "v"), "v").select("u", F.col("label").alias("low"), F.lit(None).cast("long").alias("own"))
+        near = near.unionByName(own).groupBy("u").agg(F.min("low").alias("low"), F.min("own").alias("own"))
         jump = label.select(F.col("id").alias("low"), F.col("label").alias("far"))
         moved = F.least("low", "far")
         step = stored(near.join(jump, "low").select(F.col("u").alias("id"), moved.alias("label"), (moved < F.col("own")).alias("moved")).coalesce(few), "labels")

@@ -90,3 +90,42 @@ def test_links_against_all_pairs():
                 x, y = want[a], want[b]
                 want = {i: x if v == y else v for i, v in want.items()}
     assert all((root[a] == root[b]) == (want[a] == want[b]) for a in range(60) for b in range(60))
+
+
+def passages(n_docs, seed=4):
+    """Documents of ten shared passages each, no two of them alike enough to link, all joined by shared shingles."""
+    r = random.Random(seed)
+    pool = [" ".join(f"p{p}x{i}" for i in range(12)) for p in range(n_docs)]
+    return [(i, " ".join(r.sample(pool, 10))) for i in range(n_docs)]
+
+
+def test_shared_passages_make_small_tiles(spark, monkeypatch):
+    """Thousands of sets in one component of shared prefixes that don't link: rows are linear and tiles bounded."""
+    from docops.llm import ngram_join
+
+    rows, tiled = {}, ngram_join._tiled
+
+    def watched(tiles, percent):
+        got = tiles.groupBy("tile").count().toPandas()["count"]
+        rows[n] = (rows.get(n, (0, 0))[0] + int(got.sum()), max(rows.get(n, (0, 0))[1], int(got.max()) if len(got) else 0))
+        return tiled(tiles, percent)
+
+    monkeypatch.setattr(ngram_join, "_tiled", watched)
+    for n in (1000, 2000, 4000):
+        df = spark.createDataFrame(passages(n), "doc_id long, text string")
+        assert all(c == i for i, (_, c) in got(linked(df, 4, 85, tile=64)).items())
+    assert all(total <= 2 * n and most <= 192 for n, (total, most) in rows.items())
+
+
+def test_pair_tiles_are_bounded(spark):
+    """Sets that one component's signatures hold together, yet do not link: pieces and tiles stay bounded, no link is lost."""
+    r = random.Random(9)
+    w = [f"v{i}" for i in range(120)]
+    texts = {}
+    for i in range(300):  # random subsets of edits: some pairs link, some don't
+        x = list(w)
+        for j in r.sample(range(120), 4):
+            x[j] = f"e{r.randrange(40)}"
+        texts[i] = " ".join(x)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert got(linked(df, 4, 85, tile=16, pivots=2)) == brute(texts)
