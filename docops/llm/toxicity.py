@@ -3,10 +3,11 @@
 The index is fitted on at most ``sample`` labelled documents (those of smallest hash), with all their terms; the bound
 is a parameter, so what is broadcast is bounded.  A term's weight is its TF-IDF times 1 + chi-squared of term and
 label: no word is dropped, and those that tell the labels apart weigh most.  Every document is scored against the index
-with its whole vector, words that no example has included.  Postings are sparse and stand in blocks of examples with
-each term's largest weight; a search adds up the strong terms first and looks further only at examples that can still
-reach the k-th best by the weak terms' maxima, over all and by block, so it is exact.  Votes are weighted by closeness, with the label's rate as a prior of weight
-``prior_weight``.
+with its whole vector, words that no example has included.  A search adds up the rare terms' postings first; the common
+terms' postings stand in blocks of examples with each term's largest weight, and only blocks that can still reach the
+k-th best by these maxima are opened.  The examples within reach are then added up in double precision, so the search
+is exact.  Votes are weighted by closeness, with the label's rate as a prior of weight ``prior_weight``, and calibrated
+by a logistic line fitted on the examples, each voted on by the others.
 """
 
 from __future__ import annotations
@@ -18,11 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+#: A term that more than one example in so many has is common.
+COMMON = 16
+#: Texts searched at a time.
+BATCH = 64
 RESULT = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>"
 
 
@@ -35,43 +40,51 @@ def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def _least_of(x: np.ndarray, k: int) -> float:
+    """The k-th largest value, minus infinity if there are fewer."""
+    return float(np.partition(x, -k)[-k]) if len(x) > k else -np.inf
+
+
 class BlockMaxIndex:
-    """Unit vectors of the examples as postings by term, and every term's largest weight by block of examples.
+    """Unit vectors of the examples as postings by term, in blocks of examples with every common term's largest weight.
 
+    Postings of rare terms are lists, those of common terms (more than one example in ``COMMON``) rows of a block.
     idf: a term's factor; unseen: that of a term that no example has.  counts: a dict, or term numbers and counts.
     """
 
     def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, counts: list, labels: list[int], ids: list[int], prior: float, unseen: float = 0.0):
         self.vocabulary, self.idf, self.prior, self.unseen = vocabulary, idf, prior, unseen
+        self.slope, self.shift = 1.0, 0.0  # of the calibration, on log odds
         rows = [(self.vector(c), y, i) for c, y, i in zip(counts, labels, ids)]
         rows.sort(key=lambda r: (r[0][0][np.argmax(r[0][1])], r[2]))  # like examples stand together: tight bounds
         self.labels = np.array([y for _, y, _ in rows], float)
         self.ids = np.array([i for _, _, i in rows], np.int64)
         self.blocks = -(-len(rows) // BLOCK)
-        term = np.concatenate([np.zeros(0, np.int64), *(t for (t, _), _, _ in rows)])
-        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(t) for (t, _), _, _ in rows])
-        order = np.argsort(term, kind="stable")  # by term, then example
-        term, self.row = term[order], row[order]
-        self.weight = np.concatenate([np.zeros(0), *(w for (_, w), _, _ in rows)])[order]
-        place = term * max(self.blocks, 1) + self.row // BLOCK
-        first = np.flatnonzero(np.diff(place, prepend=-1))  # of each term's part in a block
-        self.block = (self.row[first] // BLOCK).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.begin = np.append(first, len(term))
-        self.parts = np.searchsorted(term[first], np.arange(len(vocabulary) + 1))
-        self.start = self.begin[self.parts]
-        self.top = np.array([self.most[i:j].max() if j > i else 0.0 for i, j in zip(self.parts, self.parts[1:])])
         self.own_term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for (t, _), _, _ in rows)])  # by example
         self.own_weight = np.concatenate([np.zeros(0), *(w for (_, w), _, _ in rows)])
         self.own_start = np.cumsum([0, *(len(t) for (t, _), _, _ in rows)])
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.own_start))
+        df = np.bincount(self.own_term, minlength=len(vocabulary))
+        common = np.flatnonzero(df > max(BLOCK, len(rows) // COMMON))
+        self.place = np.full(len(vocabulary), -1, np.int32)
+        self.place[common] = np.arange(len(common))
+        place = self.place[self.own_term]
+        often = place >= 0
+        self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
+        self.dense[row[often] // BLOCK, place[often], row[often] % BLOCK] = self.own_weight[often]
+        self.most = self.dense.max(axis=2, initial=0.0).T  # (common term, block)
+        self.doubt = 2.0**-23 * (len(common) + 16)  # what single precision may add or lose
+        order = np.flatnonzero(~often)
+        order = order[np.argsort(self.own_term[order], kind="stable")]  # by term, then example
+        self.row, self.weight = row[order].astype(np.int64), self.own_weight[order]
+        self.start = np.searchsorted(self.own_term[order], np.arange(len(vocabulary) + 1))
         self.scratch = np.zeros(len(vocabulary))
 
     @property
     def weights(self) -> np.ndarray:
         """All weights, a row a term and a column an example."""
         out = np.zeros((len(self.vocabulary), self.blocks * BLOCK))
-        size = np.diff(self.begin)
-        out[np.repeat(np.repeat(np.arange(len(self.vocabulary)), np.diff(self.parts)), size), self.row] = self.weight
+        out[self.own_term, np.repeat(np.arange(len(self.ids)), np.diff(self.own_start))] = self.own_weight
         return out
 
     def vector(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray], beyond: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -82,51 +95,89 @@ class BlockMaxIndex:
 
     def nearest(self, counts: dict[int, int], k: int, beyond: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples of positive cosine and their cosines, nearest first; of equal ones the first in the index."""
-        t, w = self.vector(counts, beyond)
-        most = w * self.top[t]
-        order = np.argsort(-most, kind="stable")
-        rest = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)  # what the terms from here on can add
-        cut = int(np.searchsorted(-rest, -0.02 * rest[0]))
-        strong, weak = order[:cut], order[cut:]
-        part = self._sums(self.start, t[strong], w[strong], self.row, self.weight, len(self.ids))
-        least = (np.partition(part, -k)[-k] if len(part) > k else 0.0) - 1e-12
-        rows = np.flatnonzero(part + rest[cut] >= least)
-        if len(rows) > 4 * k:  # the weak terms' block maxima
-            bound = self._sums(self.parts, t[weak], w[weak], self.block, self.most, self.blocks)
-            rows = rows[part[rows] + bound[rows // BLOCK] >= least]
-        if len(rows) > len(part) // 8:
-            got = (part + self._sums(self.start, t[weak], w[weak], self.row, self.weight, len(self.ids)))[rows]
+        return self.search([self.vector(counts, beyond)], k)[0]
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, leave: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """As nearest, for unit vectors; leave: an example to pass over, of each query."""
+        out = []
+        for i in range(0, len(queries), BATCH):
+            out += self._search(queries[i : i + BATCH], k, None if leave is None else leave[i : i + BATCH])
+        return out
+
+    def _search(self, queries: list, k: int, leave: np.ndarray | None) -> list:
+        common = np.zeros((len(queries), self.most.shape[0]), np.float32)
+        part = np.zeros((len(queries), self.blocks * BLOCK))  # what the rare terms add
+        part[:, len(self.ids) :] = -1.0
+        for i, (t, w) in enumerate(queries):
+            place = self.place[t]
+            often = place >= 0
+            common[i, place[often]] = w[often]
+            rare = t[~often]
+            first, size = self.start[rare], self.start[rare + 1] - self.start[rare]
+            at = _ranges(first, size)
+            part[i, : len(self.ids)] += np.bincount(self.row[at], self.weight[at] * np.repeat(w[~often], size), minlength=len(self.ids))
+            if leave is not None:
+                part[i, leave[i]] = -1.0
+        bound = common @ self.most  # by block: what the common terms can add
+        most = part.reshape(len(queries), self.blocks, BLOCK).max(axis=2)
+        least = np.array([_least_of(p, k) for p in part]) - self.doubt
+        alive = most + bound >= least[:, None]
+        wide = np.flatnonzero(alive.sum(axis=1) > self.blocks // 4)
+        sums = dict(zip(wide.tolist(), (common[wide] @ self.dense).transpose(1, 0, 2).reshape(len(wide), -1))) if len(wide) else {}
+        return [self._exact(t, w, self._reach(part[i], sums.get(i), common[i], np.flatnonzero(alive[i]), k), k) for i, (t, w) in enumerate(queries)]
+
+    def _reach(self, part: np.ndarray, sums: np.ndarray | None, common: np.ndarray, blocks: np.ndarray, k: int) -> np.ndarray:
+        """Examples that may be among the k nearest: all sums of the open blocks, in single precision."""
+        if sums is None:
+            rows = _ranges(blocks * BLOCK, np.full(len(blocks), BLOCK))
+            total = part[rows] + (common @ self.dense[blocks]).reshape(-1)
         else:
-            size = self.own_start[rows + 1] - self.own_start[rows]
-            at = _ranges(self.own_start[rows], size)
-            self.scratch[t] = w
-            got = np.bincount(np.repeat(np.arange(len(rows)), size), self.scratch[self.own_term[at]] * self.own_weight[at], minlength=len(rows))
-            self.scratch[t] = 0.0
+            rows, total = np.arange(len(part)), part + sums
+        near = total >= max(_least_of(total, k) - 2 * self.doubt, 0.0)
+        return rows[near & (part[rows] >= 0)]
+
+    def _exact(self, t: np.ndarray, w: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        size = self.own_start[rows + 1] - self.own_start[rows]
+        at = _ranges(self.own_start[rows], size)
+        self.scratch[t] = w
+        got = np.bincount(np.repeat(np.arange(len(rows)), size), self.scratch[self.own_term[at]] * self.own_weight[at], minlength=len(rows))
+        self.scratch[t] = 0.0
         rows, got = rows[got > 0], got[got > 0]
         best = np.lexsort((rows, -got))[:k]
         return rows[best], got[best]
 
-    @staticmethod
-    def _sums(start: np.ndarray, t: np.ndarray, w: np.ndarray, place: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        """The terms' values times w, added up by place."""
-        if not len(t):
-            return np.zeros(n)
-        first, end = start[t], start[t + 1]
-        slices = [slice(i, j) for i, j in zip(first.tolist(), end.tolist())]
-        return np.bincount(np.concatenate([place[x] for x in slices]), np.concatenate([value[x] for x in slices]) * np.repeat(w, end - first), minlength=n)
+    def vote(self, found: np.ndarray, cosine: np.ndarray, prior_weight: float) -> float:
+        near = cosine**2
+        return float((near @ self.labels[found] + prior_weight * self.prior) / (near.sum() + prior_weight))
+
+    def calibrated(self, vote: np.ndarray) -> np.ndarray:
+        """Probabilities from votes: a line on log odds (without a fit, the votes themselves)."""
+        if (self.slope, self.shift) == (1.0, 0.0):
+            return vote
+        odds = np.log(np.clip(vote, 1e-9, 1 - 1e-9) / np.clip(1 - vote, 1e-9, 1 - 1e-9))
+        return 1 / (1 + np.exp(-(self.slope * odds + self.shift)))
+
+    def scores(self, texts: list[str | None], k: int, prior_weight: float) -> list[tuple[float, list[int]]]:
+        """Uncalibrated vote and nearest doc_ids of each text."""
+        queries, of = [], []
+        for i, text in enumerate(texts):
+            known, n, beyond = [], [], 0.0
+            for x, c in Counter(terms(text)).items():
+                if (at := self.vocabulary.get(x)) is not None:
+                    known.append(at)
+                    n.append(c)
+                else:
+                    beyond += ((1 + math.log(c)) * self.unseen) ** 2
+            if known and len(self.ids):
+                queries.append(self.vector((np.array(known, np.int64), np.array(n)), beyond))
+                of.append(i)
+        out: list[tuple[float, list[int]]] = [(self.prior, [])] * len(texts)
+        for i, (found, cosine) in zip(of, self.search(queries, k)):
+            out[i] = (self.vote(found, cosine, prior_weight), self.ids[found[:3]].tolist())
+        return out
 
     def score(self, text: str | None, k: int, prior_weight: float) -> tuple[float, list[int]]:
-        counts, beyond = {}, 0.0
-        for x, c in Counter(terms(text)).items():
-            if (n := self.vocabulary.get(x)) is not None:
-                counts[n] = c
-            else:
-                beyond += ((1 + math.log(c)) * self.unseen) ** 2
-        if not counts or not len(self.ids):
-            return self.prior, []
-        found, cosine = self.nearest(counts, k, beyond)
-        vote = cosine**2
-        return float((vote @ self.labels[found] + prior_weight * self.prior) / (vote.sum() + prior_weight)), self.ids[found[:3]].tolist()
+        return self.scores([text], k, prior_weight)[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192) -> BlockMaxIndex:
@@ -169,19 +220,49 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192) -> BlockMaxIndex
     return BlockMaxIndex(vocabulary, (np.log((1 + n) / (1 + df)) + 1) * (1 + chi2), counts, rows["toxic"].to_pylist(), rows["doc_id"].to_pylist(), pos / n, float(np.log(1 + n) + 1))
 
 
+def calibrate(spark: SparkSession, index: BlockMaxIndex, k: int = 25, prior_weight: float = 0.5) -> BlockMaxIndex:
+    """Fit the calibration on the examples themselves, each scored by the others; tasks search, the driver fits two numbers."""
+    n = len(index.ids)
+    if not n or index.labels.min() == index.labels.max():
+        return index
+    shared = spark.sparkContext.broadcast(index)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for b in batches:
+            rows = b["id"].to_numpy()
+            parts = [slice(i, j) for i, j in zip(model.own_start[rows].tolist(), model.own_start[rows + 1].tolist())]
+            got = model.search([(model.own_term[p].astype(np.int64), model.own_weight[p]) for p in parts], k, rows)
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array([model.vote(f, c, prior_weight) for f, c in got], pa.float64())], ["id", "vote"])
+
+    got = spark.range(0, n, 1, max(1, n // 256)).mapInArrow(votes, "id long, vote double").toArrow().sort_by("id")  # a number an example
+    vote, label = got["vote"].to_numpy(), index.labels
+    x = np.stack([np.log(np.clip(vote, 1e-9, 1) / np.clip(1 - vote, 1e-9, 1)), np.ones(n)], axis=1)
+    target = np.where(label > 0, (label.sum() + 1) / (label.sum() + 2), 1 / (n - label.sum() + 2))  # never quite sure
+    line = np.array([1.0, 0.0])
+    for _ in range(50):  # Newton's steps for a logistic line
+        p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target))
+        line -= np.clip(step, -1, 1)
+    if line[0] > 0:
+        index.slope, index.shift = float(line[0]), float(line[1])
+    return index
+
+
 def score_toxicity(docs: DataFrame, index: BlockMaxIndex, k: int = 25, prior_weight: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, neighbours (doc_ids of the nearest examples) of every document.
 
-    A text without a term of the index, null or empty, scores the label's rate; repeated rows score alike; rows
-    without doc_id are left out; only the text makes the score.
+    A text without a term of the index, null or empty, has the label's rate as its vote; repeated rows score alike; of
+    equally near examples those of smaller doc_id vote, with no say of the scored row's own; rows without doc_id are
+    left out; only the text makes the score; an empty table gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            got = [model.score(x, k, prior_weight) for x in b["text"].to_pylist()]
-            scores = np.array([s for s, _ in got], float)
+            got = model.scores(b["text"].to_pylist(), k, prior_weight)
+            scores = model.calibrated(np.array([s for s, _ in got], float))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "neighbours"])
 
     held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out")

@@ -76,3 +76,48 @@ def test_whole_vectors(spark):
     assert np.allclose(index.nearest(known, 25, ((1 + math.log(2)) * index.unseen) ** 2)[1], [x for x in every if x > 0])
     score, near = index.score(text, 25, 0.5)
     assert near and {y for i, _, y in used if i in near[: count[rare]]} == {1} and score >= 0.5
+
+
+def test_search_with_common_terms_and_a_row_left_out():
+    """Rare and common terms, open and closed blocks, more examples than one block: all against every cosine."""
+    rng = np.random.default_rng(6)
+    n, v = 900, 400
+    often = [{int(t): int(rng.integers(1, 5)) for t in {*rng.choice(12, 6, replace=False), *rng.choice(np.arange(12, v), 4, replace=False)}} for _ in range(n)]
+    idf = np.concatenate([rng.random(12) * 0.3 + 0.1, rng.random(v - 12) * 5 + 1])
+    index = toxicity.BlockMaxIndex({f"t{i}": i for i in range(v)}, idf, often, rng.integers(0, 2, n).tolist(), list(range(n)), 0.1)
+    assert 0 < index.most.shape[0] < v
+    dense = index.weights[:, :n]
+    queries = [index.vector(c) for c in often[:150]]
+    leave = np.array([int(np.flatnonzero(index.ids == i)[0]) for i in range(150)])
+    for (t, w), skip, (found, cosine), (kept, near) in zip(queries, leave, index.search(queries, 25), index.search(queries, 25, leave)):
+        every = w @ dense[t]
+        assert np.allclose(cosine, np.sort(every[every > 0])[::-1][:25]) and np.allclose(every[found], cosine) and skip in found
+        every[skip] = 0
+        assert np.allclose(near, np.sort(every[every > 0])[::-1][:25]) and skip not in kept
+
+
+def test_calibration(spark):
+    """The line is fitted on votes by the other examples: order stays, and scores are as high as labels are frequent."""
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choice("abcdefghij") + r.choice("klmnop") for _ in range(30)) + (f" bad{r.choice('xyz')}" if i % 8 == 0 and r.random() < 0.9 else ""), int(i % 8 == 0)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    index = toxicity.fit(df, df.drop("text"))
+    before = [x.score for x in toxicity.score_toxicity(df, index).orderBy("doc_id").collect()]
+    toxicity.calibrate(spark, index)
+    after = [x.score for x in toxicity.score_toxicity(df, index).orderBy("doc_id").collect()]
+    assert (index.slope, index.shift) != (1.0, 0.0)
+    assert np.array_equal(np.argsort(before, kind="stable")[-50:], np.argsort(after, kind="stable")[-50:])
+    held = [(a, b, y) for (i, _, y), a, b in zip(rows, before, after) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert abs(np.mean([b - y for _, b, y in held])) < 0.02 and np.mean([(b - y) ** 2 for _, b, y in held]) < 0.02
+
+
+def test_repeated_rows_and_ties(spark):
+    """Repeated rows score alike; of equally near examples those of smaller doc_id vote; clashing columns don't matter."""
+    rows = [(i, f"same words here {'nasty' if i % 2 else ''}", i % 2, "x", 0.1, True) for i in range(1, 80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, term string, score double, held_out boolean")
+    twice = df.unionByName(df)
+    index = toxicity.fit(twice, twice.select("doc_id", "toxic"))
+    got = toxicity.score_toxicity(twice, index).collect()
+    assert len(got) == 158 and len({(x.doc_id, x.score) for x in got}) == 79 and {x.predicted == x.doc_id % 2 for x in got} == {True}
+    want = sorted(i for i in range(1, 80, 2) if zlib.crc32(str(i).encode()) % 5)[:3]
+    assert next(x.neighbours for x in got if x.doc_id == 1) == want
