@@ -25,11 +25,13 @@ from .chunks import SPACE
 from .shared import partitions, shared_dir
 
 BATCH = 256
-#: Distinct words a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words of a generation that a worker remembers.
+REMEMBERED = 300_000
 MANIFEST = "part int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
-_TAIL = re.compile(rb"[.,!?;:]+$")
+TAIL = b".,!?;:"
+#: Of an 8-byte number, the first bytes.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Encoder:
@@ -38,6 +40,8 @@ class Encoder:
     The tokenizer drops white space and never joins across it, nor letters with other signs, so words (parted by
     ASCII white space, closing punctuation apart) can be encoded alone.  ASCII words are folded to lower case, as the
     tokenizer does.  Words of letters are encoded many at a time: each ends with the one token marked as a word's end.
+    Words met lately are remembered in two generations of at most ``REMEMBERED``, the older one going when the younger
+    is full.
     """
 
     def __init__(self, path: str):
@@ -50,6 +54,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _plain(self, words: list[bytes]) -> None:
         """Learn words of letters only."""
@@ -68,30 +73,50 @@ class Encoder:
         got = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(words, got))
 
-    def words(self, words: list[bytes]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        parts: list[tuple[bytes, ...]] = []
+    def _learn(self, words: list[bytes]) -> None:
+        known = self.known
+        parts: list[tuple[bytes, bytes, bytes]] = []
         plain, whole = {}, {}
-        for w in words:
-            w = w.lower() if w.isascii() else w
-            tail = _TAIL.search(w)
-            core = w[: tail.start()] if tail else w
+        for word in words:
+            w = word.lower() if word.isascii() else word
+            core = w.rstrip(TAIL)
             letters = core.isalpha() if core.isascii() else (c := core.decode()).isalpha() and c.lower().isalpha()
-            if tail and core and letters:
-                parts.append((core, tail[0]))
-                if tail[0] not in self.known:
-                    whole[tail[0]] = None
+            if letters and core:
+                tail = w[len(core) :]
+                if tail and tail not in known:
+                    whole[tail] = None
             else:
-                core = w
-                letters = letters and not tail
-                parts.append((w,))
-            if core not in self.known:
+                core, tail, letters = w, b"", False
+            parts.append((word, core, tail))
+            if core not in known:
                 (plain if letters else whole)[core] = None
         self._plain(list(plain))
         self._whole(list(whole))
-        known = self.known
-        return [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts]
+        for word, core, tail in parts:
+            known[word] = known[core] + known[tail] if tail else known[core]
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = [w for w in words if w not in known]
+        known.update((w, before[w]) for w in new if w in before)
+        self._learn([w for w in new if w not in known])
+        return [known[w] for w in words]
+
+    @staticmethod
+    def _distinct(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, and the number among them of each word.  Words of up to 8 bytes are compared as numbers."""
+        short = (end - start <= 8) & (b"\0" not in raw)
+        kind = np.empty(len(start), np.int64)
+        at = start[short]
+        eight = np.ndarray(len(raw) + 1, "<u8", raw + bytes(8), strides=(1,))
+        _, first, kind[short] = np.unique(eight[at] & _MASKS[end[short] - at], return_index=True, return_inverse=True)
+        words = [raw[a:b] for a, b in zip(at[first].tolist(), end[short][first].tolist())]
+        number: dict[bytes, int] = {}
+        long = [number.setdefault(raw[a:b], len(number)) for a, b in zip(start[~short].tolist(), end[~short].tolist())]
+        kind[~short] = np.array(long, np.int64) + len(words)
+        return [*words, *number], kind
 
     def texts(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by end_id, and the number of ids of each text."""
@@ -101,9 +126,8 @@ class Encoder:
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         n = np.array([len(x) + 1 for x in texts])
         last = np.searchsorted(start, np.cumsum(n))
-        number: dict[bytes, int] = {}
-        kind = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(start.tolist(), end.tolist())), np.int64, len(start))
-        tokens = self.words(list(number))
+        words, kind = self._distinct(raw, start, end)
+        tokens = self.words(words)
         flat = np.frombuffer(b"".join(tokens), self.dtype)
         size = np.array([len(t) for t in tokens], np.int64) // np.dtype(self.dtype).itemsize
         first = np.cumsum(size) - size
@@ -118,6 +142,16 @@ class Encoder:
         return out, by_text
 
 
+#: A worker keeps its encoders, and the words that they know, from task to task.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class _Writer:
     """Cuts a stream of ids into sequences and writes them in batches."""
 
@@ -153,11 +187,21 @@ class _Writer:
         self.file.close()
 
 
+def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a shared folder as Spark names it."""
+    uri = re.sub(r"^s3[an]://", "s3://", uri)
+    uri = re.sub(r"^dbfs:/+", "file:///dbfs/", uri)
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"token files need a folder that Arrow can open (file, hdfs, viewfs, s3, gs or abfs), not {uri}") from e
+
+
 class TokenFile:
     """Random access to the sequences of a file; the arrays are views of the mapped file where it is local."""
 
     def __init__(self, path: str):
-        fs, local = pafs.FileSystem.from_uri(path)
+        fs, local = filesystem(path)
         opened = lambda p: pa.memory_map(p) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(p)
         self.file = pa.ipc.open_file(opened(local))
         self.index = pa.ipc.open_file(opened(local + ".index")).read_all()
@@ -194,30 +238,32 @@ class TokenFile:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, length: int = 2048) -> DataFrame:
     """Write all documents in ascending doc_id order; one file a range of doc_ids.  Returns the manifest, a row a file.
 
-    ``path`` is a folder that all executors share.  A null text is empty (it has the end id alone); repeated rows are
-    written as often as they stand; rows without doc_id are left out; an empty table gives no files.
+    ``path`` is a folder that all executors share.  A null or empty text has the end id alone; a text of any length is
+    encoded whole; repeated rows are written as often as they stand, those of one doc_id in the order of their texts,
+    so that a task that runs again writes the same bytes; rows without doc_id are left out; an empty table gives no
+    files; other columns are ignored.
     """
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        fs, folder = pafs.FileSystem.from_uri(path)
+        fs, folder = filesystem(path)
         final, passing = f"{folder}/part-{part:06d}.arrow", f"{folder}/.passing-{uuid.uuid4().hex}"
-        encoder = writer = sink = None
+        own = writer = sink = None
         docs, starts, counts = [], [], []
         for b in batches:
             texts = b["text"].to_pylist()
             sizes, i = np.cumsum([len(x) for x in texts]), 0
             while i < len(texts):
                 if writer is None:
-                    encoder = Encoder(tokenizer)
+                    own = encoder(tokenizer)
                     fs.create_dir(folder, recursive=True)
                     sink = fs.open_output_stream(passing)
-                    writer = _Writer(sink, encoder.dtype, length)
+                    writer = _Writer(sink, own.dtype, length)
                 j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + (4 << 20))))
-                ids, n = encoder.texts(texts[i:j], end_id)
+                ids, n = own.texts(texts[i:j], end_id)
                 docs += b["doc_id"][i:j].to_pylist()
                 starts.append(writer.written + np.cumsum(n) - n)
                 counts.append(n)
@@ -233,7 +279,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             fs.move(passing, final)
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [f"{path}/part-{part:06d}.arrow"], "n_docs": pa.array([len(docs)], pa.int64()), "n_tokens": pa.array([writer.written], pa.int64())})
 
-    return own.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id").mapInArrow(write, MANIFEST)
+    return rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
