@@ -19,9 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import pack, unpack
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 #: A term that more than one example in so many has is common.
@@ -53,32 +56,58 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, counts: list, labels: list[int], ids: list[int], prior: float, unseen: float = 0.0):
+        pairs = [(np.array(sorted(c), np.int64), np.array([c[t] for t in sorted(c)])) if isinstance(c, dict) else c for c in counts]
+        size = np.array([len(t) for t, _ in pairs], np.int64)
+        term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for t, _ in pairs)])
+        count = np.concatenate([np.zeros(0, np.int32), *(n.astype(np.int32) for _, n in pairs)])
+        first = np.cumsum(size) - size
+        # like examples stand together, for tight bounds: by the term that weighs most, then doc_id
+        weight = (1 + np.log(count)) * idf[term]
+        most = np.repeat(np.maximum.reduceat(weight, first), size) if len(size) else weight
+        at = np.flatnonzero(weight == most)
+        top = term[at[np.searchsorted(at, first)]] if len(size) else first
+        order = np.lexsort((np.array(ids, np.int64), top))
+        at = _ranges(first[order], size[order])
         self.vocabulary, self.idf, self.prior, self.unseen = vocabulary, idf, prior, unseen
         self.slope, self.shift = 1.0, 0.0  # of the calibration, on log odds
-        rows = [(self.vector(c), y, i) for c, y, i in zip(counts, labels, ids)]
-        rows.sort(key=lambda r: (r[0][0][np.argmax(r[0][1])], r[2]))  # like examples stand together: tight bounds
-        self.labels = np.array([y for _, y, _ in rows], float)
-        self.ids = np.array([i for _, _, i in rows], np.int64)
-        self.blocks = -(-len(rows) // BLOCK)
-        self.own_term = np.concatenate([np.zeros(0, np.int32), *(t.astype(np.int32) for (t, _), _, _ in rows)])  # by example
-        self.own_weight = np.concatenate([np.zeros(0), *(w for (_, w), _, _ in rows)])
-        self.own_start = np.cumsum([0, *(len(t) for (t, _), _, _ in rows)])
-        row = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(self.own_start))
-        df = np.bincount(self.own_term, minlength=len(vocabulary))
-        common = np.flatnonzero(df > max(BLOCK, len(rows) // COMMON))
-        self.place = np.full(len(vocabulary), -1, np.int32)
+        self.labels, self.ids = np.array(labels, float)[order], np.array(ids, np.int64)[order]
+        self._index(term[at], count[at], size[order])
+
+    def _index(self, term: np.ndarray, count: np.ndarray, size: np.ndarray) -> None:
+        self.own_term, self.own_count = term, count  # by example
+        self.own_start = np.concatenate([[0], np.cumsum(size)])
+        weight = (1 + np.log(count)) * self.idf[term]
+        self.own_weight = weight / np.repeat(np.sqrt(np.add.reduceat(weight * weight, self.own_start[:-1])), size) if len(size) else weight
+        self.blocks = -(-len(size) // BLOCK)
+        row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        df = np.bincount(term, minlength=len(self.vocabulary))
+        common = np.flatnonzero(df > max(BLOCK, len(size) // COMMON))
+        self.place = np.full(len(self.vocabulary), -1, np.int32)
         self.place[common] = np.arange(len(common))
-        place = self.place[self.own_term]
+        place = self.place[term]
         often = place >= 0
         self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
         self.dense[row[often] // BLOCK, place[often], row[often] % BLOCK] = self.own_weight[often]
         self.most = self.dense.max(axis=2, initial=0.0).T  # (common term, block)
         self.doubt = 2.0**-23 * (len(common) + 16)  # what single precision may add or lose
         order = np.flatnonzero(~often)
-        order = order[np.argsort(self.own_term[order], kind="stable")]  # by term, then example
+        order = order[np.argsort(term[order], kind="stable")]  # by term, then example
         self.row, self.weight = row[order].astype(np.int64), self.own_weight[order]
-        self.start = np.searchsorted(self.own_term[order], np.arange(len(vocabulary) + 1))
-        self.scratch = np.zeros(len(vocabulary))
+        self.start = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+        self.scratch = np.zeros(len(self.vocabulary))
+
+    def __getstate__(self) -> tuple:
+        """Words and counts, compressed: what is broadcast is small, and each worker lays out the postings itself."""
+        words = zstandard.compress("\n".join(sorted(self.vocabulary, key=self.vocabulary.get)).encode())
+        arrays = pack(np.diff(self.own_term, prepend=np.int32(0)), self.own_count, np.diff(self.own_start), self.labels, self.ids, self.idf)
+        return words, arrays, self.prior, self.unseen, self.slope, self.shift
+
+    def __setstate__(self, state: tuple) -> None:
+        words, arrays, self.prior, self.unseen, self.slope, self.shift = state
+        listed = zstandard.decompress(words).decode()
+        self.vocabulary = {w: i for i, w in enumerate(listed.split("\n") if listed else [])}
+        term, count, size, self.labels, self.ids, self.idf = unpack(arrays)
+        self._index(np.cumsum(term, dtype=np.int32), count, size)
 
     @property
     def weights(self) -> np.ndarray:
@@ -244,6 +273,7 @@ def calibrate(spark: SparkSession, index: BlockMaxIndex, k: int = 25, prior_weig
         p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target))
         line -= np.clip(step, -1, 1)
+    shared.destroy()
     if line[0] > 0:
         index.slope, index.shift = float(line[0]), float(line[1])
     return index
