@@ -13,13 +13,16 @@ by a logistic line fitted on the examples, each voted on by the others.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +80,8 @@ class BlockMaxIndex:
         self.own_term, self.own_count = term, count  # by example
         self.own_start = np.concatenate([[0], np.cumsum(size)])
         weight = (1 + np.log(count)) * self.idf[term]
-        self.own_weight = weight / np.repeat(np.sqrt(np.add.reduceat(weight * weight, self.own_start[:-1])), size) if len(size) else weight
+        self.own_length = np.sqrt(np.add.reduceat(weight * weight, self.own_start[:-1])) if len(size) else np.zeros(0)
+        weight /= np.repeat(self.own_length, size)
         self.blocks = -(-len(size) // BLOCK)
         row = np.repeat(np.arange(len(size), dtype=np.int32), size)
         df = np.bincount(term, minlength=len(self.vocabulary))
@@ -87,15 +91,19 @@ class BlockMaxIndex:
         place = self.place[term]
         often = place >= 0
         self.dense = np.zeros((self.blocks, len(common), BLOCK), np.float32)
-        self.dense[row[often] // BLOCK, place[often], row[often] % BLOCK] = self.own_weight[often]
+        self.dense[row[often] // BLOCK, place[often], row[often] % BLOCK] = weight[often]
         self.most = self.dense.max(axis=2, initial=0.0).T  # (common term, block)
-        self.doubt = 2.0**-23 * (len(common) + 16)  # what single precision may add or lose
+        self.doubt = 2.0**-23 * (len(common) + 32)  # what single precision may add or lose
         order = np.flatnonzero(~often)
         order = order[np.argsort(term[order], kind="stable")]  # by term, then example
-        self.row, self.weight = row[order].astype(np.int64), self.own_weight[order]
+        self.row, self.weight = row[order], weight[order].astype(np.float32)
         self.start = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
         self.scratch = np.zeros(len(self.vocabulary))
 
+    def own(self, at: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Weights at places of the examples' vectors, so many of each example."""
+        return (1 + np.log(self.own_count[at])) * self.idf[self.own_term[at]] / np.repeat(self.own_length[rows], size)
+
     def __getstate__(self) -> tuple:
         """Words and counts, compressed: what is broadcast is small, and each worker lays out the postings itself."""
         words = zstandard.compress("\n".join(sorted(self.vocabulary, key=self.vocabulary.get)).encode())
@@ -113,7 +121,8 @@ class BlockMaxIndex:
     def weights(self) -> np.ndarray:
         """All weights, a row a term and a column an example."""
         out = np.zeros((len(self.vocabulary), self.blocks * BLOCK))
-        out[self.own_term, np.repeat(np.arange(len(self.ids)), np.diff(self.own_start))] = self.own_weight
+        rows, size = np.arange(len(self.ids)), np.diff(self.own_start)
+        out[self.own_term, np.repeat(rows, size)] = self.own(np.arange(len(self.own_term)), rows, size)
         return out
 
     def vector(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray], beyond: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -169,7 +178,7 @@ class BlockMaxIndex:
         size = self.own_start[rows + 1] - self.own_start[rows]
         at = _ranges(self.own_start[rows], size)
         self.scratch[t] = w
-        got = np.bincount(np.repeat(np.arange(len(rows)), size), self.scratch[self.own_term[at]] * self.own_weight[at], minlength=len(rows))
+        got = np.bincount(np.repeat(np.arange(len(rows)), size), self.scratch[self.own_term[at]] * self.own(at, rows, size), minlength=len(rows))
         self.scratch[t] = 0.0
         rows, got = rows[got > 0], got[got > 0]
         best = np.lexsort((rows, -got))[:k]
@@ -209,6 +218,22 @@ class BlockMaxIndex:
         return self.scores([text], k, prior_weight)[0]
 
 
+_HELD: dict[str, BlockMaxIndex] = {}
+
+
+def _shared(spark: SparkSession, index: BlockMaxIndex) -> Broadcast:
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, pickle.dumps(index)))
+
+
+def _held(shared: Broadcast) -> BlockMaxIndex:
+    """The index of a broadcast; a worker holds one, laid out, from task to task."""
+    name, packed = shared.value
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = pickle.loads(packed)
+    return _HELD[name]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192) -> BlockMaxIndex:
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0; at most ``sample`` of them, with all their terms."""
     usable = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -241,6 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8192) -> BlockMaxIndex
             yield pa.RecordBatch.from_arrays([x["doc_id"], x["toxic"], t, x["n"]], ["doc_id", "toxic", "term", "n"])
 
     rows = counted.mapInArrow(number, "doc_id long, toxic int, term array<int>, n array<int>").toArrow().sort_by("doc_id")  # at most ``sample`` rows of numbers
+    shared.destroy()
     counts = []
     for t, c in zip(rows["term"], rows["n"]):
         t, c = t.values.to_numpy().astype(np.int64), c.values.to_numpy()
@@ -254,14 +280,14 @@ def calibrate(spark: SparkSession, index: BlockMaxIndex, k: int = 25, prior_weig
     n = len(index.ids)
     if not n or index.labels.min() == index.labels.max():
         return index
-    shared = spark.sparkContext.broadcast(index)
+    shared = _shared(spark, index)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = _held(shared)
         for b in batches:
             rows = b["id"].to_numpy()
             parts = [slice(i, j) for i, j in zip(model.own_start[rows].tolist(), model.own_start[rows + 1].tolist())]
-            got = model.search([(model.own_term[p].astype(np.int64), model.own_weight[p]) for p in parts], k, rows)
+            got = model.search([model.vector((model.own_term[p].astype(np.int64), model.own_count[p])) for p in parts], k, rows)
             yield pa.RecordBatch.from_arrays([b["id"], pa.array([model.vote(f, c, prior_weight) for f, c in got], pa.float64())], ["id", "vote"])
 
     got = spark.range(0, n, 1, max(1, n // 256)).mapInArrow(votes, "id long, vote double").toArrow().sort_by("id")  # a number an example
@@ -286,12 +312,14 @@ def score_toxicity(docs: DataFrame, index: BlockMaxIndex, k: int = 25, prior_wei
     equally near examples those of smaller doc_id vote, with no say of the scored row's own; rows without doc_id are
     left out; only the text makes the score; an empty table gives an empty result; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = _shared(docs.sparkSession, index)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = _held(shared)
         for b in batches:
-            got = model.scores(b["text"].to_pylist(), k, prior_weight)
+            got = []
+            for i in range(0, len(b), BATCH):
+                got += model.scores(b["text"][i : i + BATCH].to_pylist(), k, prior_weight)
             scores = model.calibrated(np.array([s for s, _ in got], float))
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array([e for _, e in got], pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "neighbours"])
 
