@@ -1,10 +1,11 @@
 """Documents in compressed chunks, and hashed keys exchanged between chunks and key owners.
 
 Operators that compare every position of every text cannot shuffle a row a position.  Here a chunk holds some
-megabytes of whole documents; the work on its bytes is done with numpy on the joined texts.  A chunk sends each
-key owner (``bucket``: a range of key values) one packed row of sorted keys; the owner answers with one packed row
-a chunk.  Rows are as many as chunks times buckets, and a key that a third of the documents hold appears once a
-chunk, so no task gets more than its share.
+megabytes of whole documents; the work on its bytes is done with numpy on the joined texts.  A chunk has a packed row
+of sorted keys for each key owner (``bucket``: a range of key values), and the owner has a packed answer for it.
+Chunks travel in parts, and what a part's chunks send to one owner is one row, so rows are as many as parts times
+buckets: with some parts to a shuffle partition that is no more than a shuffle's own blocks, at any size of the input.
+A key that a third of the documents hold appears once a chunk, so no task gets more than its share.
 """
 
 from __future__ import annotations
@@ -18,8 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROW = "chunk long, bucket int, payload binary"
-_ROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
+from .shared import partitions
+
+ROW = "part long, bucket int, payload binary"
+_ROW = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary())])
+#: Chunks of a part at most, and parts to a shuffle partition from where on parts grow.
+PART, PARTS = 64, 8
+#: Bytes of text that one key owner should see the keys of.
+OWNED = 64 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,6 +37,7 @@ _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _WBASE = 0xD6E8FEB86659FD93
+_CBASE = 0xE7037ED1A0B428DB
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -84,6 +92,15 @@ class Texts:
         self.ends = self.starts + self.lengths
 
 
+    @staticmethod
+    def packed(table: pa.Table) -> bytes:
+        sink = io.BytesIO()
+        table = table.combine_chunks()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table)
+        return sink.getvalue()
+
+
 class Words:
     """Words of a chunk: start and end byte, number of the document, hash; first word and count by document."""
 
@@ -108,22 +125,46 @@ class Words:
         at = np.flatnonzero(self.count[self.doc] - self.place >= k)
         return at, self.spans(at, k)
 
+    def checks(self, at: np.ndarray, k: int) -> np.ndarray:
+        """A second hash of windows, of 32 bits, from other hashes of their words at other powers."""
+        p, inverse = powers(_CBASE, len(self._sum))
+        total = np.zeros(len(self._sum), np.uint64)
+        np.cumsum(mix(self.hash ^ np.uint64(0xA0761D6478BD642F)) * p[:-1], out=total[1:])
+        return (mix((total[at + k] - total[at]) * inverse[at]) >> np.uint64(32)).astype(np.uint32)
+
     def spans(self, at: np.ndarray, k: int | np.ndarray) -> np.ndarray:
         inverse = powers(_WBASE, len(self._sum))[1]
         return mix((self._sum[at + k] - self._sum[at]) * inverse[at] + np.asarray(k).astype(np.uint64))
 
 
-def chunked(docs: DataFrame, extra: tuple[str, ...] = (), size: int = 2 << 20) -> DataFrame:
-    """(chunk, blob): whole documents in chunks of about ``size`` bytes of text.
+def estimated(docs: DataFrame) -> int:
+    """Bytes that the optimizer expects of a table: of its files, where it is read from files.  It sets costs, never results."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def owners(docs: DataFrame) -> int:
+    """Buckets: two to a shuffle partition, more where one would see the keys of more than ``OWNED`` bytes."""
+    return max(2 * partitions(docs.sparkSession), min(estimated(docs.select("text")) // OWNED, 1 << 20))
+
+
+def key_bits(docs: DataFrame, least: int) -> int:
+    """Bits of a probe's key: some 15 more than numbers of the input's bytes have, so that few keys meet by chance."""
+    return min(64, max(least, estimated(docs.select("text")).bit_length() + 15))
+
+
+def chunked(docs: DataFrame, extra: tuple[str, ...] = (), size: int = 2 << 20, part: int | None = None) -> DataFrame:
+    """(part, chunk, blob): whole documents in chunks of about ``size`` bytes of text, so many chunks a part.
 
     A null text is empty; rows without doc_id are left out, having no identity to report.  A longer document fills
-    a chunk of its own.  Chunks are numbered by scan partition, so a recomputed partition gives the same chunks.
+    a chunk of its own.  Chunks are numbered by partition, whose rows are put in order first, so that a partition that
+    is computed again gives the same chunks, whatever order its rows come in.
     """
+    part = part or max(1, min(PART, estimated(docs.select("text")) // size // (PARTS * partitions(docs.sparkSession))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 24
+        first = number = TaskContext.get().partitionId() << 24
         for batch in batches:
             table = pa.table(batch.columns, names=batch.schema.names)
             lengths = np.fromiter((len(x) for x in table["text"].to_pylist()), np.int64, len(table))
@@ -131,15 +172,13 @@ def chunked(docs: DataFrame, extra: tuple[str, ...] = (), size: int = 2 << 20) -
             bounds = [0, *(np.flatnonzero(np.diff(cuts)) + 1), len(table)]
             for a, b in zip(bounds, bounds[1:]):
                 if b > a:
-                    sink = io.BytesIO()
-                    part = table.slice(a, b - a).combine_chunks()
-                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                        out.write_table(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue()], pa.binary())], ["chunk", "blob"])
+                    place, blob = first + (number - first) // part, Texts.packed(table.slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([number], pa.int64()), pa.array([blob], pa.binary())], ["part", "chunk", "blob"])
                     number += 1
 
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), *extra]
-    return docs.where(F.col("doc_id").isNotNull()).select(*cols).mapInArrow(pack, "chunk long, blob binary")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(*cols)
+    return rows.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(pack, "part long, chunk long, blob binary")
 
 
 def blobs(table: pa.Table) -> Iterator[tuple[int, Texts]]:
@@ -147,35 +186,58 @@ def blobs(table: pa.Table) -> Iterator[tuple[int, Texts]]:
         yield chunk, Texts(blob)
 
 
-def rows(out: list[tuple[int, int, bytes]]) -> pa.Table:
-    c, b, p = zip(*out) if out else ((), (), ())
-    return pa.Table.from_arrays([pa.array(c, pa.int64()), pa.array(b, pa.int32()), pa.array(p, pa.binary())], schema=_ROW)
+def frame(parts: list[tuple[int, bytes]]) -> bytes:
+    """Payloads of some chunks as one."""
+    head = np.array([(c, len(b)) for c, b in parts], "<i8")
+    return len(parts).to_bytes(4, "little") + head.tobytes() + b"".join(b for _, b in parts)
+
+
+def unframe(payload: bytes) -> list[tuple[int, bytes]]:
+    n = int.from_bytes(payload[:4], "little")
+    head = np.frombuffer(payload, "<i8", 2 * n, 4).reshape(n, 2)
+    ends = (4 + 16 * n + np.cumsum(head[:, 1])).tolist()
+    return [(c, payload[e - s : e]) for (c, s), e in zip(head.tolist(), ends)]
+
+
+def sent(part: int, out: list[tuple[int, int, bytes]]) -> pa.Table:
+    """(chunk, bucket, payload) of a part's chunks as one row a bucket."""
+    by: dict[int, list[tuple[int, bytes]]] = {}
+    for chunk, bucket, payload in out:
+        by.setdefault(bucket, []).append((chunk, payload))
+    return pa.Table.from_arrays([pa.array([part] * len(by), pa.int64()), pa.array(list(by), pa.int32()), pa.array([frame(x) for x in by.values()], pa.binary())], schema=_ROW)
 
 
-def by_chunk(chunks: DataFrame, fn: Callable[[int, Texts], list], schema: str | None = None, table: Callable[[list], pa.Table] = rows) -> DataFrame:
-    """``fn(chunk, texts)`` over every chunk; it returns a list that ``table`` makes rows of."""
-    return chunks.groupBy("chunk").applyInArrow(lambda t: table([x for c, texts in blobs(t) for x in fn(c, texts)]), schema or ROW)
+def by_chunk(chunks: DataFrame, fn: Callable[[int, Texts], list]) -> DataFrame:
+    """``fn(chunk, texts)`` over every chunk; it returns a list of (chunk, bucket, payload)."""
+    return chunks.groupBy("part").applyInArrow(lambda t: sent(t["part"][0].as_py(), [x for c, texts in blobs(t) for x in fn(c, texts)]), ROW)
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Texts, dict[int, bytes]], list], schema: str | None = None, table: Callable[[list], pa.Table] = rows) -> DataFrame:
-    """As by_chunk, with the chunk's answers by bucket."""
+def with_answers(chunks: DataFrame, answers: DataFrame, fn: Callable[[int, Texts, dict[int, bytes]], list], schema: str | None = None, table: Callable[[list], pa.Table] | None = None) -> DataFrame:
+    """As by_chunk, with the chunk's answers by bucket; with a schema, ``table`` makes rows of it of each chunk's list."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = dict(zip(right["bucket"].to_pylist(), right["payload"].to_pylist()))
-        return table([x for c, texts in blobs(left) for x in fn(c, texts, got)])
+        got: dict[int, dict[int, bytes]] = {}
+        for bucket, payload in zip(right["bucket"].to_pylist(), right["payload"].to_pylist()):
+            for chunk, x in unframe(payload):
+                got.setdefault(chunk, {})[bucket] = x
+        if table is None:
+            return sent(left["part"][0].as_py() if len(left) else 0, [x for c, texts in blobs(left) for x in fn(c, texts, got.pop(c, {}))])
+        return table([x for c, texts in blobs(left) for x in fn(c, texts, got.pop(c, {}))])
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(both, schema or ROW)
+    return chunks.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(both, schema or ROW)
 
 
-def by_owner(sent: DataFrame, fn: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+def by_owner(messages: DataFrame, fn: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """``fn`` gets all payloads of a bucket and returns an answer to each."""
 
     def owner(t: pa.Table) -> pa.Table:
-        t = t.sort_by("chunk")
-        answers = fn(t["payload"].to_pylist())
-        return rows(list(zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(), answers)))
+        t = t.sort_by("part")
+        framed = [unframe(x) for x in t["payload"].to_pylist()]
+        answers = iter(fn([x for parts in framed for _, x in parts]))
+        back = [frame([(c, next(answers)) for c, _ in parts]) for parts in framed]
+        return pa.Table.from_arrays([t["part"].combine_chunks(), t["bucket"].combine_chunks(), pa.array(back, pa.binary())], schema=_ROW)
 
-    return sent.groupBy("bucket").applyInArrow(owner, ROW)
+    return messages.groupBy("bucket").applyInArrow(owner, ROW)
 
 
 def pack(*arrays: np.ndarray) -> bytes:

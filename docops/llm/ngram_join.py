@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Texts, Words, by_chunk, by_owner, chunked, cut, deltas, groups, mix, pack, undeltas, unpack, with_answers
-from .shared import components, partitions, stored
+from .chunks import Texts, Words, by_chunk, by_owner, chunked, cut, deltas, groups, key_bits, mix, owners, pack, undeltas, unpack, with_answers
+from .shared import components, stored
 
+#: Bits of a probe's key at least.
 PROBE_BITS = 44
 SIGNATURE_BITS = 1024
 SETS = "doc_id long, n long, s1 long, s2 long, prefix array<long>, tokens binary"
@@ -40,7 +41,7 @@ def _table(out: list) -> pa.Table:
 class _Sets:
     """Distinct shingles of each document of a chunk, sorted by document and hash."""
 
-    def __init__(self, texts: Texts, k: int):
+    def __init__(self, texts: Texts, k: int, bits: int):
         w = Words(texts, lower=True)
         at, key = w.windows(k)
         doc = w.doc[at]
@@ -66,20 +67,20 @@ class _Sets:
         self.rep[order[~same]] = True
         self.rep &= self.n > 0
         mine = self.rep[self.doc]
-        self.sorted = np.sort(self.key[mine] >> np.uint64(64 - PROBE_BITS))
+        self.sorted = np.sort(self.key[mine] >> np.uint64(64 - bits))
         self.begin = groups(self.sorted)
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Every document's set size and set hash; prefix and tokens of those that may link (once a chunk of equal sets)."""
-    buckets = 2 * partitions(docs.sparkSession)
+    buckets, bits = owners(docs), key_bits(docs, PROBE_BITS)
     chunks = chunked(docs)
 
     def probe(chunk: int, texts: Texts) -> list:
-        s = _Sets(texts, k)
+        s = _Sets(texts, k, bits)
         key = s.sorted[s.begin]
         n = np.minimum(np.diff(np.append(s.begin, len(s.sorted))), 65535).astype(np.uint16)
-        c = cut(key, buckets, PROBE_BITS)
+        c = cut(key, buckets, bits)
         return [(chunk, b, pack(deltas(key[i:j]), n[i:j])) for b, (i, j) in enumerate(zip(c, c[1:])) if j > i]
 
     def count(sent: list[bytes]) -> list[bytes]:
@@ -95,15 +96,15 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
         return [pack(x) for x in np.split(code, np.cumsum([len(a) for a, _ in parts])[:-1])]
 
     def sets(chunk: int, texts: Texts, got: dict[int, bytes]) -> list:
-        s = _Sets(texts, k)
+        s = _Sets(texts, k, bits)
         key = s.sorted[s.begin]
-        c = cut(key, buckets, PROBE_BITS)
+        c = cut(key, buckets, bits)
         code = np.zeros(len(key), np.uint8)
         for b, x in got.items():
             code[c[b] : c[b + 1]] = unpack(x)[0]
         own = np.zeros(len(s.key), np.uint8)
         mine = s.rep[s.doc]
-        own[mine] = code[np.searchsorted(key, s.key[mine] >> np.uint64(64 - PROBE_BITS))]
+        own[mine] = code[np.searchsorted(key, s.key[mine] >> np.uint64(64 - bits))]
         shared = np.concatenate([[0], np.cumsum(own > 0)])
         shared = shared[s.first[1:]] - shared[s.first[:-1]]
         linkable = s.rep & (100 * shared >= percent * s.n)

@@ -2,21 +2,26 @@
 
 All trusted text is counted: a chunk sends its 4-grams' counts to their owners, and continuation counts, discounts and
 back-off weights are DataFrame aggregations.  To score, each chunk asks the owners for its distinct 4-grams; sharded
-joins of the tables give their probabilities.  A document's perplexity is held against quantiles of its language's
-trusted documents.  Nothing of the model is broadcast or gathered but four counts of counts an order.
+joins of the tables give their probabilities.  A document's perplexity is held against a quantile of its language's
+trusted documents, taken on a fold that a second model has not seen.  Nothing of the models is broadcast or gathered but
+four counts of counts an order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Texts, blobs, by_chunk, chunked, cut, deltas, groups, pack, rows, undeltas, unpack, with_answers
+from .chunks import ROW, Texts, blobs, by_chunk, chunked, cut, deltas, frame, groups, pack, sent, undeltas, unframe, unpack, with_answers
 from .shared import partitions, stored
 
 CHUNK = 4 << 20
+#: Rows of limits by language up to which they are broadcast.
+LANGUAGES = 10_000
 SCORES = "doc_id long, lang string, n_bytes long, bits double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("bits", pa.float64())])
 #: An odd factor that spreads 4-grams evenly over the owners, and its inverse modulo 2**32.
@@ -59,46 +64,16 @@ def _discounted(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.select("k", (F.col("c") - F.col("d")).alias("top")), own.groupBy("h").agg(F.sum("c").cast("double").alias("total"), F.sum("d").alias("freed"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, spread: float = 3.0, quantile: float = 0.95, least_docs: int = 50) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (a byte), threshold, kept of every document.
-
-    threshold: median + spread * (upper quantile - median) of the bits a byte of the language's trusted documents
-    (labels.quality = 1); a language with fewer than ``least_docs`` of them (null is one of its own) takes those of all.  A null or empty text
-    has no perplexity and isn't kept; without trusted text, every other one is.  Repeated rows are judged alike; rows
-    without doc_id are left out; other columns are ignored.
-    """
-    buckets = partitions(docs.sparkSession)
-    docs = docs.withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    chunks = chunked(docs, ("lang",), CHUNK)
-    listed = chunks.groupBy("chunk").applyInArrow(lambda t: pa.concat_tables([pa.table({"chunk": pa.array([c] * len(x.ids), pa.int64()), "doc_id": x.table["doc_id"].cast(pa.int64())}) for c, x in blobs(t)]), "chunk long, doc_id long")
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trusted = stored(listed.join(good, "doc_id"), "trusted")
-
-    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        mine = right["doc_id"].to_numpy()
-        for chunk, texts in blobs(left):
-            gram, at = _grams(texts)
-            gram = np.sort(gram[np.repeat(np.isin(texts.ids, mine), texts.lengths)])
-            first = groups(gram)
-            key, n = gram[first], np.diff(np.append(first, len(gram))).astype(np.uint32)
-            c = cut(key, buckets, 32)
-            out += [(chunk, b, pack(deltas(key[i:j]), n[i:j])) for b, (i, j) in enumerate(zip(c, c[1:])) if j > i]
-        return rows(out)
+def _tables(grams: DataFrame) -> dict[int, DataFrame]:
+    """(k, c) by order: counts of 4-grams, and of how many different bytes stand before shorter ones."""
+    orders = {4: grams}
+    for n in (3, 2, 1):
+        orders[n] = stored(orders[n + 1].groupBy(F.col("k").bitwiseAND((1 << 8 * n) - 1).alias("k")).agg(F.count("*").alias("c")), "grams")
+    return orders
 
-    def add(t: pa.Table) -> pa.Table:
-        parts = [unpack(x) for x in t["payload"].to_pylist()]
-        key = np.concatenate([undeltas(k) for k, _ in parts])
-        n = np.concatenate([n for _, n in parts]).astype(np.int64)
-        order = np.argsort(key, kind="stable")
-        first = groups(key[order])
-        gram = key[order][first] * np.uint64(UNSPREAD) & np.uint64(0xFFFFFFFF)
-        return pa.table({"k": pa.array(gram.astype(np.int64)), "c": pa.array(np.add.reduceat(n[order], first))})
 
-    counts = chunks.groupBy("chunk").cogroup(trusted.groupBy("chunk")).applyInArrow(tell, "chunk long, bucket int, payload binary")
-    orders = {4: stored(counts.groupBy("bucket").applyInArrow(add, "k long, c long"), "grams")}
-    for n in (3, 2, 1):  # how many different bytes stand before
-        orders[n] = stored(orders[n + 1].groupBy(F.col("k").bitwiseAND((1 << 8 * n) - 1).alias("k")).agg(F.count("*").alias("c")), "grams")
+def _scored(chunks: DataFrame, orders: dict[int, DataFrame], buckets: int) -> DataFrame:
+    """doc_id, lang, n_bytes and bits a byte of every document of the chunks under the model of these counts."""
 
     def ask(chunk: int, texts: Texts) -> list:
         key = np.unique(_grams(texts)[0])
@@ -108,8 +83,9 @@ def quality(docs: DataFrame, labels: DataFrame, spread: float = 3.0, quantile: f
     asked = by_chunk(chunks, ask)
 
     def distinct(t: pa.Table) -> pa.Table:
-        key = np.unique(np.concatenate([undeltas(unpack(x)[0]) for x in t["payload"].to_pylist()]))
-        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()] * len(key), pa.int32()), "spread": pa.array(key.astype(np.int64)), "k": pa.array((key * np.uint64(UNSPREAD) & np.uint64(0xFFFFFFFF)).astype(np.int64))})
+        key = np.unique(np.concatenate([undeltas(unpack(x)[0]) for p in t["payload"].to_pylist() for _, x in unframe(p)]))
+        gram = (key * np.uint64(UNSPREAD) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        return pa.table({"bucket": pa.array([t["bucket"][0].as_py()] * len(key), pa.int32()), "spread": pa.array(key.astype(np.int64)), "k": pa.array(gram)})
 
     grams = asked.groupBy("bucket").applyInArrow(distinct, "bucket int, spread long, k long").withColumn("p", F.lit(1 / 256))
     for n in (1, 2, 3, 4):
@@ -123,10 +99,9 @@ def quality(docs: DataFrame, labels: DataFrame, spread: float = 3.0, quantile: f
         known, bits = right["spread"].to_numpy(), right["bits"].to_numpy()
         order = np.argsort(known)
         known, bits = known[order], bits[order]
-        out = []
-        for c, b, x in zip(left["chunk"].to_pylist(), left["bucket"].to_pylist(), left["payload"].to_pylist()):
-            out.append((c, b, pack(bits[np.searchsorted(known, undeltas(unpack(x)[0]).astype(np.int64))])))
-        return rows(out)
+        reply = lambda x: pack(bits[np.searchsorted(known, undeltas(unpack(x)[0]).astype(np.int64))])
+        back = [frame([(c, reply(x)) for c, x in unframe(p)]) for p in left["payload"].to_pylist()]
+        return pa.Table.from_arrays([left["part"].combine_chunks(), left["bucket"].combine_chunks(), pa.array(back, pa.binary())], ["part", "bucket", "payload"])
 
     def score(chunk: int, texts: Texts, got: dict[int, bytes]) -> list:
         gram, _ = _grams(texts)
@@ -140,13 +115,76 @@ def quality(docs: DataFrame, labels: DataFrame, spread: float = 3.0, quantile: f
         mean = (total[end] - total[end - texts.lengths]) / np.maximum(texts.lengths, 1)
         return [(i, lang, n, m if n else None) for i, lang, n, m in zip(texts.ids.tolist(), texts.table["lang"].to_pylist(), texts.lengths.tolist(), mean.tolist())]
 
-    answers = asked.groupBy("bucket").cogroup(probabilities.groupBy("bucket")).applyInArrow(answer, "chunk long, bucket int, payload binary")
-    scores = stored(with_answers(chunks, answers, score, SCORES, _scores), "scores")
-    marks = scores.where("bits IS NOT NULL").join(good, "doc_id", "left_semi")
-    pair = F.percentile_approx("bits", F.array(F.lit(0.5), F.lit(quantile)), 10000)
-    limit = lambda q: q[0] + spread * (q[1] - q[0])
-    by_lang = marks.groupBy("lang").agg(pair.alias("q"), F.count("*").alias("n")).where(F.col("n") >= least_docs).select("lang", limit(F.col("q")).alias("own_limit"))
-    overall = marks.agg(pair.alias("q")).select(limit(F.col("q"))).scalar()
-    judged = scores.join(by_lang, "lang", "left").withColumn("limit", F.coalesce("own_limit", overall))
+    answers = asked.groupBy("bucket").cogroup(probabilities.groupBy("bucket")).applyInArrow(answer, ROW)
+    return stored(with_answers(chunks, answers, score, SCORES, _scores), "scores")
+
+
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, weight: float = 50.0, folds: int = 8) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity (a byte), threshold, kept of every document.
+
+    The model is of all trusted documents (labels.quality = 1).  threshold: the ``quantile`` of the bits a byte of the
+    language's trusted documents of one fold in ``folds``, each under a model of the other folds; a language's quantile is
+    shrunk towards that of all by ``weight`` documents, so one without a document in that fold has the limit of all (a
+    null language counts as one).  A null or empty text has no perplexity and isn't kept; without trusted text in that
+    fold every other one is.  Texts of any length are scored whole; repeated rows are judged alike; rows without doc_id
+    are left out; an empty table gives an empty result; other columns are ignored.
+    """
+    buckets = partitions(docs.sparkSession)
+    docs = docs.withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    chunks = chunked(docs, ("lang",), CHUNK)
+    listed = chunks.groupBy("part").applyInArrow(lambda t: pa.concat_tables([pa.table({"part": pa.array(t["part"].to_pylist()[:1] * len(x.ids), pa.int64()), "doc_id": x.table["doc_id"].cast(pa.int64())}) for _, x in blobs(t)]), "part long, doc_id long")
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    held = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(folds)) == 0).alias("held")
+    trusted = stored(listed.join(good.select("doc_id", held), "doc_id"), "trusted")
+
+    def tell(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Counts of all 4-grams of trusted text and of those outside the held fold, by owner; at bucket -1 the held documents."""
+        out = []
+        ids, held = right["doc_id"].to_numpy(), right["held"].to_numpy(zero_copy_only=False)
+        for chunk, texts in blobs(left):
+            apart = np.isin(texts.ids, ids[held])
+            gram, _ = _grams(texts)
+            mine, own = np.isin(texts.ids, ids), np.repeat(apart, texts.lengths)
+            mine = np.repeat(mine, texts.lengths)
+            key = np.sort(gram[mine])
+            first = groups(key)
+            key, n = key[first], np.diff(np.append(first, len(key))).astype(np.uint32)
+            rest = n.copy()
+            away, times = np.unique(gram[own], return_counts=True)
+            rest[np.searchsorted(key, away)] -= times.astype(np.uint32)
+            c = cut(key, buckets, 32)
+            out += [(chunk, b, pack(deltas(key[i:j]), n[i:j], rest[i:j])) for b, (i, j) in enumerate(zip(c, c[1:])) if j > i]
+            if apart.any():
+                out.append((chunk, -1, Texts.packed(texts.table.filter(pa.array(apart)))))
+        return sent(left["part"][0].as_py() if len(left) else 0, out)
+
+    def add(t: pa.Table) -> pa.Table:
+        parts = [unpack(x) for p in t["payload"].to_pylist() for _, x in unframe(p)]
+        key = np.concatenate([undeltas(k) for k, *_ in parts])
+        order = np.argsort(key, kind="stable")
+        first = groups(key[order])
+        gram = key[order][first] * np.uint64(UNSPREAD) & np.uint64(0xFFFFFFFF)
+        sums = [np.add.reduceat(np.concatenate([p[i] for p in parts]).astype(np.int64)[order], first) for i in (1, 2)]
+        return pa.table({"k": pa.array(gram.astype(np.int64)), "c": pa.array(sums[0]), "rest": pa.array(sums[1])})
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, payload in zip(b["part"].to_pylist(), b["payload"].to_pylist()):
+                c, x = zip(*unframe(payload))
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(c), pa.int64()), pa.array(c, pa.int64()), pa.array(x, pa.binary())], ["part", "chunk", "blob"])
+
+    told = stored(chunks.groupBy("part").cogroup(trusted.groupBy("part")).applyInArrow(tell, ROW), "counts")
+    grams = stored(told.where("bucket >= 0").groupBy("bucket").applyInArrow(add, "k long, c long, rest long"), "grams")
+    scores = _scored(chunks, _tables(grams.select("k", "c")), buckets)
+    chosen = told.where("bucket < 0").mapInArrow(apart, "part long, chunk long, blob binary")
+    marks = _scored(chosen, _tables(grams.where("rest > 0").select("k", F.col("rest").alias("c"))), buckets).where("bits IS NOT NULL")
+    at = F.percentile_approx("bits", F.lit(quantile), 10000)
+    overall = marks.agg(at).scalar()
+    n = F.col("n")
+    by_lang = stored(marks.groupBy("lang").agg(at.alias("q"), F.count("*").alias("n")), "limits")
+    by_lang = by_lang.select("lang", ((n * F.col("q") + weight * overall) / (n + weight)).alias("own_limit"))
+    few = by_lang.limit(LANGUAGES + 1).count() <= LANGUAGES
+    judged = scores.join(F.broadcast(by_lang) if few else by_lang, "lang", "left")
+    judged = judged.withColumn("limit", F.coalesce("own_limit", overall))
     kept = F.col("bits").isNotNull() & (F.col("limit").isNull() | (F.col("bits") <= F.col("limit")))
     return judged.select("doc_id", "lang", "n_bytes", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "limit").alias("threshold"), kept.alias("kept"))

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, set here only where it is unset and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='docops-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -29,6 +31,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,6 +95,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         jump = label.select(F.col("id").alias("low"), F.col("label").alias("far"))
         moved = F.least("low", "far")
         step = stored(near.join(jump, "low").select(F.col("u").alias("id"), moved.alias("label"), (moved < F.col("own")).alias("moved")).coalesce(few), "labels")
+        discard(label)
         label = step.select("id", "label")
         if not step.where("moved").limit(1).count():
+            discard(stars)
             return label.select("id", F.col("label").alias("component"))

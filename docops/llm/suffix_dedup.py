@@ -8,8 +8,10 @@ over prefix polynomial hashes, so each takes a logarithmic number of steps.  The
 verified byte by byte.  Runs of sorted suffixes with long enough extensions on both sides are the equal strings; all
 but the first of each are removed.
 
-An anchor that stands more than ``hot`` times is not gathered by its owner.  Its strings of ``length`` bytes are
-sent by their own hashes instead, each once a chunk, so that such a group spreads over all buckets.
+An anchor that stands more than ``hot`` times is not gathered by one owner.  Its windows of ``length`` bytes are sent by
+their own hashes instead, each once a chunk with its bytes, so that such a group spreads over all buckets; they go
+through the same sort, and windows are equal where all bytes are.  What a chunk knows by itself (equal contexts and
+windows in it) is verified by bytes as well.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import _BASE, _BYTE, Texts, by_chunk, by_owner, chunked, cut, deltas, groups, mix, pack, powers, prefix_hash, span_hash, undeltas, unpack, with_answers
-from .shared import partitions
+from .chunks import _BASE, _BYTE, Texts, by_chunk, by_owner, chunked, cut, deltas, groups, key_bits, mix, owners, pack, powers, prefix_hash, span_hash, undeltas, unpack, with_answers
 
 GRAM = 32
+#: Bits of an anchor's key at least.
 PROBE_BITS = 48
-#: Occurrences up to which an anchor's contexts meet in one task.
+#: Occurrences up to which an anchor's contexts meet in one task; beyond it, its windows of ``length`` bytes are sorted apart.
 HOT = 4096
 #: Contexts sorted at a time.
 SLICE = 16384
@@ -174,7 +176,7 @@ def repeats(key: np.ndarray, left: np.ndarray, right: np.ndarray, text: np.ndarr
 class _Anchors:
     """Anchors of a chunk: place, key, document."""
 
-    def __init__(self, texts: Texts, length: int):
+    def __init__(self, texts: Texts, length: int, bits: int):
         self.texts, n, width = texts, len(texts.data), length - GRAM + 1
         self.hash = prefix_hash(texts.data)
         self.at = np.zeros(0, np.int64)
@@ -190,7 +192,7 @@ class _Anchors:
             least = np.where(inside, sliding(np.minimum, gram, width), np.uint64(0))
             pad = np.zeros(width - 1, np.uint64)
             self.at = np.flatnonzero((gram == sliding(np.maximum, np.concatenate([pad, least, pad]), width)) & (gram > 0))
-            self.key = mix(gram[self.at] ^ np.uint64(1)) >> np.uint64(64 - PROBE_BITS)  # least hashes are small: mixed again, keys spread over the owners
+            self.key = mix(gram[self.at] ^ np.uint64(1)) >> np.uint64(64 - bits)  # least hashes are small: mixed again, keys spread over the owners
         else:
             self.key = np.zeros(0, np.uint64)
         order = np.argsort(self.key, kind="stable")
@@ -203,10 +205,10 @@ class _Anchors:
 class _Repeated:
     """What a chunk sends of its repeated anchors, and what it knows itself."""
 
-    def __init__(self, texts: Texts, codes: dict[int, np.ndarray], buckets: int, length: int):
+    def __init__(self, texts: Texts, codes: dict[int, np.ndarray], buckets: int, length: int, bits: int):
         side = length - GRAM
-        a = _Anchors(texts, length)
-        c = cut(a.key[a.first], buckets, PROBE_BITS)
+        a = _Anchors(texts, length, bits)
+        c = cut(a.key[a.first], buckets, bits)
         code = np.zeros(len(a.first), np.uint8)
         for b, x in codes.items():
             code[c[b] : c[b + 1]] = x
@@ -222,6 +224,10 @@ class _Repeated:
         self.at, self.key, self.low, self.high, self.ids, self.place = (x[order] for x in (at, key, self.low, self.high, ids, place))
         context = context[order]
         self.rep = np.concatenate([[True], (context[1:] != context[:-1]) | (self.key[1:] != self.key[:-1])])[: len(at)]
+        copies = np.flatnonzero(~self.rep)
+        before, span = self.at - self.low, self.high - self.low
+        alike = (before[copies] == before[copies - 1]) & (span[copies] == span[copies - 1])
+        self.rep[copies] = ~(alike & same_bytes(texts.data, self.low[copies], self.low[copies - 1], span[copies]))
         # windows of hot anchors
         hot = code == 2
         cover = np.zeros(len(texts.data) + 2, np.int32)
@@ -233,7 +239,57 @@ class _Repeated:
         order = np.lexsort((self.window - texts.starts[doc], texts.ids[doc], wkey))
         self.window, self.wkey, doc = self.window[order], wkey[order], doc[order]
         self.wids, self.wplace = texts.ids[doc], self.window - texts.starts[doc]
-        self.wfirst = groups(self.wkey)
+        new = np.concatenate([[True], self.wkey[1:] != self.wkey[:-1]])[: len(self.wkey)]
+        copies = np.flatnonzero(~new)
+        new[copies] = ~same_bytes(texts.data, self.window[copies], self.window[copies - 1], np.full(len(copies), length))
+        self.wfirst = np.flatnonzero(new)
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes from a and from b, so many each, are the same."""
+    out = np.ones(len(a), bool)
+    span = np.arange(int(size.max(initial=0)))
+    for i in range(0, len(a), SLICE):
+        x = slice(i, i + SLICE)
+        inside = span < size[x, None]
+        out[x] = ((data[np.where(inside, a[x, None] + span, 0)] == data[np.where(inside, b[x, None] + span, 0)]) | ~inside).all(axis=1)
+    return out
+
+
+def later_copies(key: np.ndarray, rank: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which rows of bytes have an equal one of the same key and smaller rank.
+
+    Each key's rows are sorted as suffixes, and runs of neighbours that agree over the whole length, byte by byte, are
+    equal.  Of a key with more rows than a slice holds, those equal to its first row are settled without a sort.
+    """
+    length = text.shape[1]
+    later = np.zeros(len(key), bool)
+    order = np.lexsort((rank, key))
+    first = groups(key[order])
+    size = np.diff(np.append(first, len(key)))
+    rows = [order[np.repeat((size > 1) & (size <= SLICE), size)]]
+    for f, s in zip(first[size > SLICE].tolist(), size[size > SLICE].tolist()):
+        own = order[f : f + s]
+        same = np.concatenate([(text[own[i : i + SLICE]] == text[own[0]]).all(axis=1) for i in range(0, s, SLICE)])
+        later[own[same]] = True
+        later[own[0]] = False
+        rows.append(own[~same])
+    row = np.concatenate(rows)
+    begins = groups(key[row])
+    ends = np.append(begins[1:], len(row))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // SLICE)) + 1).tolist(), len(ends)] if len(begins) else [0]
+    for i, j in zip(cuts, cuts[1:]):
+        if j == i:
+            continue
+        a, b = begins[i], ends[j - 1]
+        n = ends[i:j] - begins[i:j]
+        begin = np.repeat(begins[i:j] - a, n)
+        perm, lcp = Suffixes(text[row[a:b]], np.full(b - a, length)).sorted(begin, begin + np.repeat(n, n))
+        run = np.empty(b - a, np.int64)
+        run[perm] = np.cumsum(lcp < length)
+        by = np.argsort(run, kind="stable")
+        later[row[a:b][by[np.concatenate([[False], run[by][1:] == run[by][:-1]])]]] = True
+    return later
 
 
 def _ranks(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -248,14 +304,14 @@ def _deduped(docs: DataFrame, length: int, hot: int, extra: tuple[str, ...], rep
     if not 2 * GRAM <= length <= 220:
         raise ValueError(f"length must be from {2 * GRAM} to 220")
     side = length - GRAM
-    buckets = 2 * partitions(docs.sparkSession)
+    buckets, bits = owners(docs), key_bits(docs, PROBE_BITS)
     chunks = chunked(docs, extra)
     none = np.zeros(0, np.uint8)
 
     def probe(chunk: int, texts: Texts) -> list:
-        a = _Anchors(texts, length)
+        a = _Anchors(texts, length, bits)
         key, n = a.key[a.first], np.minimum(a.count, 65535).astype(np.uint16)
-        c = cut(key, buckets, PROBE_BITS)
+        c = cut(key, buckets, bits)
         return [(chunk, b, pack(deltas(key[i:j]), n[i:j])) for b, (i, j) in enumerate(zip(c, c[1:])) if j > i]
 
     def count(sent: list[bytes]) -> list[bytes]:
@@ -271,11 +327,11 @@ def _deduped(docs: DataFrame, length: int, hot: int, extra: tuple[str, ...], rep
 
     def contexts(chunk: int, texts: Texts, got: dict[int, bytes]) -> list:
         codes = {b: unpack(x)[0] for b, x in got.items()}
-        r = _Repeated(texts, codes, buckets, length)
+        r = _Repeated(texts, codes, buckets, length, bits)
         pick = np.flatnonzero(r.rep)
         key, at, low, high = r.key[pick], r.at[pick], r.low[pick], r.high[pick]
         wkey, wids, wplace = r.wkey[r.wfirst], r.wids[r.wfirst], r.wplace[r.wfirst]
-        c, d = cut(key, buckets, PROBE_BITS), cut(wkey, buckets)
+        c, d = cut(key, buckets, bits), cut(wkey, buckets)
         span, out = np.arange(-side, length), []
         for b in range(buckets):
             s, t = slice(c[b], c[b + 1]), slice(d[b], d[b + 1])
@@ -284,7 +340,8 @@ def _deduped(docs: DataFrame, length: int, hot: int, extra: tuple[str, ...], rep
                 inside = (where >= low[s, None]) & (where < high[s, None])
                 text = np.where(inside, texts.data[np.where(inside, where, 0)], np.uint8(0))
                 ids, place = r.ids[pick][s], r.place[pick][s]
-                out.append((chunk, b, pack(deltas(key[s]), ids, place, (at[s] - low[s]).astype(np.uint8), (high[s] - at[s]).astype(np.uint8), text.reshape(-1), deltas(wkey[t]), wids[t], wplace[t], codes.get(b, none))))
+                wtext = texts.data[r.window[r.wfirst[t]][:, None] + np.arange(length)]
+                out.append((chunk, b, pack(deltas(key[s]), ids, place, (at[s] - low[s]).astype(np.uint8), (high[s] - at[s]).astype(np.uint8), text.reshape(-1), deltas(wkey[t]), wids[t], wplace[t], wtext.reshape(-1), codes.get(b, none))))
         return out
 
     def resolve(sent: list[bytes]) -> list[bytes]:
@@ -297,18 +354,16 @@ def _deduped(docs: DataFrame, length: int, hot: int, extra: tuple[str, ...], rep
         least[order], most[order] = repeats(key[order], left[order], right[order], text[order], length)
         wkey = np.concatenate([undeltas(p[6]) for p in parts])
         rank = _ranks(np.concatenate([p[7] for p in parts]), np.concatenate([p[8] for p in parts]))
-        order = np.lexsort((rank, wkey))
-        later = np.ones(len(wkey), bool)
-        later[order[groups(wkey[order])]] = False
+        later = later_copies(wkey, rank, np.concatenate([p[9].reshape(-1, length) for p in parts]))
         cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
         wcuts = np.cumsum([len(p[6]) for p in parts])[:-1]
-        return [pack(a, b, np.packbits(w), p[9]) for a, b, w, p in zip(np.split(least, cuts), np.split(most, cuts), np.split(later, wcuts), parts)]
+        return [pack(a, b, np.packbits(w), p[10]) for a, b, w, p in zip(np.split(least, cuts), np.split(most, cuts), np.split(later, wcuts), parts)]
 
     def finish(chunk: int, texts: Texts, got: dict[int, bytes]) -> list:
         answers = {b: unpack(x) for b, x in got.items()}
-        r = _Repeated(texts, {b: x[3] for b, x in answers.items() if len(x[3])}, buckets, length)
+        r = _Repeated(texts, {b: x[3] for b, x in answers.items() if len(x[3])}, buckets, length, bits)
         pick = np.flatnonzero(r.rep)
-        c, d = cut(r.key[pick], buckets, PROBE_BITS), cut(r.wkey[r.wfirst], buckets)
+        c, d = cut(r.key[pick], buckets, bits), cut(r.wkey[r.wfirst], buckets)
         least, most = np.full(len(pick), 255, np.uint8), np.full(len(pick), 255, np.uint8)
         later = np.zeros(len(r.wfirst), bool)
         for b, (x, y, w, _) in answers.items():
@@ -340,7 +395,7 @@ def dedup_suffixes(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFr
     Order: doc_id, then place; strings lie within one document and are judged on the input.  Returns doc_id, n_bytes,
     n_removed, n_spans (maximal removed runs), kept_sha256 of the remaining UTF-8 bytes.  A null text is empty; texts
     under ``length`` bytes lose nothing; of repeated rows of one doc_id one counts as the earlier; rows without doc_id
-    are left out; other columns are ignored.
+    are left out; other columns are ignored; an empty table gives an empty result.
     """
 
     def report(texts: Texts, removed: np.ndarray) -> list:
@@ -379,3 +434,17 @@ def stripped(docs: DataFrame, length: int = 100, hot: int = HOT) -> DataFrame:
         return [pa.table({c: new.get(c, texts.table[c] if c in extra else None) for c in schema.names})]
 
     return _deduped(docs, length, hot, extra, report, schema, pa.concat_tables)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(len(g))) AS i, unnest(g) AS g FROM (SELECT doc_id, [md5(substr(h, 2 * i + 1, 200)) for i in range(length(h) // 2 - 99)] AS g FROM d WHERE length(h) >= 200) x),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM w) x WHERE n > 1),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM r),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM o),
+s AS (SELECT doc_id, s, min(i) AS a, max(i) + 100 AS b FROM k GROUP BY doc_id, s),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM s),
+t AS (SELECT q.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS head, max(b) AS last FROM q JOIN d USING (doc_id) GROUP BY q.doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+    sha256(unhex(concat(coalesce(head, ''), substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT))))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""

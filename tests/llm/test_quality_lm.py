@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -58,6 +59,28 @@ def test_empty(spark):
     assert all(r.kept == bool(texts[r.doc_id]) for r in quality(df, labels).collect())
 
 
+def test_limits_are_quantiles_of_a_fold_not_seen(spark):
+    """By language: the held fold's documents under a model of the rest, shrunk towards all by weight; others have the limit of all."""
+    r = random.Random(2)
+    words = {"en": [f"the{c}" for c in "abcdefgh"], "de": [f"das{c}" for c in "ijklmnop"]}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.randrange(5, 40))), lang) for i in range(400) for lang in ("de" if i % 4 == 0 else "en",)]
+    rows += [(1000 + i, "".join(r.choice("xyzw#0123456789") for _ in range(60)), lang) for i, lang in enumerate(["en", "de", "fr", None] * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows if i < 400], "doc_id long, quality int")
+    got = {x.doc_id: x for x in quality(df, labels, quantile=0.9, weight=10.0).collect()}
+    held = {x.doc_id for x in labels.where("pmod(xxhash64(doc_id, 17), 8) = 0").collect()}
+    rest = [t.encode() for i, t, _ in rows if i < 400 and i not in held]
+    bits = {lang: sorted(brute(rest, t.encode()) for i, t, x in rows if i in held and x == lang) for lang in ("en", "de")}
+    at = lambda b: sorted(b)[int(np.ceil(0.9 * len(b))) - 1]
+    overall = at(bits["en"] + bits["de"])
+    for lang in ("en", "de"):
+        n = len(bits[lang])
+        want = (n * at(bits[lang]) + 10 * overall) / (n + 10)
+        assert all(abs(np.log2(x.threshold) - want) < 1e-4 for x in got.values() if x.lang == lang)
+    assert all(abs(np.log2(x.threshold) - overall) < 1e-4 for x in got.values() if x.lang in ("fr", "")) and not any(got[1000 + i].kept for i in range(12))
+    assert all(got[i].kept == (got[i].perplexity <= got[i].threshold) for i in range(400))
+
+
 def test_labels(spark):
     sf = "/root/testdata/sf0.01"
     kept = {r.doc_id: r.kept for r in op6_quality_lm(spark, sf).collect()}
