@@ -45,17 +45,20 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
     return out
 
 
-def packed(docs: DataFrame, capacity: int = 2048, shard: int = 4096, cluster: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, capacity: int = 2048, shard: int = 4096, cluster: str | None = None, length: str | None = None) -> DataFrame:
     """One row a piece: doc_id, piece, start (first word), n_words, bin_id, at (place in the bin).
 
     A document of more than ``capacity`` words is cut into pieces, which never meet in a bin.  ``cluster`` names a
     column with the duplicate cluster; without it, documents of the same words (case and white space aside) are one.
+    ``length`` names a column with each document's length, as of its tokens, which then is the unit of all places and
+    of ``capacity``; without it, words are counted.
     A null source is a source of its own; a null, empty or blank text gives one piece of no words in no bin (null);
-    repeated rows are packed as often as they stand, in different bins; rows without doc_id are left out.
+    repeated rows are packed as often as they stand, in different bins; rows without doc_id are left out; an empty
+    table gives an empty result; other columns are ignored.
     """
     text = F.trim(F.coalesce(F.col("text"), F.lit("")), F.lit(SPACES))
     group = F.col(cluster).cast("string") if cluster else F.md5(F.regexp_replace(F.lower(text), SPACE_RE, " ").cast("binary"))
-    count = F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, SPACE_RE))).cast("long")
+    count = F.coalesce(F.col(length), F.lit(0)).cast("long") if length else F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, SPACE_RE))).cast("long")
     lengths = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), group.alias("cluster"), count.alias("n"))
     pieces = lengths.select("*", F.posexplode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(capacity))).alias("piece", "start"))
     pieces = stored(pieces.select("doc_id", "source", "cluster", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(capacity)).alias("n_words")), "pieces")

@@ -49,32 +49,32 @@ def worded(annotated: Column) -> Column:
     return F.split(F.regexp_replace(annotated, f"{OPEN}[dnu]{MID}([^{CLOSE}]*){CLOSE}", "$1"), " ")
 
 
-def _choices(i: Column, n: int, fixed: tuple[int, int] = (0, 0)) -> Column:
+def _choices(i: Column, n: int, fixed: tuple[int, int] = (0, 0), more: Column | None = None) -> Column:
     """Of the n words from place i of t and l: a hash for every choice of reading placeholders as such or as words.
 
     At least one word of a choice is literal; those of ``fixed`` are placeholders read as such.  Two windows share a
-    hash if each word of one equals the other's as a placeholder or as a word, and some word is the same.
+    hash if each word of one equals the other's as a placeholder or as a word, and some word is the same.  ``more``
+    hashes are added where all words are placeholders.
     """
     open_ = [k for k in range(n) if not fixed[0] <= k < fixed[1]]
-    held = sum(F.when(F.get("t", i + k) != F.get("l", i + k), 1 << b).otherwise(0) for b, k in enumerate(open_))
-    read = lambda v: [F.get("t", i + k) if k not in open_ else F.when(v.bitwiseAND(1 << open_.index(k)) > 0, F.get("l", i + k)).otherwise(F.get("t", i + k)) for k in range(n)]
-    choice = lambda v: F.xxhash64(F.lit(n), F.lit(fixed[0]), *read(v))
     all_ = (1 << len(open_)) - 1
+    held = sum(F.when(F.get("t", i + k) != F.get("l", i + k), 1 << b).otherwise(0) for b, k in enumerate(open_))
+    hashed = lambda words: F.xxhash64(F.lit(n), F.lit(fixed[0]), *words)
+    plain = F.array(hashed([F.get("t", i + k) for k in range(n)]))
+    bit = {k: 1 << b for b, k in enumerate(open_)}
+    choice = lambda v: hashed([F.when(v.bitwiseAND(bit[k]) > 0, F.get("l", i + k)).otherwise(F.get("t", i + k)) if k in bit else F.get("t", i + k) for k in range(n)])
     some = lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.lit(all_)), lambda v: (v.bitwiseAND(m) == v) & ((v != 0) | (m != all_))), choice)
-    each = lambda m: F.when(m == 0, F.array(F.xxhash64(F.lit(n), F.lit(fixed[0]), *[F.get("t", i + k) for k in range(n)]))).otherwise(some(m))
-    return F.array_distinct(F.flatten(F.transform(F.array(held), each)))
+    each = lambda m: F.when(m == 0, plain).when(m != all_, some(m)).otherwise(F.concat(some(m), more) if more is not None else some(m))
+    return F.flatten(F.transform(F.array(held), each))  # the array holds the mask, so that it is worked out once
 
 
 def _keys(i: Column, block: int) -> Column:
     """Keys of the block at place i: its own, and if it is of placeholders only those of 2 * block - 1 words around it."""
-    bare = F.lit(True)
-    for k in range(block):
-        bare = bare & (F.get("t", i + k) != F.get("l", i + k))
     more = []
     for back in (block - 1, (block - 1) // 2, 0):  # the block stands at the end, in the middle, at the beginning
         fits = (i >= back) & (i - back + 2 * block - 1 <= F.size("t"))
-        more.append(F.when(bare & fits, _choices(i - back, 2 * block - 1, (back, back + block))).otherwise(F.array().cast("array<bigint>")))
-    return F.concat(_choices(i, block), *more)
+        more.append(F.when(fits, _choices(i - back, 2 * block - 1, (back, back + block))).otherwise(F.array().cast("array<bigint>")))
+    return _choices(i, block, more=F.concat(*more))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = 13, block: int = 5) -> DataFrame:

@@ -25,7 +25,7 @@ def words(text: Column) -> Column:
 
 def base_rules(docs: DataFrame, window: int = 5) -> DataFrame:
     """doc_id, host and the base counts of each document; words in a window found twice or more count as repeated."""
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    df = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     df = df.withColumn("w", words(F.col("text"))).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - window), lambda i: F.xxhash64(*[F.get(F.col("w"), i + k) for k in range(window)]))
     df = df.select(
@@ -49,8 +49,12 @@ def base_rules(docs: DataFrame, window: int = 5) -> DataFrame:
 def host_rules(docs: DataFrame, min_words: int = 10, max_repeat_percent: int = 20, host_limit: float = 0.5, margin: float = 2.0) -> DataFrame:
     """Base counts, base_failed, the host's shrunken failure rate and ``kept`` of each document.
 
-    A null text is empty (and fails, having no words); a null source is the host ''; each row is judged by itself,
-    repeated rows too; an empty table gives an empty result; other columns are ignored.
+    A null text is empty (and fails, having no words); a null source is the host ''; texts of any length are judged
+    whole; each row is judged by itself, repeated rows too; rows without doc_id are left out, of the hosts' rates as
+    well; an empty table gives an empty result; other columns are ignored.  Windows are equal by 64-bit hashes.
+
+    The prior's variance is that of the hosts' observed rates, chance included, so rates are shrunk a little less than
+    by an estimate freed of it; the prior weighs as much as 2 documents at least and 1,000 at most.
     """
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rules = stored(base_rules(docs).withColumn("base_failed", failed), "rules")

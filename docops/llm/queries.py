@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_dedup, host_rules, license_scan, ngram_join, toxicity
+from . import block_dedup, host_rules, license_scan, ngram_join, suffix_dedup, toxicity
 from .best_fit import packed
 from .block_dedup import dedup_blocks
 from .decontaminate import contaminated
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.ORACLE, "op5_block_dedup": block_dedup.ORACLE, "op9_host_rules": host_rules.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op2_suffix_dedup": suffix_dedup.ORACLE, "op5_block_dedup": block_dedup.ORACLE, "op9_host_rules": host_rules.ORACLE}

@@ -12,6 +12,8 @@ by a logistic line fitted on the examples, each voted on by the others.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import pickle
 import re
@@ -231,6 +233,8 @@ def _held(shared: Broadcast) -> BlockMaxIndex:
     if name not in _HELD:
         _HELD.clear()
         _HELD[name] = pickle.loads(packed)
+        with contextlib.suppress(OSError, AttributeError):  # what laying it out took goes back to the system
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
     return _HELD[name]
 
 

@@ -35,3 +35,70 @@ def test_query(spark):
     want = {i: f for i, t in docs.items() for n, f in notices.items() if n in t}
     got = {r.doc_id: r.family for r in op10_license_scan(spark, sf).collect() if r.family != "none"}
     assert want and got == want
+
+
+def test_wrapped_and_long_and_double_notices(spark, model):
+    """A notice wrapped over lines, one inside a long line, and two on one line."""
+    filler = " ".join(f"word{i} goes on" for i in range(120))
+    apache = "Licensed under the Apache License, Version 2.0 (the License); you may not\nuse this file except in compliance with the\nLicense."
+    texts = [f"some code\n\n{apache}\n\nmore", f"{filler} Licensed under the Mozilla Public License, version 2.0. {filler}", "Licensed under the Apache License, Version 2.0. Released under the MIT License.", filler]
+    rows = sorted(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect())
+    assert rows[0].family == "Apache-2.0" and rows[0].paragraph in (2, 3) and rows[1].family == "MPL-2.0"
+    assert rows[2].families == ["Apache-2.0", "MIT"] and rows[3].family == "none"
+
+
+def test_unseen_wording(model):
+    """Sentences of a licence that a first model has not seen at all: a third are told, and nothing else is taken for one."""
+    assert len(model.recall) == len(license_scan.FAMILIES) and model.recall["unknown"] > 0.95
+    assert sum(v for f, v in model.recall.items() if f != "unknown") / (len(model.recall) - 1) > 0.25
+
+
+def test_against_plain_version(spark, model):
+    """Every unit of the smallest table's documents, one at a time."""
+    import numpy as np
+    from common import smallest
+    from docops.llm.chunks import LOWER, mix, prefix_hash, span_hash
+
+    def hashed(words):
+        data = LOWER[np.frombuffer(" ".join([*words, ""]).encode("latin-1"), np.uint8)]
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        one = span_hash(prefix_hash(data), np.append(0, ends[:-1] + 1), ends)
+        two = mix(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:])
+        return [int(x >> np.uint64(48)) for x in [*one, *two]]
+
+    def windows(words):
+        return [words[i : i + 80] for i in range(0, max(1, len(words) - 40), 40)]
+
+    def plain(text):
+        lines, units = text.split("\n"), []
+        for n, x in enumerate(lines):
+            units += [(False, n, w) for w in windows(license_scan.words(x)) if w]
+        block = []
+        for n, x in enumerate([*lines, ""]):
+            own = license_scan.words(x)
+            block += [(n, w) for w in own]
+            if not own and block:
+                if block[0][0] < block[-1][0]:
+                    for i in range(0, max(1, len(block) - 40), 40):
+                        part = block[i : i + 80]
+                        if part[0][0] < part[-1][0]:
+                            units.append((True, part[0][0], [w for _, w in part]))
+                block = []
+        best = {}
+        for is_block, n, w in units:
+            f = hashed(w)
+            z = (model.weights[f].sum(axis=0) / np.sqrt(len(f)) + model.bias) / model.temperature
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            if p.argmax() > 0:
+                for k in np.flatnonzero(p >= 0.1):
+                    if k and license_scan.similarity(license_scan.FAMILIES[k], " ".join(w).encode("latin-1").decode(errors="replace")) >= 0.6:
+                        rank = (is_block, -round(float(p[k]), 4), n, license_scan.FAMILIES[k])
+                        best[license_scan.FAMILIES[k]] = min(best.get(license_scan.FAMILIES[k], rank), rank)
+        return (min(best.values())[3] if best else "none", sorted(best))
+
+    docs = smallest()
+    extra = {10**6 + i: f"a b\n{x}\n\nc {x} d\ne" for i, x in enumerate(t for ts in license_scan.TEMPLATES.values() for t in ts)}
+    both = {i: t or "" for i, t in {**docs, **extra}.items()}
+    got = {r.doc_id: (r.family, r.families) for r in license_scan.scan(spark.createDataFrame(list(both.items()), "doc_id long, text string"), model).collect()}
+    want = {i: plain(t) for i, t in both.items()}
+    assert got == want
