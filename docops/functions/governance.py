@@ -15,7 +15,14 @@ ALLOWED_MIMES = [
 OOXML = ["docx", "xlsx", "xlsm", "pptx", "dotx", "xltx", "ppsx", "potx"]
 EXTENSIONS = ["pdf", "doc", "docx", "odt", "rtf", "txt", "html", "xls", "xlsx", "xlsm", "ods", "ppt", "pptx", "odp", "jpg", "jpeg", "png", "bmp", "tiff", "csv"]
 IMAGES, DOCUMENTS, SHEETS = ["jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp"], ["doc", "docx", "odt", "rtf", "txt", "html", "htm", "ppt", "pptx", "odp"], ["csv", "xls", "xlsx", "ods"]
-BY_MIME = {"application/pdf": "pdf", "image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/bmp": "bmp", "image/tiff": "tiff", "text/plain": "txt", "text/html": "html", "application/msword": "doc", "application/vnd.ms-excel": "xls", "application/vnd.ms-powerpoint": "ppt", "text/csv": "csv"}
+BY_MIME = {
+    "application/pdf": "pdf", "image/jpeg": "jpg", "image/jpg": "jpg", "image/png": "png", "image/bmp": "bmp", "image/x-ms-bmp": "bmp", "image/tiff": "tiff", "image/x-tiff": "tiff",
+    "text/plain": "txt", "text/html": "html", "application/xhtml+xml": "html", "text/csv": "csv", "application/csv": "csv", "application/msword": "doc", "application/vnd.ms-excel": "xls",
+    "application/vnd.ms-powerpoint": "ppt", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "xlsx", "application/vnd.ms-excel.sheet.macroenabled.12": "xlsm",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "pptx", "application/vnd.oasis.opendocument.text": "odt",
+    "application/vnd.oasis.opendocument.spreadsheet": "ods", "application/vnd.oasis.opendocument.presentation": "odp",
+}
 TARGETS = {"pdf": "pdf", "docx": "docx", "doc": "docx", "docs": "docx", "word": "docx", "xlsx": "xlsx", "excel": "xlsx", "xlsm": "xlsm", "csv": "csv"}
 
 
@@ -41,7 +48,7 @@ def resolve_ext(name: Column, mime: Column, allowed: list[str] = EXTENSIONS) ->
     """The extension to store a file under, null if none is allowed: .pdf at the end; the right-most allowed suffix of
     the safe name, of the raw name; the type's; the raw one; pdf by type."""
     suffixes = lambda n: F.filter(F.reverse(F.slice(F.split(F.lower(n), r"\."), 2, 1000)), lambda s: s.isin(allowed))
-    by_type = F.lit(None).cast("string")
+    by_type = F.when(F.lower(mime).startswith("application/pdf"), "pdf")
     for m, e in BY_MIME.items():
         by_type = F.when(F.lower(mime) == m, e).otherwise(by_type)
     safe, raw = safe_name(name), F.coalesce(name, F.lit(""))

@@ -66,11 +66,19 @@ def auto_orient(width: Column, height: Column, rotation: Column, angle: Column)
     return F.when(angle.isNull() & (width > height) & rotation.isin(0, 180), F.pmod(rotation + 90, F.lit(360))).otherwise(rotation)
 
 
+def _inside(box: Column, width: Column, height: Column) -> Column:
+    """The box cut at the page, corners in order; null if a side is a point or less."""
+    left, right = F.greatest(F.least(box["x0"], box["x1"]), F.lit(0.0)), F.least(F.greatest(box["x0"], box["x1"]), width)
+    low, high = F.greatest(F.least(box["y0"], box["y1"]), F.lit(0.0)), F.least(F.greatest(box["y0"], box["y1"]), height)
+    return F.when((right - left > 1) & (high - low > 1), F.struct(left.alias("x0"), low.alias("y0"), right.alias("x1"), high.alias("y1")))
+
+
 def crop_box(crop: Column, width: Column, height: Column, dialect: str) -> Column:
     """struct(x0, y0, x1, y1) in points from the bottom left; null if the crop is none.
 
     topleft: {x, y, w, h} as fractions from the top left, cut at the page's end.  points: {x0, y0, x1, y1}, fractions if
-    all are 0..1, else points; a side of a point or less is no crop.  corners: {x0, y0, x1, y1} as fractions, clamped and sorted.
+    all are 0..1, else points; a side of a point or less is no crop.  spec: {x, y, w, h, unit, origin}, from the bottom left
+    or the origin topleft, as fractions if the unit is percent or none is given and all are, else points.  corners: {x0, y0, x1, y1} as fractions, clamped and sorted.
     """
     box = lambda a, b, c, d: F.struct(a.alias("x0"), b.alias("y0"), c.alias("x1"), d.alias("y1"))
     if dialect == "topleft":
@@ -81,12 +89,20 @@ def crop_box(crop: Column, width: Column, height: Column, dialect: str) -> Colum
         values = [crop[c] for c in ("x0", "y0", "x1", "y1")]
         fraction = (F.least(*values) >= 0) & (F.greatest(*values) <= 1)
         x0, y0, x1, y1 = (F.when(fraction, v * s).otherwise(v) for v, s in zip(values, (width, height, width, height)))
-        left, low, right, high = F.greatest(F.least(x0, x1), F.lit(0.0)), F.greatest(F.least(y0, y1), F.lit(0.0)), F.least(F.greatest(x0, x1), width), F.least(F.greatest(y0, y1), height)
-        return F.when((right - left > 1) & (high - low > 1), box(left, low, right, high))
+        return _inside(box(x0, y0, x1, y1), width, height)
+    if dialect == "spec":
+        x, y, w, h = (F.coalesce(crop[c].cast("double"), F.lit(0.0)) for c in ("x", "y", "w", "h"))
+        unit, origin = (F.lower(F.trim(F.coalesce(crop[c], F.lit("")))) for c in ("unit", "origin"))
+        small = (F.least(x, y) >= 0) & (F.greatest(x, y, w, h) <= 1) & (w > 0) & (h > 0)
+        share = (unit == "percent") | ((unit == "") & small)
+        sx, sy = F.when(share, width).otherwise(1.0), F.when(share, height).otherwise(1.0)
+        low = F.when(origin == "topleft", height - (y + h) * sy).otherwise(y * sy)
+        corners = F.struct((x * sx).alias("x0"), low.alias("y0"), (x * sx + w * sx).alias("x1"), (low + h * sy).alias("y1"))
+        return _inside(corners, width, height)
     if dialect == "corners":
         x0, y0, x1, y1 = (clamp(crop[c], 0.0, 1.0) for c in ("x0", "y0", "x1", "y1"))
         return box(F.least(x0, x1) * width, F.least(y0, y1) * height, F.greatest(x0, x1) * width, F.greatest(y0, y1) * height)
-    raise ValueError("dialect must be topleft, points or corners")
+    raise ValueError("dialect must be topleft, points, spec or corners")
 
 
 def union_box(boxes: list[Column], media: Column) -> Column:

@@ -25,24 +25,27 @@ def excel_safe(value: Column) -> Column:
 def parse_number(value: Column) -> Column:
     """A decimal from a local number: R$ and spaces go, % divides by 100, with a comma dots part thousands; else null."""
     text = F.trim(value.cast("string"))
-    bare = F.trim(F.regexp_replace(text, r"R\$", " "))
-    t = F.regexp_replace(F.regexp_replace(text, r"R\$", " "), " ", "")
-    percent = t.endswith("%")
-    t = F.when(percent, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
-    t = F.when(F.instr(t, ",") > 0, F.regexp_replace(F.regexp_replace(t, r"\.", ""), ",", ".")).otherwise(t)
+    bare = F.trim(F.replace(text, F.lit("R$"), F.lit(" ")))
+    percent = bare.endswith("%")
+    t = F.translate(F.when(percent, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare), " ", "")
+    t = F.when(F.instr(t, ",") > 0, F.translate(t, ",.", ".")).otherwise(t)
     number = t.try_cast("decimal(28,10)")
     return F.when((text != "") & bare.rlike(NUMBER), F.when(percent, number / 100).otherwise(number)).cast("decimal(38,10)")
 
 
 def format_brl(raw: Column) -> Column:
-    """``R$ n.nnn,cc``; what has that form already, or can't be read, stays as it is."""
+    """``R$ n.nnn,cc``; what has that form already, or can't be read, stays as it is.
+
+    The cents are what is left after the whole part, rounded: below zero they keep their sign, and they may be 100.
+    """
     s = F.trim(raw)
     t = F.trim(F.regexp_replace(s, r"^R\$\s*", ""))
     t = F.when((F.instr(t, ",") > 0) & (F.instr(t, ".") > 0), F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", "."))
-    value = t.try_cast("double")
+    value = F.when(t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), t.try_cast("double"))
     whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("long")
-    cents = F.bround((value - whole) * 100).cast("int")
-    shown = F.concat(F.lit("R$ "), F.translate(F.format_number(whole, 0), ",", "."), F.lit(","), F.lpad(cents.cast("string"), 2, "0"))
+    cents = F.bround((value - whole) * 100).cast("int").cast("string")
+    padded = F.when(F.length(cents) < 2, F.lpad(cents, 2, "0")).otherwise(cents)  # lpad would cut longer ones
+    shown = F.concat(F.lit("R$ "), F.translate(F.format_number(whole, 0), ",", "."), F.lit(","), padded)
     return F.when(s.rlike(f"^{MONEY_BR}"), s).when(value.isNotNull(), shown).otherwise(raw)
 
 
@@ -50,7 +53,7 @@ def extract_money(text: Column) -> Column:
     """All R$ amounts of a text, else all bare ones, in one form."""
     marked = F.regexp_extract_all(text, F.lit(f"({MONEY_BR})"), F.lit(1))
     bare = F.regexp_extract_all(text, F.lit(f"({MONEY_NUM})"), F.lit(1))
-    return F.transform(F.when(F.size(marked) > 0, marked).otherwise(bare), format_brl)
+    return F.when(F.size(marked) > 0, marked).otherwise(F.transform(bare, format_brl))  # marked ones have the form
 
 
 def norm_key(text: Column) -> Column:
@@ -74,12 +77,24 @@ def split_codes(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, f"(?={CODE})"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def item_code(line: Column) -> Column:
+    return F.regexp_extract(F.trim(line), f"^({CODE})", 1)
+
+
+def after_code(line: Column) -> Column:
+    """What follows the code at the beginning of a line."""
+    return F.trim(F.regexp_replace(F.trim(line), f"^{CODE}", ""))
+
+
+def without_money(text: Column) -> Column:
+    """A text without its amounts, spaces squeezed."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(text, MONEY_BR, ""), MONEY_NUM, "")), r"\s{2,}", " "))
+
+
 def parse_item_line(line: Column) -> Column:
     """struct(code, description, amounts): money is taken out of the description, five amounts at most."""
-    code = F.regexp_extract(F.trim(line), f"^({CODE})", 1)
-    rest = F.trim(F.substring(F.trim(line), F.length(code) + 1, F.length(line)))
-    text = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(rest, MONEY_BR, ""), MONEY_NUM, "")), r"\s{2,}", " "))
-    return F.struct(code.alias("code"), text.alias("description"), F.slice(extract_money(rest), 1, 5).alias("amounts"))
+    rest = after_code(line)
+    return F.struct(item_code(line).alias("code"), without_money(rest).alias("description"), F.slice(extract_money(rest), 1, 5).alias("amounts"))
 
 
 def header_label(value: Column, position: Column, size: int = 80) -> Column:

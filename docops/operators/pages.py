@@ -114,6 +114,18 @@ def reorder_valid(ops: DataFrame) -> DataFrame:
     return ops.select("doc_id", (F.array_sort(F.col("reorder").cast("array<int>")) == every).alias("valid"))
 
 
+def valid_pages(picks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Picks (doc_id, pos, page_number) that are pages of their document, in order; repeated picks stay.
+
+    A document of which no pick is a page has one row of error ``no_valid_page``; the error is null elsewhere.
+    """
+    counts = pages.groupBy("doc_id").agg(F.count("*").alias("n"))
+    judged = picks.join(counts, "doc_id", "left").withColumn("ok", (F.col("page_number") >= 1) & (F.col("page_number") <= F.coalesce("n", F.lit(0))))
+    good = judged.where("ok").select("doc_id", "pos", "page_number", F.lit(None).cast("string").alias("error"))
+    none = judged.groupBy("doc_id").agg(F.bool_or("ok").alias("any")).where("NOT any")
+    return good.unionByName(none.select("doc_id", F.lit("no_valid_page").alias("error")), allowMissingColumns=True)
+
+
 def plan_pages(plan: DataFrame, pages: DataFrame) -> DataFrame:
     """A plan's picks (job_id, pos, src, page, rotation; pages 0-based after page_index) joined to pages (job_id, src, page0, width, height, rotate).
 

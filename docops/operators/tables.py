@@ -18,10 +18,10 @@ def cleaned(cells: DataFrame) -> DataFrame:
 
 
 def drop_empty(cells: DataFrame) -> DataFrame:
-    """Without the rows and columns of a table that have no value."""
+    """Without the rows and columns of a table that have no value.  The cells of a table come together, once for all steps."""
     rows, cols = Window.partitionBy("table_id", "row_pos"), Window.partitionBy("table_id", "col_pos")
     filled = F.col("value") != ""
-    kept = cleaned(cells).withColumn("_c", F.bool_or(filled).over(cols)).where("_c")
+    kept = cleaned(cells).repartition("table_id").withColumn("_c", F.bool_or(filled).over(cols)).where("_c")
     return kept.withColumn("_r", F.bool_or(filled).over(rows)).where("_r").drop("_c", "_r")
 
 
@@ -47,27 +47,42 @@ def unique_names(df: DataFrame, keys: list[str], order: list[Column], name: str
     return out.withColumn("_again", again).withColumn("unique_name", F.when(F.col("_again") == 1, F.col("unique_name")).otherwise(F.concat("unique_name", F.lit(" ("), F.col("_again"), F.lit(")")))).drop("_again")
 
 
+def with_labels(cells: DataFrame, min_fill: float = 0.7) -> DataFrame:
+    """Cells with their table's header_row (as detect_header) and their column's label, made unique, in one pass by table."""
+    table, row = Window.partitionBy("table_id"), Window.partitionBy("table_id", "row_pos")
+    filled = cells.withColumn("_n", F.count_if(F.col("value") != "").over(row)).withColumn("_fill", F.col("_n") / F.count("*").over(row))
+    first = F.min(F.when(F.col("_fill") >= min_fill, F.col("row_pos"))).over(table)
+    best = F.max(F.when(F.col("_n") >= 2, F.struct("_fill", (-F.col("row_pos")).alias("back")))).over(table)
+    placed = filled.withColumn("header_row", F.coalesce(first, -best["back"], F.min("row_pos").over(table))).drop("_n", "_fill")
+    header = F.col("row_pos") == F.col("header_row")
+    place = F.row_number().over(Window.partitionBy("table_id", "row_pos").orderBy("col_pos")) - 1
+    named = placed.withColumn("_place", place).withColumn("_name", F.when(header, t.header_label(F.col("value"), F.col("_place"))))
+    named = unique_names(named, ["table_id", "row_pos"], [F.col("col_pos")], name="_name")
+    label = F.max(F.when(header, F.col("unique_name"))).over(Window.partitionBy("table_id", "col_pos"))
+    return named.withColumn("label", label).drop("_place", "_name", "unique_name")
+
+
 def headers(cells: DataFrame) -> DataFrame:
     """(table_id, col_pos, label) of the detected header rows, labels made unique."""
-    row = cells.join(detect_header(cells), "table_id").where("row_pos = header_row")
-    place = F.row_number().over(Window.partitionBy("table_id").orderBy("col_pos")) - 1
-    named = row.withColumn("place", place).select("table_id", "col_pos", t.header_label(F.col("value"), F.col("place")).alias("name"))
-    return unique_names(named, ["table_id"], [F.col("col_pos")]).select("table_id", "col_pos", F.col("unique_name").alias("label"))
+    return with_labels(cells).where("row_pos = header_row").select("table_id", "col_pos", "label")
 
 
 def body(cells: DataFrame) -> DataFrame:
     """Cells below the header row, without rows that repeat the labels."""
-    below = cells.join(detect_header(cells), "table_id").where("row_pos > header_row").drop("header_row")
-    return drop_repeated_header(below, headers(cells))
+    below = with_labels(cells).where("row_pos > header_row").drop("header_row")
+    return _without_repeats(below)
 
 
-def drop_repeated_header(cells: DataFrame, labels: DataFrame) -> DataFrame:
-    """Without the rows whose every value is its column's label."""
-    marked = cells.join(labels, ["table_id", "col_pos"], "left")
+def _without_repeats(marked: DataFrame) -> DataFrame:
     same = F.bool_and(F.coalesce(F.col("value") == F.col("label"), F.lit(False))).over(Window.partitionBy("table_id", "row_pos"))
     return marked.withColumn("_same", same).where("NOT _same").drop("_same", "label")
 
 
+def drop_repeated_header(cells: DataFrame, labels: DataFrame) -> DataFrame:
+    """Without the rows whose every value is its column's label."""
+    return _without_repeats(cells.join(labels, ["table_id", "col_pos"], "left"))
+
+
 def infer_types(cells: DataFrame, min_ratio: float = 0.6) -> DataFrame:
     """(table_id, col_pos, type): percent, money or number if enough values parse, else text."""
     ok = t.parse_number(F.col("value")).isNotNull()
@@ -116,27 +131,30 @@ def text_lines(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def fill_section(lines: DataFrame) -> DataFrame:
-    """Each line with the last section title before it, '' if none."""
+    """Each line with the last section title before it, '' if none; a column ``kind`` is taken for its class."""
     w = Window.partitionBy("doc_id").orderBy("line_pos").rowsBetween(Window.unboundedPreceding, 0)
-    title = F.when(t.line_class(F.col("line")) == "section", F.trim("line"))
-    return lines.withColumn("section", F.coalesce(F.last(title, ignorenulls=True).over(w), F.lit("")))
+    kind = F.col("kind") if "kind" in lines.columns else t.line_class(F.col("line"))
+    return lines.withColumn("section", F.coalesce(F.last(F.when(kind == "section", F.trim("line")), ignorenulls=True).over(w), F.lit("")))
 
 
 def stitch_fee_lines(lines: DataFrame) -> DataFrame:
     """Fee records of (doc_id, line_pos, line): items with their continuations, and totals.
 
     After an item, lines without an amount go on with its description and amounts fill its five places from the left,
-    until the next item, total or section; headers and notes neither end nor join it.
+    until the next item, total or section; headers and notes neither end nor join it.  A line's class is worked out once.
     """
-    kinds = fill_section(lines).withColumn("kind", t.line_class(F.col("line"))).where("kind NOT IN ('note', 'header')")
+    one = F.array(F.struct("line_pos", "line", t.line_class(F.col("line")).alias("kind")))
+    kinds = fill_section(lines.select("doc_id", F.inline(F.filter(one, lambda x: ~x["kind"].isin("note", "header")))))
     w = Window.partitionBy("doc_id").orderBy("line_pos").rowsBetween(Window.unboundedPreceding, 0)
     starts = F.when(F.col("kind").isin("item", "total", "section"), 1).otherwise(0)
-    island = kinds.withColumn("island", F.sum(starts).over(w)).withColumn("item", t.parse_item_line(F.col("line")))
+    island = kinds.withColumn("island", F.sum(starts).over(w)).where("island > 0")
     own = F.col("kind") == "item"
-    money = F.when(own, F.col("item.amounts")).otherwise(t.extract_money(F.col("line")))
-    text = F.when(own, F.col("item.description")).when(F.size(money) == 0, F.trim("line"))
-    part = F.struct("line_pos", "kind", F.when(own, F.col("item.code")).alias("code"), money.alias("money"), text.alias("text"), "section")
-    got = island.where("island > 0").groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(part)).alias("p")).withColumn("head", F.col("p")[0]).where("head.kind IN ('item', 'total')")
+    rest = F.when(own, t.after_code(F.col("line"))).otherwise(F.trim("line"))
+    read = island.withColumn("rest", rest).withColumn("money", t.extract_money(F.col("rest")))
+    money = F.when(own, F.slice("money", 1, 5)).otherwise(F.col("money"))
+    text = F.when(own, t.without_money(F.col("rest"))).when(F.size("money") == 0, F.col("rest"))
+    part = F.struct("line_pos", "kind", F.when(own, t.item_code(F.col("line"))).alias("code"), money.alias("money"), text.alias("text"), "section")
+    got = read.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(part)).alias("p")).withColumn("head", F.col("p")[0]).where("head.kind IN ('item', 'total')")
     total = F.col("head.kind") == "total"
     amounts = F.when(total, F.slice(F.col("head.money"), 1, 4)).otherwise(F.slice(F.flatten(F.transform("p", lambda x: x["money"])), 1, 5))
     words = F.array_join(F.filter(F.transform("p", lambda x: x["text"]), lambda x: x != ""), " ")
@@ -171,9 +189,16 @@ def write_tables_csv(cells: DataFrame, path: str, columns: int) -> None:
     wide.orderBy("table_id", "row_pos").drop("table_id", "row_pos").write.mode("overwrite").csv(path, sep=";", header=False)
 
 
-def write_tables(cells: DataFrame, path: str) -> None:
-    """One folder a sheet."""
-    cells.write.mode("overwrite").partitionBy("sheet").parquet(path)
+def write_tables(cells: DataFrame, path: str, tables: DataFrame, single: bool = False) -> None:
+    """Cells (table_id, row_pos, col_pos, value) in one folder a sheet, or all in one sheet, rows counted on over its tables.
+
+    ``tables`` (doc_id, table_id, is_fee) names the sheets; a name is shared by documents, which stay apart by doc_id.
+    """
+    named = cells.join(name_tables(tables, single).select("doc_id", "table_id", "sheet"), "table_id")
+    rows = named.select("doc_id", "sheet", "table_id", "row_pos").distinct()
+    line = F.row_number().over(Window.partitionBy("doc_id", "sheet").orderBy("table_id", "row_pos")) - 1
+    placed = named.join(rows.withColumn("line", line), ["doc_id", "sheet", "table_id", "row_pos"])
+    placed.select("doc_id", "sheet", "line", "col_pos", "value").write.mode("overwrite").partitionBy("sheet").parquet(path)
 
 
 # positions
@@ -228,27 +253,35 @@ def cluster_1d(df: DataFrame, value: str, keys: list[str], tol: float) -> DataFr
 
 
 def match_columns(labels: DataFrame, targets: list[str], min_score: float = 0.55) -> DataFrame:
-    """(table_id, target, col_pos, score): each target, in order, takes the free column whose name is most alike."""
-    keyed = labels.select("table_id", "col_pos", t.norm_key(F.col("label")).alias("key"))
-    wanted = [(x, x.lower()) for x in targets]
+    """(table_id, target, col_pos, score): each target, in order, takes the free column whose name is most alike.
+
+    Both names are folded to keys.  The score is the matcher's ratio of column to target, and 0.15 more if one key holds
+    the other (an empty one is held by all); of equal scores the first column wins.  Only a table's labels are grouped.
+    """
+    keys = F.array(*[t.norm_key(F.lit(x)) for x in targets]).alias("wanted")
+    keyed = labels.select("table_id", "col_pos", t.norm_key(F.col("label")).alias("key"), keys)
+
+    def score(column: str, target: str) -> float:
+        return SequenceMatcher(None, column, target).ratio() + (0.15 if column in target or target in column else 0.0)
 
     def pick(batch: pd.DataFrame) -> pd.DataFrame:
-        free, out = batch.sort_values("col_pos")[["col_pos", "key"]].values.tolist(), []
-        for name, target in wanted:
-            scored = [(SequenceMatcher(None, target, k).ratio() + (0.15 if k and (k in target or target in k) else 0.0), -i, c, k) for i, (c, k) in enumerate(free)]
-            if scored and max(scored)[0] >= min_score:
-                score, _, c, k = max(scored)
-                free.remove([c, k])
-                out.append((batch.table_id.iloc[0], name, c, score))
+        free, out = dict(batch.sort_values("col_pos")[["col_pos", "key"]].values.tolist()), []
+        for name, target in zip(targets, batch.wanted.iloc[0]):
+            best = max(((score(k, target), -c) for c, k in free.items()), default=(0.0, 0))
+            if best[0] >= min_score:
+                out.append((batch.table_id.iloc[0], name, -best[1], best[0]))
+                del free[-best[1]]
         return pd.DataFrame(out, columns=["table_id", "target", "col_pos", "score"])
 
     return keyed.groupBy("table_id").applyInPandas(pick, "table_id long, target string, col_pos int, score double")
 
 
-def accept_schema(matches: DataFrame, n_targets: int) -> DataFrame:
-    """(table_id, matched, accepted): four matches at least, and four in ten of the targets."""
-    need = max(4, int(0.4 * n_targets))
-    return matches.groupBy("table_id").agg(F.count("*").alias("matched")).withColumn("accepted", F.col("matched") >= need)
+def accept_schema(labels: DataFrame, matches: DataFrame, n_targets: int) -> DataFrame:
+    """(table_id, matched, accepted) of every table: four matches at least, and four in ten of the targets."""
+    need = max(4, int(0.4 * max(1, n_targets)))
+    counts = matches.groupBy("table_id").agg(F.count("*").alias("n"))
+    every = labels.select("table_id").distinct().join(counts, "table_id", "left")
+    return every.select("table_id", F.coalesce("n", F.lit(0)).alias("matched")).withColumn("accepted", F.col("matched") >= need)
 
 
 def with_page_transform(pages: DataFrame, fn, schema: str | None = None) -> DataFrame:

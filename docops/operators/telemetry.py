@@ -115,10 +115,14 @@ def error_buffer(events: DataFrame, n: int = 100) -> DataFrame:
 
 
 def join_tool_prefix(events: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Each event with the tool of its first matching prefix (prefixes: ord, prefix, tool); a small, fixed table."""
-    p = F.lower(F.trim(F.col("path")))
-    hit = events.select("event_id", "path").join(F.broadcast(prefixes), p.startswith(F.col("prefix")), "left")
-    return hit.groupBy("event_id").agg(F.min_by("tool", "ord").alias("tool"))
+    """Each event with the tool of its first matching prefix (prefixes: ord, prefix, tool).
+
+    The beginnings of each distinct path are joined to the prefixes by equality, so that a table of any size will do.
+    """
+    paths = events.select("path").distinct().withColumn("p", F.lower(F.trim("path")))
+    begin = paths.select("path", F.explode(F.transform(F.sequence(F.lit(0), F.length("p")), lambda n: F.substring("p", F.lit(1), n))).alias("prefix"))
+    found = begin.join(prefixes, "prefix").groupBy("path").agg(F.min_by("tool", "ord").alias("tool"))
+    return events.select("event_id", "path").join(found, "path", "left").select("event_id", "tool")
 
 
 def folder_usage(inventory: DataFrame) -> DataFrame:
@@ -134,7 +138,7 @@ def quota_violations(events: DataFrame, limits: DataFrame, default: int = 10) ->
     """(client, endpoint, minute) with more requests than the endpoint's limit (limits: endpoint, quota)."""
     counts = events.where("kind = 'request'").groupBy(F.col("user_id").alias("client"), F.lower(F.trim("path")).alias("endpoint"), t.minute_of(F.col("ts").cast("timestamp")).alias("minute")).agg(F.count("*").alias("n"))
     quota = F.coalesce("quota", F.lit(default))
-    return counts.join(F.broadcast(limits), "endpoint", "left").where(F.col("n") > quota).select("client", "endpoint", "minute", "n", quota.alias("quota"))
+    return counts.join(limits, "endpoint", "left").where(F.col("n") > quota).select("client", "endpoint", "minute", "n", quota.alias("quota"))
 
 
 def snapshot(events: DataFrame, token: str | None, now: str) -> DataFrame:
@@ -174,9 +178,9 @@ def latest_feedback(rows: DataFrame, n: int = 50) -> DataFrame:
 
 
 def log_tail(logs: DataFrame, n: int = 400, level: str | None = None) -> DataFrame:
-    """The last n (1..5000) log rows; a level filters what the tail holds."""
+    """The last n (1..5000) log rows by arrival, in that order; a level filters what the tail holds."""
     name = (level or "").strip().upper()
     if name and name not in t.LOG_LEVELS:
         raise ValueError(f"level must be one of {', '.join(t.LOG_LEVELS)}")
     tail = logs.orderBy(F.desc("arrival")).limit(min(max(n, 1), 5000))
-    return tail.where(F.upper(F.trim("level")) == name) if name else tail
+    return (tail.where(F.upper(F.trim("level")) == name) if name else tail).orderBy("arrival")

@@ -52,7 +52,9 @@ FIXTURES = {
         UNION ALL SELECT doc_id, CAST(10 * pos + 2 AS INT), 'Código Procedimento Valor Unimed' FROM m WHERE pk % 8 = 0
         UNION ALL SELECT doc_id, CAST(10 * pos + 3 AS INT), concat(b, ' ', b) FROM m WHERE pk % 8 = 0
         UNION ALL SELECT doc_id, CAST(1000000 AS INT), '* Obs: valores podem variar' FROM c WHERE pos = 1
-        UNION ALL SELECT doc_id, CAST(1000001 AS INT), concat('TOTAL DE COPARTICIPAÇÃO ', a, ' ', a) FROM m WHERE pos = 1""",
+        UNION ALL SELECT doc_id, CAST(1000001 AS INT), concat('TOTAL DE COPARTICIPAÇÃO ', a, ' ', a) FROM m WHERE pos = 1
+        UNION ALL SELECT doc_id, CAST(1000002 AS INT), CASE doc_id % 9 WHEN 0 THEN 'Com exceção dos valores' WHEN 1 THEN 'com excecao  dos valores' WHEN 2 THEN 'Referem-se ao custo' WHEN 3 THEN 'pode haver variação' WHEN 4 THEN 'ANEXO IV'
+            WHEN 5 THEN 'EXEMPLOS DE EXAMES' WHEN 6 THEN 'EXEMPLOS DE COPARTICIPAÇÃO' WHEN 7 THEN 'exemplos  de COPARTICIPACAO' ELSE 'Flex Pleno Cop. 40%' END FROM c WHERE pos = 1""",
     # a title row, a header row with a repeated label, data rows with an always-empty column; every third table repeats its header
     "cells": f"""WITH p AS (SELECT l_orderkey AS table_id, {_PAGE} AS n, l_quantity AS q, l_extendedprice AS e, l_discount AS d, l_returnflag AS f FROM {{lineitem}}),
         h AS (SELECT table_id, CAST(n AS INT) + 1 AS row_pos, q, e, d, f FROM p),
@@ -60,11 +62,9 @@ FIXTURES = {
         x AS (SELECT table_id, max(n) AS m FROM p GROUP BY table_id)
         SELECT table_id, CAST(0 AS INT) AS row_pos, CAST(0 AS INT) AS col_pos, 'Tabela de valores' AS value FROM k
         UNION ALL SELECT table_id, CAST(1 AS INT), CAST(c AS INT), CASE c WHEN 0 THEN 'Qtd' WHEN 1 THEN 'Valor' WHEN 2 THEN 'Taxa' WHEN 3 THEN 'Valor' ELSE '' END FROM k CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) cs
-        UNION ALL SELECT table_id, row_pos, CAST(0 AS INT), CAST(CAST(q AS BIGINT) AS STRING) FROM h
-        UNION ALL SELECT table_id, row_pos, CAST(1 AS INT), concat('R$ ', CAST(CAST(floor(e) AS BIGINT) AS STRING), ',50') FROM h
-        UNION ALL SELECT table_id, row_pos, CAST(2 AS INT), concat(CAST(CAST(round(d * 100) AS BIGINT) AS STRING), '%') FROM h
-        UNION ALL SELECT table_id, row_pos, CAST(3 AS INT), CASE WHEN f = 'R' THEN concat('=', f) ELSE f END FROM h
-        UNION ALL SELECT table_id, row_pos, CAST(4 AS INT), CAST(NULL AS STRING) FROM h
+        UNION ALL SELECT table_id, row_pos, CAST(c AS INT), CASE c WHEN 0 THEN CAST(CAST(q AS BIGINT) AS STRING) WHEN 1 THEN concat('R$ ', CAST(CAST(floor(e) AS BIGINT) AS STRING), ',50')
+            WHEN 2 THEN concat(CAST(CAST(round(d * 100) AS BIGINT) AS STRING), '%') WHEN 3 THEN CASE WHEN f = 'R' THEN concat('=', f) ELSE f END END
+            FROM h CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) cs
         UNION ALL SELECT table_id, CAST(m + 2 AS INT), CAST(c AS INT), CASE c WHEN 0 THEN 'Qtd' WHEN 1 THEN 'Valor' WHEN 2 THEN 'Taxa' WHEN 3 THEN 'Valor' ELSE '' END FROM x CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) cs WHERE table_id % 3 = 0""",
     "doc_objects": f"""WITH o AS (SELECT l_orderkey AS doc_id, CAST({_PAGE} AS INT) AS object_id, l_partkey AS pk, l_suppkey AS sk FROM {{lineitem}})
         SELECT doc_id, object_id, CASE WHEN pk % 3 = 0 AND object_id > 1 THEN object_id - 1 END AS parent_id, CAST(1 + sk % 3 AS INT) AS page_number,

@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import governance as g
 from ..operators import governance as op
+from ..sources import readers
+from ..sources.checkpoints import shared_folder
 from .fixtures import NOW, query
 
 I, O = "file_inventory", "doc_objects"
 LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 EXT = "CASE WHEN contains(path, '.') THEN lower(regexp_extract(path, '\\.([^.]*)$', 1)) ELSE '' END"
 MIME_EXT = "CASE mime WHEN 'application/pdf' THEN 'pdf' WHEN 'text/plain' THEN 'txt' END"
+# every type that names an extension, and one that names none
+TYPES = [
+    ("application/pdf; charset=binary", "pdf"), ("image/jpeg", "jpg"), ("image/jpg", "jpg"), ("IMAGE/PNG", "png"), ("image/bmp", "bmp"), ("image/x-ms-bmp", "bmp"), ("image/tiff", "tiff"), ("image/x-tiff", "tiff"),
+    ("text/plain", "txt"), ("text/html", "html"), ("application/xhtml+xml", "html"), ("text/csv", "csv"), ("application/csv", "csv"), ("application/msword", "doc"), ("application/vnd.ms-excel", "xls"),
+    ("application/vnd.ms-powerpoint", "ppt"), ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "docx"), ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "xlsx"),
+    ("application/vnd.ms-excel.sheet.macroenabled.12", "xlsm"), ("application/vnd.openxmlformats-officedocument.presentationml.presentation", "pptx"), ("application/vnd.oasis.opendocument.text", "odt"),
+    ("application/vnd.oasis.opendocument.spreadsheet", "ods"), ("application/vnd.oasis.opendocument.presentation", "odp"), ("application/x-unknown", None),
+]
+ALLOWED = [
+    "application/pdf", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/rtf", "text/plain", "text/html",
+    "application/vnd.oasis.opendocument.text", "application/vnd.ms-excel", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "application/vnd.ms-excel.sheet.macroenabled.12", "application/vnd.oasis.opendocument.spreadsheet", "application/vnd.ms-powerpoint",
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation", "application/vnd.oasis.opendocument.presentation", "image/jpeg", "image/png", "image/bmp", "image/tiff", "application/zip",
+]
+TYPED = f"m(k, mime, ext) AS (VALUES {', '.join(f'({k}, {chr(39)}{m}{chr(39)}, ' + (f'{chr(39)}{e}{chr(39)}' if e else 'NULL') + ')' for k, (m, e) in enumerate(TYPES))}), f AS (SELECT file_id, m.mime, ext FROM file_inventory JOIN m ON file_id % {len(TYPES)} = k)"
 RESOLVED = f"CASE WHEN {EXT} IN ('pdf', 'docx', 'xlsx') THEN {EXT} ELSE {MIME_EXT} END"
 
 
@@ -32,7 +51,24 @@ def p46_resolve_ext(load):
     return load(I).select("file_id", g.resolve_ext(F.col("path"), F.col("mime")).alias("ext"))
 
 
-REASON = f"CASE WHEN mime = 'application/x-dosexec' THEN 'type_not_allowed' WHEN mime = 'application/zip' AND {EXT} NOT IN {LIST(g.OOXML)} THEN 'zip_not_office' WHEN {RESOLVED} IS NULL THEN 'extension_not_supported' END"
+def unnamed(load):
+    """The files without a name that has a suffix, each of one type."""
+    mime = F.element_at(F.array(*[F.lit(m) for m, _ in TYPES]), (F.col("file_id") % len(TYPES) + 1).cast("int"))
+    return load(I).select("file_id", F.lit("upload").alias("path"), mime.alias("mime"))
+
+
+@query(f"{TYPED} SELECT file_id, ext FROM f", I)
+def p46_resolve_ext_by_type(load):
+    return unnamed(load).select("file_id", g.resolve_ext(F.col("path"), F.col("mime")).alias("ext"))
+
+
+@query(f"{TYPED} SELECT file_id, CASE WHEN lower(mime) NOT IN {LIST(ALLOWED)} THEN 'type_not_allowed' WHEN ext IS NULL THEN 'extension_not_supported' END AS reason FROM f", I)
+def p47_admit_by_type(load):
+    return unnamed(load).select("file_id", g.admit(F.col("path"), F.col("mime")).alias("reason"))
+
+
+OFFICE = ["docx", "xlsx", "xlsm", "pptx", "dotx", "xltx", "ppsx", "potx"]
+REASON = f"CASE WHEN mime = 'application/x-dosexec' THEN 'type_not_allowed' WHEN mime = 'application/zip' AND {EXT} NOT IN {LIST(OFFICE)} THEN 'zip_not_office' WHEN {RESOLVED} IS NULL THEN 'extension_not_supported' END"
 
 
 @query(f"SELECT file_id, {REASON} AS reason FROM file_inventory", I)
@@ -109,10 +145,15 @@ def u5_scope_form(load):
     return op.scope_form(load(O), exported).select("doc_id", "object_id", "key")
 
 
-@query("""x AS (SELECT doc_id, bool_or(scope = 'field') AS has_acroform, bool_or(key = '/V' AND value <> '') AS has_filled_fields, bool_or(key = '/Widget') AS has_widgets, bool_or(key = '/FT' AND value = '/Sig') AS has_signature_fields, bool_or(scope = 'annotation') AS has_annotations, bool_or(key = '/SigFlags') AS has_sigflags FROM doc_objects GROUP BY doc_id)
-    SELECT *, has_acroform OR has_widgets OR has_signature_fields OR has_annotations OR has_sigflags AS requires_preservation FROM x""", O)
+@query("""x AS (SELECT doc_id, bool_or(scope = 'field') AS has_acroform, bool_or(key = '/V' AND value <> '') AS has_filled_fields, bool_or(key = '/Widget') AS has_widgets, bool_or(key = '/FT' AND value = '/Sig') AS has_signature_fields, bool_or(scope = 'annotation') AS has_annotations, bool_or(key = '/SigFlags') AS has_sigflags,
+        bool_or(key = '/AP') AS has_annotation_appearances, bool_or(key = '/NeedAppearances' AND value = 'true') AS has_need_appearances FROM (SELECT * FROM doc_objects
+        UNION ALL SELECT doc_id, object_id, parent_id, page_number, 'object', CASE WHEN doc_id % 3 = 0 THEN '/AP' ELSE '/NeedAppearances' END, CASE WHEN doc_id % 4 = 1 THEN 'true' ELSE 'false' END FROM doc_objects WHERE object_id = 1) o GROUP BY doc_id)
+    SELECT *, has_acroform OR has_widgets OR has_signature_fields OR has_annotations OR has_sigflags OR has_annotation_appearances OR has_need_appearances AS requires_preservation FROM x""", O)
 def a18_preservation_flags(load):
-    return op.preservation_flags(load(O)).drop("has_annotation_appearances", "has_need_appearances")
+    objects, doc = load(O), F.col("doc_id")
+    # the test tables have no appearances: one more object a document
+    more = objects.where("object_id = 1").withColumn("scope", F.lit("object")).withColumn("key", F.when(doc % 3 == 0, "/AP").otherwise("/NeedAppearances"))
+    return op.preservation_flags(objects.unionByName(more.withColumn("value", F.when(doc % 4 == 1, "true").otherwise("false"))))
 
 
 @query("SELECT d.doc_id, bool_or((d.key = '/SigFlags' AND TRY_CAST(d.value AS INT) % 2 = 1) OR (d.key = '/FT' AND d.value = '/Sig') OR coalesce(d.key = '/Widget' AND p.key = '/FT' AND p.value = '/Sig', false)) AS signed FROM (SELECT doc_id, parent_id, key, CASE WHEN key = '/SigFlags' THEN value ELSE CASE WHEN key = '/FT' THEN value ELSE '' END END AS value FROM doc_objects) d LEFT JOIN doc_objects p ON d.doc_id = p.doc_id AND d.parent_id = p.object_id GROUP BY d.doc_id", O)
@@ -170,6 +211,19 @@ def s5_inventory(load):
     return load(I).select("file_id", "path", "length", F.date_format(F.col("modification_time").cast("timestamp"), "yyyy-MM-dd").alias("day"))
 
 
+@query("SELECT concat('client-', CAST(o_custkey % 16 AS STRING)) AS name, CAST(sum(length(CAST(o_orderkey AS STRING)) + 1) AS BIGINT) AS length FROM orders GROUP BY o_custkey % 16")
+def s5_read_inventory(load):
+    """The orders' keys as one text file a client, and a folder below that is not listed."""
+    orders = load("orders")
+    folder = f"{shared_folder(orders.sparkSession)}/inventory-{uuid.uuid4().hex}"
+    named = orders.select(F.col("o_orderkey").cast("string").alias("value"), F.concat(F.lit("client-"), F.col("o_custkey") % 16).alias("name"))
+    named.repartition("name").write.partitionBy("name").text(f"{folder}/parts")
+    for part in sorted(r.name for r in named.select("name").distinct().collect()):  # a name a file, not a row
+        files = readers.read_inventory(orders.sparkSession, f"{folder}/parts/name={part}")
+        inventory = files.withColumn("name", F.lit(part)) if part == "client-0" else inventory.unionByName(files.withColumn("name", F.lit(part)))
+    return inventory.groupBy("name").agg(F.sum("length").alias("length"))
+
+
 @query("""o AS (SELECT doc_id, page_number AS pos, CASE page_number % 3 WHEN 0 THEN 'text' ELSE 'redact' END AS type, (page_number - 1) % 4 AS page_index, bytes % 50 AS x, bytes % 40 AS y FROM page_geometry),
     p AS (SELECT o.doc_id, g.page_number, pos, type, o.x, o.y, g.width / 100.0::DOUBLE AS sx, g.height / 100.0::DOUBLE AS sy FROM o JOIN page_geometry g ON o.doc_id = g.doc_id AND o.page_index + 1 = g.page_number),
     q AS (SELECT *, unnest(CASE WHEN type = 'text' THEN [0, 1] ELSE [0] END) AS line_no FROM p)

@@ -16,22 +16,36 @@ def stream(load, folder):
     return events.sparkSession.readStream.schema(st.EVENTS).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
 
 
-def result(load, name, make):
-    spark = load("events").sparkSession
-    folder = st.work_folder(spark, name)
-    return spark.read.parquet(st.run(make(stream(load, folder)), folder))
+def counts(load, name, make, keys):
+    folder = st.work_folder(load("events").sparkSession, name)
+    return st.run_counts(make(stream(load, folder)), folder, keys)
 
 
 @query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, CAST(count(*) AS BIGINT) AS n FROM request_events WHERE kind = 'request' GROUP BY 1", "request_events")
 def st1_minute_counts(load):
     # files come in no order of time: the watermark is wide enough that none is late
-    return result(load, "st1", lambda s: st.minute_counts(s, "60 days")).select(stamp("minute", "minute"), "n")
+    return counts(load, "st1", lambda s: st.minute_counts(s, "60 days"), ["minute"]).select(stamp("minute", "minute"), "n")
 
 
 @query(f"""w AS (SELECT unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS until, status, path FROM request_events WHERE kind = 'request')
     SELECT strftime(until, '%Y-%m-%d %H:%M:%S') AS until, {CLASS} AS status_class, {TOOL} AS tool, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY ALL""", "request_events")
 def st2_range_counts(load):
-    return result(load, "st2", lambda s: st.range_counts(s, "24h", "1 hour", "60 days")).select(stamp("until", "until"), "status_class", "tool", "n")
+    return counts(load, "st2", lambda s: st.range_counts(s, "24h", "1 hour", "60 days"), ["until", "status_class", "tool"]).select(stamp("until", "until"), "status_class", "tool", "n")
+
+
+# The events come in three batches.  The first moves the watermark, which holds for late events from the third on: of that
+# one, events in minutes that ended 24 hours before the first batch's last event are late.
+@query("""e AS (SELECT date_trunc('minute', ts) AS minute, event_id % 3 = 0 AS third FROM request_events WHERE kind = 'request'), w AS (SELECT max(ts) - INTERVAL 24 HOUR AS mark FROM request_events WHERE kind = 'request' AND event_id % 3 = 1)
+    SELECT strftime(minute, '%Y-%m-%d %H:%M:%S') AS minute, CAST(count(*) AS BIGINT) AS n FROM e, w WHERE NOT third OR minute + INTERVAL 1 MINUTE > mark GROUP BY 1""", "request_events")
+def st3_retention(load):
+    events = load("request_events").withColumn("ts", F.col("ts").cast("timestamp"))
+    spark = events.sparkSession
+    folder = st.work_folder(spark, "st3")
+    rows = events.select(*[c.split()[0] for c in st.EVENTS.split(", ")])
+    for part in (1, 2, 0):  # files are read in the order they are written
+        rows.where(f"event_id % 3 = {part}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = spark.readStream.schema(st.EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    return st.run_counts(st.minute_counts(source), folder, ["minute"]).select(stamp("minute", "minute"), "n")
 
 
 @query("SELECT event_id, path, CAST(status AS INT) AS code FROM request_events WHERE kind = 'request' AND status IN ('404', '500') ORDER BY ts DESC, event_id DESC LIMIT 100", "request_events")
@@ -39,7 +53,7 @@ def st4_error_buffer(load):
     spark = load("events").sparkSession
     folder = st.work_folder(spark, "st4")
     st.run(stream(load, folder), folder, st.error_buffer(folder), "append")
-    return spark.read.parquet(f"{folder}/buffer-1").select("event_id", "path", F.col("status").cast("int").alias("code"))
+    return st.latest(spark, folder, "buffer").select("event_id", "path", F.col("status").cast("int").alias("code"))
 
 
 @query(f"{VALID} SELECT arrival, type, page, message, reject_reason FROM w", "feedback")
@@ -54,8 +68,6 @@ def st9_ingest_feedback(load):
     return good.unionByName(spark.read.parquet(f"{folder}/rejected").select(*cols, "reject_reason"))
 
 
-
-
 @query("m AS (SELECT max(ts) AS m FROM sessions) SELECT session_id FROM sessions, m WHERE epoch_ms(ts) + 3600000 < epoch_ms(m)", "sessions")
 def st6_stream_expired_sessions(load):
     spark = load("events").sparkSession

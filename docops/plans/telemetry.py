@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import telemetry as t
@@ -11,6 +12,7 @@ from ..functions.governance import sniff_type
 from ..operators import telemetry as op
 from ..sources import readers
 from ..sources.checkpoints import shared_folder
+from ..streaming import telemetry as st
 from .fixtures import NOW, query
 
 RANGE = f"(SELECT * FROM request_events WHERE ts >= date_trunc('minute', TIMESTAMP '{NOW}') - INTERVAL 1439 MINUTE AND ts <= TIMESTAMP '{NOW}')"
@@ -33,7 +35,20 @@ def stamp(c, name):
 
 @query(f"SELECT event_id, user_id, kind, path, status, message, tool, ok, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM request_events", "request_events")
 def s4_read_events(load):
-    return load("request_events").select("event_id", "user_id", "kind", "path", "status", "message", "tool", "ok", stamp("ts", "at"))
+    rows = load("request_events")
+    path = f"{shared_folder(rows.sparkSession)}/events-{uuid.uuid4().hex}"
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(path)
+    return readers.read_events(rows.sparkSession, path).select("event_id", "user_id", "kind", "path", "status", "message", "tool", "ok", stamp("ts", "at"))
+
+
+@query("SELECT kind, CAST(count(*) AS BIGINT) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM request_events GROUP BY kind", "request_events")
+def s4_stream_events(load):
+    """The same events as a stream, counted by kind."""
+    rows = load("request_events")
+    folder = st.work_folder(rows.sparkSession, "s4")
+    rows.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{folder}/in")
+    counts = readers.stream_events(rows.sparkSession, f"{folder}/in").groupBy("kind").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    return rows.sparkSession.read.parquet(st.run(counts, folder, mode="complete")).select("kind", "n", stamp("last", "last"))
 
 
 @query(f"SELECT event_id, {CLASS} AS status_class, {CODE} AS code FROM request_events", "request_events")
@@ -115,6 +130,17 @@ def l4_log_tail(load):
     return op.log_tail(readers.parse_logs(log_lines(load)))
 
 
+@query(f"WITH {LOGS}, p AS ({PARSED}), tail AS (SELECT * FROM p ORDER BY arrival DESC LIMIT 700) SELECT ts, level, place, request, message, CAST(row_number() OVER (ORDER BY arrival) AS INT) AS place_in_tail FROM tail")
+def l4_log_tail_of_file(load):
+    """The lines written to a file and read back: the tail comes in the file's order."""
+    lines = log_lines(load)
+    path = f"{shared_folder(lines.sparkSession)}/log-{uuid.uuid4().hex}"
+    lines.orderBy("arrival").coalesce(1).select("value").write.text(path)
+    tail = op.log_tail(readers.read_logs(lines.sparkSession, path), 700)
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("arrival"))  # at most 5,000 rows
+    return tail.withColumn("place_in_tail", place).drop("arrival")
+
+
 @query(f"WITH {LOGS}, p AS ({PARSED}), tail AS (SELECT * FROM p ORDER BY arrival DESC LIMIT 400) SELECT * FROM tail WHERE level = 'ERROR'")
 def p10_filter_level(load):
     return op.log_tail(readers.parse_logs(log_lines(load)), level="error")
@@ -223,7 +249,10 @@ def st8_quota_violations(load):
     return op.quota_violations(events, limits).withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query()
+@query(f"""t AS (SELECT count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'job') AS jobs FROM {RANGE} r),
+    e AS (SELECT strftime(ts, '%H:%M:%S') AS at, path, {CODE} AS code, nullif(substr(message, 1, 200), '') AS message, ts, event_id FROM {RANGE} r WHERE kind = 'request' AND {CODE} >= 400 ORDER BY ts DESC, event_id LIMIT 5)
+    SELECT CAST(to_json({{'requests': requests, 'jobs': jobs, 'by_status': (SELECT list({{'key': status_class, 'n': n}} ORDER BY status_class) FROM ({STATUS}) s), 'by_outcome': (SELECT list({{'key': outcome, 'n': n}} ORDER BY outcome) FROM ({OUTCOME}) o),
+    'series': (SELECT list({{'ts': strftime(minute, '%H:%M'), 'count': n}} ORDER BY minute) FROM ({MINUTES}) m), 'errors': (SELECT list({{'at': e."at", 'path': path, 'code': code, 'message': message}} ORDER BY ts DESC, event_id) FROM e)}}) AS VARCHAR) AS snapshot FROM t""", "request_events")
 def s10_snapshot_json(load):
     return op.snapshot(load("request_events"), "24h", NOW)
 
@@ -262,6 +291,15 @@ def l3_latest_feedback(load):
     return op.latest_feedback(load("feedback"))
 
 
+@query(f"{PUBLIC} SELECT page, type, message, request_id FROM q ORDER BY arrival DESC LIMIT 100", "feedback")
+def l3_latest_feedback_of_file(load):
+    """The records appended to a file and read back: the last ones are the newest."""
+    rows = load("feedback")
+    path = f"{shared_folder(rows.sparkSession)}/feedback-{uuid.uuid4().hex}"
+    readers.write_feedback(rows.orderBy("arrival").coalesce(1).select("page", "type", "message", "request_id"), path)
+    return op.latest_feedback(readers.read_feedback(rows.sparkSession, path), 1000).select("page", "type", "message", "request_id")
+
+
 @query("SELECT arrival, page, type, message, request_id FROM feedback WHERE arrival % 7 > 2", "feedback")
 def s1_read_feedback(load):
     k = F.col("arrival") % 7

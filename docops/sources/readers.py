@@ -16,8 +16,15 @@ def parse_feedback(lines: DataFrame) -> DataFrame:
     return good.select(*[c for c in lines.columns if c != "value"], "r.*").drop("broken")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their ``arrival``, which orders them as they stand: by file, part of the file and line."""
+    file = F.col("_metadata")
+    place = F.struct(file["file_modification_time"].alias("changed"), file["file_path"].alias("file"), file["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select(place.alias("arrival"), "value")
+
+
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    return parse_feedback(spark.read.text(path))
+    return parse_feedback(read_lines(spark, path))
 
 
 def write_feedback(rows: DataFrame, path: str) -> None:
@@ -34,7 +41,7 @@ def parse_logs(lines: DataFrame) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    return parse_logs(spark.read.text(path))
+    return parse_logs(read_lines(spark, path))
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

@@ -26,14 +26,26 @@ def with_retention(stream: DataFrame, keep: str = "24 hours") -> DataFrame:
 
 def minute_counts(stream: DataFrame, keep: str = "24 hours") -> DataFrame:
     """(minute, n): requests by minute."""
-    return with_retention(stream, keep).where("kind = 'request'").groupBy(F.window("ts", "1 minute")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("minute"), "n")
+    return with_retention(stream.where("kind = 'request'"), keep).groupBy(F.window("ts", "1 minute")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("minute"), "n")
 
 
 def range_counts(stream: DataFrame, token: str, slide: str = "1 minute", keep: str = "24 hours") -> DataFrame:
     """(until, status_class, tool, n): requests of the whole minutes up to ``until`` in a trailing range that moves by ``slide``."""
     minutes = t.range_minutes(token)
     w = F.window("ts", f"{minutes} minutes", slide)
-    return with_retention(stream, keep).where("kind = 'request'").groupBy(w, t.status_class(F.col("status")).alias("status_class"), t.tool_of(F.col("path")).alias("tool")).agg(F.count("*").alias("n")).select(F.col("window.end").alias("until"), "status_class", "tool", "n")
+    return with_retention(stream.where("kind = 'request'"), keep).groupBy(w, t.status_class(F.col("status")).alias("status_class"), t.tool_of(F.col("path")).alias("tool")).agg(F.count("*").alias("n")).select(F.col("window.end").alias("until"), "status_class", "tool", "n")
+
+
+def run_counts(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Process what is there in update mode, so that windows behind the watermark leave the state, and read the counts.
+
+    Each batch writes the counts that it changed to a folder of its own, which it replaces if it runs again; a key's
+    count is that of the last batch that has it.
+    """
+    run(stream, folder, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/result/batch={number}"), "update")
+    spark = stream.sparkSession
+    rows = spark.read.schema(f"{stream.schema.toDDL()}, batch long").parquet(f"{folder}/result")
+    return rows.groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
 
 
 def run(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "complete") -> str:
@@ -45,6 +57,14 @@ def run(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] |
     return target
 
 
+def latest(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table of the last batch that wrote ``folder``/``name``-<batch>."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    numbers = [int(x.getPath().getName().rpartition("-")[2]) for x in listed if x.getPath().getName().startswith(f"{name}-")]
+    return spark.read.parquet(f"{folder}/{name}-{max(numbers)}")
+
+
 def error_buffer(folder: str, n: int = 100) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step that keeps the newest n errors of all batches: n rows of state, whatever the batches hold."""
 

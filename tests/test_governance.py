@@ -13,6 +13,8 @@ def test_names_and_extensions(spark):
     assert values(spark, g.safe_name(F.col("s")), [("a/b c.pdf",), ("",), (None,), ("..",), ("x" * 200,)], "s string") == ["b_c.pdf", "file", "file", "file", "x" * 128]
     rows = [("a.pdf", ""), ("a.docx.exe", ""), ("a.exe", "application/pdf"), ("a", "image/png"), ("a.bin", ""), ("x.PDF", "")]
     assert values(spark, g.resolve_ext(F.col("n"), F.col("m")), rows, "n string, m string") == ["pdf", "docx", "pdf", "png", None, "pdf"]
+    rows = [("upload", m) for m in ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.oasis.opendocument.text", "application/xhtml+xml", "image/x-ms-bmp")]
+    assert values(spark, g.resolve_ext(F.col("n"), F.col("m")), rows, "n string, m string") == ["docx", "odt", "html", "bmp"]
     rows = [("a.docx", "application/zip"), ("a.zip", "application/zip"), ("a.pdf", "application/x-dosexec"), ("a.exe", "application/octet-stream")]
     assert values(spark, g.admit(F.col("n"), F.col("m")), rows, "n string, m string") == [None, "zip_not_office", "type_not_allowed", "extension_not_supported"]
 

@@ -19,6 +19,8 @@ def test_numbers(spark):
 def test_money(spark):
     got = values(spark, t.format_brl(F.col("s")), ["R$ 135,00", "135,00", "135.00", "1.350,00", "1350.00", "abc", ""])
     assert got == ["R$ 135,00", "R$ 135,00", "R$ 135,00", "R$ 1.350,00", "R$ 1.350,00", "abc", ""]
+    got = values(spark, t.format_brl(F.col("s")), ["-1.234,56", "0.999", "-0,05", "R$ -7", "12d", "NaN", "1e3"])
+    assert got == ["R$ -1.234,-56", "R$ 0,100", "R$ 0,-5", "R$ -7,00", "12d", "NaN", "R$ 1.000,00"]
     got = values(spark, t.extract_money(F.col("s")), ["x R$ 1,00 2,00", "x 1,50 e 2.75", "none"])
     assert got == [["R$ 1,00"], ["R$ 1,50", "R$ 2,75"], []]
 
@@ -73,6 +75,34 @@ def test_matching(spark):
     assert got == {"codigo": 0, "procedimento": 2, "valor": 3}
 
 
+def test_matching_folds_both_names(spark):
+    """Against a plain loop: accents on both sides, the ratio of column to target, and names that hold each other."""
+    from difflib import SequenceMatcher
+
+    fold = str.maketrans("çáàãâéêíóôõú", "caaaaeeiooou")
+    norm = lambda s: re.sub(r"\s+", " ", s.strip().lower()).translate(fold).replace("%", " pct ").replace("º", "")
+    names = {1: ["Observacao", "Funcao", "Co-part 20%", "Código"], 2: ["x", "Valor Unimed (R$)", "", "Descrição do item", "valor"], 3: ["zz", "qq"]}
+    targets = ["Observação", "Função", "Co-part 20 %", "valor unimed", "descricao", "cod"]
+    labels = spark.createDataFrame([(k, i, x) for k, xs in names.items() for i, x in enumerate(xs)], "table_id long, col_pos int, label string")
+    want = set()
+    for k, xs in names.items():
+        free = list(enumerate(xs))
+        for target in targets:
+            best = None
+            for i, x in free:
+                a, b = norm(x), norm(target)
+                score = SequenceMatcher(None, a, b).ratio() + (0.15 if a in b or b in a else 0)
+                if best is None or score > best[0]:
+                    best = (score, i, x)
+            if best and best[0] >= 0.55:
+                free.remove(best[1:])
+                want.add((k, target, best[1], round(best[0], 9)))
+    got = op.match_columns(labels, targets)
+    assert {(r.table_id, r.target, r.col_pos, round(r.score, 9)) for r in got.collect()} == want and (1, "Observação", 0, 1.15) in want
+    counts = {k: sum(x[0] == k for x in want) for k in names}  # a table without a match has a row too
+    assert {(r.table_id, r.matched, r.accepted) for r in op.accept_schema(labels, got, len(targets)).collect()} == {(k, n, n >= 4) for k, n in counts.items()} and counts[3] == 0
+
+
 def test_files(spark, tmp_path):
     op.write_tables_csv(table(spark, [["=a", "b;c"], ["1", None]]), str(tmp_path / "csv"), 2)
     text = "".join(f.read_text() for f in sorted((tmp_path / "csv").glob("part-*")))
