@@ -43,18 +43,17 @@ FIXTURES = {
         SELECT doc_id, pos, style, cents, CASE style WHEN 1 THEN concat('R$ ', dotted, ',', f) WHEN 2 THEN concat(dotted, ',', f) WHEN 3 THEN concat(CAST(w AS STRING), '.', f)
             WHEN 4 THEN concat(f, '%') WHEN 5 THEN 'abc' WHEN 6 THEN '' ELSE concat('-', dotted, ',', f) END AS raw FROM g""",
     "fee_lines": f"""WITH c AS (SELECT l_orderkey AS doc_id, l_partkey AS pk, l_suppkey AS sk, l_linenumber AS ln, {_PAGE} AS pos FROM {{lineitem}}),
-        m AS (SELECT c.*, concat('R$ ', CAST(pk % 900 AS STRING), ',', lpad(CAST(sk % 100 AS STRING), 2, '0')) AS a, concat(CAST(sk % 900 AS STRING), ',', lpad(CAST(pk % 100 AS STRING), 2, '0')) AS b FROM c)
-        SELECT doc_id, CAST(0 AS INT) AS line_pos, 'OUTROS EXEMPLOS' AS line FROM c WHERE pos = 1 AND doc_id % 3 = 0
-        UNION ALL SELECT doc_id, CAST(1 AS INT), 'Código Procedimento Valor Unimed Co-part 20% 30%' FROM c WHERE pos = 1
-        UNION ALL SELECT doc_id, CAST(10 * pos AS INT), concat(CAST(ln AS STRING), '.', lpad(CAST(sk % 100 AS STRING), 2, '0'), '.', lpad(CAST(pk % 100000 AS STRING), 5, '0'), ' Proc ', CAST(pk AS STRING),
-            CASE pk % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' ', a) WHEN 2 THEN concat(' ', b, ' ', b) ELSE concat(' ', a, ' ', a, ' ', a, ' ', a, ' ', a, ' ', a) END) FROM m
-        UNION ALL SELECT doc_id, CAST(10 * pos + 1 AS INT), CASE WHEN pk % 4 = 0 THEN concat(a, ' ', a) ELSE 'com contraste' END FROM m WHERE pk % 4 < 2
-        UNION ALL SELECT doc_id, CAST(10 * pos + 2 AS INT), 'Código Procedimento Valor Unimed' FROM m WHERE pk % 8 = 0
-        UNION ALL SELECT doc_id, CAST(10 * pos + 3 AS INT), concat(b, ' ', b) FROM m WHERE pk % 8 = 0
-        UNION ALL SELECT doc_id, CAST(1000000 AS INT), '* Obs: valores podem variar' FROM c WHERE pos = 1
-        UNION ALL SELECT doc_id, CAST(1000001 AS INT), concat('TOTAL DE COPARTICIPAÇÃO ', a, ' ', a) FROM m WHERE pos = 1
-        UNION ALL SELECT doc_id, CAST(1000002 AS INT), CASE doc_id % 9 WHEN 0 THEN 'Com exceção dos valores' WHEN 1 THEN 'com excecao  dos valores' WHEN 2 THEN 'Referem-se ao custo' WHEN 3 THEN 'pode haver variação' WHEN 4 THEN 'ANEXO IV'
-            WHEN 5 THEN 'EXEMPLOS DE EXAMES' WHEN 6 THEN 'EXEMPLOS DE COPARTICIPAÇÃO' WHEN 7 THEN 'exemplos  de COPARTICIPACAO' ELSE 'Flex Pleno Cop. 40%' END FROM c WHERE pos = 1""",
+        m AS (SELECT c.*, concat('R$ ', CAST(pk % 900 AS STRING), ',', lpad(CAST(sk % 100 AS STRING), 2, '0')) AS a, concat(CAST(sk % 900 AS STRING), ',', lpad(CAST(pk % 100 AS STRING), 2, '0')) AS b FROM c),
+        k AS (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8)
+        SELECT doc_id, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 10 * pos WHEN 3 THEN 10 * pos + 1 WHEN 4 THEN 10 * pos + 2 WHEN 5 THEN 10 * pos + 3 WHEN 6 THEN 1000000 WHEN 7 THEN 1000001 ELSE 1000002 END AS INT) AS line_pos,
+            CASE k WHEN 0 THEN 'OUTROS EXEMPLOS' WHEN 1 THEN 'Código Procedimento Valor Unimed Co-part 20% 30%'
+            WHEN 2 THEN concat(CAST(ln AS STRING), '.', lpad(CAST(sk % 100 AS STRING), 2, '0'), '.', lpad(CAST(pk % 100000 AS STRING), 5, '0'), ' Proc ', CAST(pk AS STRING),
+                CASE pk % 4 WHEN 0 THEN '' WHEN 1 THEN concat(' ', a) WHEN 2 THEN concat(' ', b, ' ', b) ELSE concat(' ', a, ' ', a, ' ', a, ' ', a, ' ', a, ' ', a) END)
+            WHEN 3 THEN CASE WHEN pk % 4 = 0 THEN concat(a, ' ', a) ELSE 'com contraste' END WHEN 4 THEN 'Código Procedimento Valor Unimed' WHEN 5 THEN concat(b, ' ', b) WHEN 6 THEN '* Obs: valores podem variar'
+            WHEN 7 THEN concat('TOTAL DE COPARTICIPAÇÃO ', a, ' ', a)
+            ELSE CASE doc_id % 9 WHEN 0 THEN 'Com exceção dos valores' WHEN 1 THEN 'com excecao  dos valores' WHEN 2 THEN 'Referem-se ao custo' WHEN 3 THEN 'pode haver variação' WHEN 4 THEN 'ANEXO IV'
+                WHEN 5 THEN 'EXEMPLOS DE EXAMES' WHEN 6 THEN 'EXEMPLOS DE COPARTICIPAÇÃO' WHEN 7 THEN 'exemplos  de COPARTICIPACAO' ELSE 'Flex Pleno Cop. 40%' END END AS line
+        FROM m CROSS JOIN k WHERE k = 2 OR (k = 3 AND pk % 4 < 2) OR (k IN (4, 5) AND pk % 8 = 0) OR (pos = 1 AND (k IN (1, 6, 7, 8) OR (k = 0 AND doc_id % 3 = 0)))""",
     # a title row, a header row with a repeated label, data rows with an always-empty column; every third table repeats its header
     "cells": f"""WITH p AS (SELECT l_orderkey AS table_id, {_PAGE} AS n, l_quantity AS q, l_extendedprice AS e, l_discount AS d, l_returnflag AS f FROM {{lineitem}}),
         h AS (SELECT table_id, CAST(n AS INT) + 1 AS row_pos, q, e, d, f FROM p),
