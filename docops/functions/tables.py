@@ -104,6 +104,52 @@ def header_label(value: Column, position: Column, size: int = 80) -> Column:
     return F.when(F.length(named) > size, F.concat(F.substring(named, 1, size - 1), F.lit("…"))).otherwise(named)
 
 
+#: By style, how a repeated name is numbered, from which number on, and what such a name looks like.
+NUMBERED = {
+    "column": (2, r"^(.*) \((\d+)\)()$"),
+    "field": (2, r"^(.*)__copy_(\d+)()$"),
+    "file": (1, r"^(.*?) \((\d+)\)(\.[^.]*)?$"),
+}
+
+
+def numbered(name: Column, n: Column, style: str) -> Column:
+    """``x (2)`` for columns, ``x__copy_2`` for fields, ``base (1).ext`` for files."""
+    n = n.cast("string")
+    if style == "column":
+        return F.concat(name, F.lit(" ("), n, F.lit(")"))
+    if style == "field":
+        return F.concat(name, F.lit("__copy_"), n)
+    ext = F.regexp_extract(name, r"(?s)(\.[^.]*)$", 1)
+    base = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
+    return F.concat(base, F.lit(" ("), n, F.lit(")"), ext)
+
+
+def numbered_parts(name: Column, style: str) -> tuple[Column, Column]:
+    """The name that a numbered one repeats and its number; null where it is none that ``numbered`` would give."""
+    first, pattern = NUMBERED[style]
+    pattern = f"(?s){pattern}"
+    base, digits = F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2)
+    base = F.concat(base, F.regexp_extract(name, pattern, 3))
+    number = digits.try_cast("long")
+    known = (number >= first) & (numbered(base, number, style) == name)
+    return F.when(known, base), F.when(known, number)
+
+
+def unique_in_order(names: Column, style: str = "column") -> Column:
+    """An array's names, each once: a name keeps its first place, repeats take the next numbers that no name has.
+
+    For short arrays, as the columns of a table; ``operators.tables.unique_names`` does the same for any number.
+    """
+    first = NUMBERED[style][0]
+
+    def own(name: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(names, 1, i), lambda y: y == name))
+        free = F.filter(F.sequence(F.lit(first), F.size(names) + first), lambda k: ~F.array_contains(names, numbered(name, k, style)))
+        return F.when(before == 0, name).otherwise(numbered(name, F.get(free, before - 1), style))
+
+    return F.transform(names, own)
+
+
 def skip_page(text: Column, markers: list[str]) -> Column:
     head = F.substring(F.upper(F.trim(F.coalesce(text, F.lit("")))), 1, 200)
     out = F.lit(False)

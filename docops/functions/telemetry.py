@@ -58,6 +58,12 @@ def range_minutes(token: str | None) -> int:
     return RANGES[key]
 
 
+def minutes_of_range(token: Column) -> Column:
+    """The same of a column of tokens; null where ``range_minutes`` would raise an error."""
+    key = F.coalesce(F.nullif(F.lower(F.trim(token)), F.lit("")), F.lit("15m"))
+    return F.get(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in RANGES.items()]), lambda x: x["k"] == key), 0)["n"]
+
+
 def minute_of(ts: Column) -> Column:
     return F.date_trunc("minute", ts)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import governance as g
-from ..sources.checkpoints import checkpointed
+from ..sources.checkpoints import stored
 
 #: What each profile removes, as (profile, scope, key, pattern of the value).
 DANGER = [
@@ -42,21 +42,28 @@ def sanitize_objects(objects: DataFrame, profile: str) -> DataFrame:
     return objects.where(~out)
 
 
+def ancestor_lists(objects: DataFrame, max_depth: int = 20) -> DataFrame:
+    """(doc_id, object_id, ancestors): each object's ancestors, nearest first; a cycle is cut where it comes back.
+
+    Lists double: one that is as long as it can be takes on the list of its last member, so a chain of 20 is there
+    after five joins.  Objects whose list ended are joined no more, and rounds end when all have.
+    """
+    edges = objects.where("parent_id IS NOT NULL AND parent_id <> object_id").select("doc_id", "object_id", F.array("parent_id").alias("ancestors")).distinct()
+    lists, length = stored(edges, "chains"), 1
+    while length < max_depth and lists.where(F.size("ancestors") == length).limit(1).count():
+        last = F.when(F.size("ancestors") == length, F.element_at("ancestors", -1))
+        more = lists.select("doc_id", F.col("object_id").alias("last"), F.col("ancestors").alias("more"))
+        both = F.array_remove(F.array_distinct(F.concat("ancestors", F.coalesce("more", F.slice("ancestors", 1, 0)))), F.col("object_id"))
+        grown = lists.withColumn("last", last).join(more, ["doc_id", "last"], "left")
+        lists = stored(grown.select("doc_id", "object_id", F.slice(both, 1, max_depth).alias("ancestors")), "chains")
+        length *= 2
+    return lists
+
+
 def field_chain(objects: DataFrame, max_depth: int = 20) -> DataFrame:
     """(doc_id, object_id, ancestor, depth): each object with its ancestors; a cycle is cut where it comes back."""
-    parents = objects.select("doc_id", F.col("object_id").alias("ancestor"), F.col("parent_id").alias("next"))
-    step = objects.where("parent_id IS NOT NULL").select("doc_id", "object_id", F.col("parent_id").alias("ancestor"), F.array("object_id", "parent_id").alias("seen"))
-    step = step.where("ancestor <> object_id")
-    out, depth = step.select("doc_id", "object_id", "ancestor", F.lit(1).alias("depth")), 1
-    while depth < max_depth:
-        depth += 1
-        step = step.join(parents, ["doc_id", "ancestor"]).where(F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))).select("doc_id", "object_id", F.col("next").alias("ancestor"), F.concat("seen", F.array("next")).alias("seen"))
-        if depth % 4 == 0:  # cut the plan, and stop when no chain is so long
-            step = checkpointed(step)
-            if not step.limit(1).count():
-                break
-        out = out.unionByName(step.select("doc_id", "object_id", "ancestor", F.lit(depth).alias("depth")))
-    return out
+    lists = ancestor_lists(objects, max_depth)
+    return lists.select("doc_id", "object_id", F.posexplode("ancestors").alias("place", "ancestor")).select("doc_id", "object_id", "ancestor", (F.col("place") + 1).alias("depth"))
 
 
 def preservation_flags(objects: DataFrame) -> DataFrame:

@@ -35,16 +35,30 @@ def detect_header(cells: DataFrame, min_fill: float = 0.7) -> DataFrame:
 
 
 def unique_names(df: DataFrame, keys: list[str], order: list[Column], name: str = "name", style: str = "column") -> DataFrame:
-    """Repeated names get a number: ``x (2)`` for columns, ``x__copy_2`` for fields, ``base (1).ext`` for files.
+    """Adds unique_name, of which no two are equal within the keys: ``x (2)``, ``x__copy_2`` or ``base (1).ext`` by style.
 
-    A numbered name that is already taken literally gets the next free one in a second pass.
+    A name as it stands keeps its first place.  Its repeats are numbered in order, from 2 (files from 1) on, and pass
+    over the numbers that a name of the same keys already has: ``x, x, x (2)`` gives ``x, x (3), x (2)``.  Numbered
+    names of two bases never meet, as a name's base and number can be read off it.  A null name stays null.
+
+    Every name is a member of its own group, and one that looks like a numbered ``x`` counts in the group of ``x`` too.
+    There the r-th repeat and the taken numbers are put in one order, and what a repeat passes over is a running count.
     """
+    first = t.NUMBERED[style][0]
     n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
-    base, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    made = {"column": F.concat(F.col(name), F.lit(" ("), n, F.lit(")")), "field": F.concat(F.col(name), F.lit("__copy_"), n), "file": F.concat(base, F.lit(" ("), n - 1, F.lit(")"), ext)}[style]
-    out = df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(made))
-    again = F.row_number().over(Window.partitionBy(*keys, "unique_name").orderBy(F.when(F.col("unique_name") == F.col(name), 0).otherwise(1), *order))
-    return out.withColumn("_again", again).withColumn("unique_name", F.when(F.col("_again") == 1, F.col("unique_name")).otherwise(F.concat("unique_name", F.lit(" ("), F.col("_again"), F.lit(")")))).drop("_again")
+    base, number = t.numbered_parts(F.col(name), style)
+    rows = df.withColumn("_n", n)
+    own = F.struct(F.lit(True).alias("own"), F.col(name).alias("group"), F.lit(None).cast("long").alias("taken"))
+    other = F.when((F.col("_n") == 1) & base.isNotNull(), F.struct(F.lit(False).alias("own"), base.alias("group"), number.alias("taken")))
+    roles = rows.withColumn("_role", F.explode(F.array_compact(F.array(own, other))))
+    group = Window.partitionBy(*keys, "_role.group")
+    rank = F.row_number().over(group.orderBy("_role.own", "_role.taken"))  # taken numbers come first, by size
+    # a taken number stands after as many repeats as there are free numbers below it
+    place = F.when(F.col("_role.own"), 2 * (F.col("_n") - 1)).otherwise(2 * (F.col("_role.taken") - first - rank + 1) + 1)
+    passed = F.count_if(~F.col("_role.own")).over(group.orderBy("_place").rowsBetween(Window.unboundedPreceding, 0))
+    placed = roles.withColumn("_place", place).withColumn("_passed", passed).where("_role.own")
+    made = t.numbered(F.col(name), first + F.col("_n") - 2 + F.col("_passed"), style)
+    return placed.withColumn("unique_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(made)).drop("_n", "_role", "_place", "_passed")
 
 
 def with_labels(cells: DataFrame, min_fill: float = 0.7) -> DataFrame:
@@ -57,9 +71,10 @@ def with_labels(cells: DataFrame, min_fill: float = 0.7) -> DataFrame:
     header = F.col("row_pos") == F.col("header_row")
     place = F.row_number().over(Window.partitionBy("table_id", "row_pos").orderBy("col_pos")) - 1
     named = placed.withColumn("_place", place).withColumn("_name", F.when(header, t.header_label(F.col("value"), F.col("_place"))))
-    named = unique_names(named, ["table_id", "row_pos"], [F.col("col_pos")], name="_name")
-    label = F.max(F.when(header, F.col("unique_name"))).over(Window.partitionBy("table_id", "col_pos"))
-    return named.withColumn("label", label).drop("_place", "_name", "unique_name")
+    whole = Window.partitionBy("table_id", "row_pos").orderBy("col_pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = named.withColumn("_names", F.collect_list("_name").over(whole))  # empty but in the header row
+    label = F.max(F.when(header, F.get(t.unique_in_order(F.col("_names")), F.col("_place")))).over(Window.partitionBy("table_id", "col_pos"))
+    return named.withColumn("label", label).drop("_place", "_name", "_names")
 
 
 def headers(cells: DataFrame) -> DataFrame:
@@ -183,9 +198,17 @@ def name_tables(tables: DataFrame, single: bool = False) -> DataFrame:
     return tables.withColumn("sheet", F.lit("Tabela 1") if single else F.when(F.col("is_fee"), fee).otherwise(plain))
 
 
-def write_tables_csv(cells: DataFrame, path: str, columns: int) -> None:
-    """All rows as text without a header, fields parted by ``;``, every value safe for spreadsheets."""
-    wide = cells.groupBy("table_id", "row_pos").pivot("col_pos", list(range(columns))).agg(F.first(t.excel_safe(F.col("value"))))
+def write_tables_csv(cells: DataFrame, path: str, columns: int | None = None) -> None:
+    """All rows as text without a header, fields parted by ``;``, every value safe for spreadsheets.
+
+    Lines have as many fields as the widest table has columns; with ``columns`` as many as that, and a table that has
+    more is an error, as its values would be lost.
+    """
+    last = cells.agg(F.max("col_pos")).first()[0]
+    widest = 0 if last is None else last + 1
+    if columns is not None and columns < widest:
+        raise ValueError(f"a table has {widest} columns, more than {columns}")
+    wide = cells.groupBy("table_id", "row_pos").pivot("col_pos", list(range(columns or max(widest, 1)))).agg(F.first(t.excel_safe(F.col("value"))))
     wide.orderBy("table_id", "row_pos").drop("table_id", "row_pos").write.mode("overwrite").csv(path, sep=";", header=False)
 
 
@@ -204,17 +227,45 @@ def write_tables(cells: DataFrame, path: str, tables: DataFrame, single: bool =
 # positions
 
 
-def lines_in_rects(vectors: DataFrame, rects: DataFrame, tol: float = 2.0) -> DataFrame:
-    """Vectors inside rectangles of the same document (rect_id, rx0, ry0, rx1, ry1), with a tolerance."""
-    inside = (F.col("x0") >= F.col("rx0") - tol) & (F.col("x1") <= F.col("rx1") + tol) & (F.col("y0") >= F.col("ry0") - tol) & (F.col("y1") <= F.col("ry1") + tol)
-    return vectors.join(rects, "doc_id").where(inside)
+def lines_in_rects(vectors: DataFrame, rects: DataFrame, tol: float = 2.0, cell: float = 16.0) -> DataFrame:
+    """Vectors inside rectangles of the same document (rect_id, rx0, ry0, rx1, ry1), with a tolerance.
+
+    Either end of a vector may come first.  See ``rect_candidates`` for how pairs are found; the test itself is exact.
+    """
+    low, high = (lambda a: F.least(f"{a}0", f"{a}1")), (lambda a: F.greatest(f"{a}0", f"{a}1"))
+    inside = (low("x") >= F.col("rx0") - tol) & (high("x") <= F.col("rx1") + tol) & (low("y") >= F.col("ry0") - tol) & (high("y") <= F.col("ry1") + tol)
+    return rect_candidates(vectors, rects, tol, cell).where(inside)
+
+
+def rect_candidates(vectors: DataFrame, rects: DataFrame, tol: float = 2.0, cell: float = 16.0) -> DataFrame:
+    """Pairs of a vector and a rectangle that can hold it, each pair once, by grids of cells.
+
+    A rectangle lies in the grid whose cells are the least doublings of ``cell`` as wide and as high as it is, where it
+    meets four cells at most; a vector stands in the one cell of its lower corner, in every grid that its document's
+    rectangles use and whose cells are large enough to hold it.  So a rectangle meets vectors near its own size only,
+    whatever else the document holds.  Rectangles and vectors without all four coordinates meet nothing.
+    """
+    level = lambda a, b: F.greatest(F.lit(0.0), F.ceil(F.log2((F.col(b) - F.col(a) + 2 * tol) / cell))).cast("int")
+    size = lambda c: F.lit(cell) * F.pow(F.lit(2.0), c)
+    at = lambda x, c: F.floor(x / size(c)).cast("long")
+    whole = (F.col("rx1") - F.col("rx0") + 2 * tol >= 0) & (F.col("ry1") - F.col("ry0") + 2 * tol >= 0)
+    placed = rects.where(whole).withColumn("_lx", level("rx0", "rx1")).withColumn("_ly", level("ry0", "ry1"))
+    span = lambda low, high, c: F.sequence(at(F.col(low) - tol, c), at(F.col(high) + tol, c))
+    cells = placed.withColumn("_gx", F.explode(span("rx0", "rx1", F.col("_lx")))).withColumn("_gy", F.explode(span("ry0", "ry1", F.col("_ly"))))
+    grids = placed.groupBy("doc_id").agg(F.collect_set(F.struct("_lx", "_ly")).alias("_grids"))
+    room = 1.001  # a level comes from a logarithm: what fits by a hair is let in
+    fits = lambda g: (F.abs(F.col("x1") - F.col("x0")) <= room * size(g["_lx"])) & (F.abs(F.col("y1") - F.col("y0")) <= room * size(g["_ly"]))
+    corners = vectors.join(grids, "doc_id").withColumn("_g", F.explode(F.filter("_grids", fits))).select(*vectors.columns, "_g.*")
+    corners = corners.withColumn("_gx", at(F.least("x0", "x1"), F.col("_lx"))).withColumn("_gy", at(F.least("y0", "y1"), F.col("_ly")))
+    return corners.join(cells, ["doc_id", "_lx", "_ly", "_gx", "_gy"]).drop("_lx", "_ly", "_gx", "_gy")
 
 
 def dense_rects(rects: DataFrame, vectors: DataFrame, width: float, height: float, k: int = 2) -> DataFrame:
     """The k rectangles of each document of 5 % of the page at least with the most lines for their share of it."""
-    counts = lines_in_rects(vectors, rects).groupBy("doc_id", "rect_id").agg(F.count("*").alias("lines"))
     share = (F.col("rx1") - F.col("rx0")) * (F.col("ry1") - F.col("ry0")) / F.lit(width * height)
-    scored = rects.join(counts, ["doc_id", "rect_id"], "left").withColumn("share", share).where("share >= 0.05").withColumn("score", F.coalesce("lines", F.lit(0)) / F.greatest(F.lit(1.0), F.col("share")))
+    large = rects.withColumn("share", share).where("share >= 0.05")
+    counts = lines_in_rects(vectors, large).groupBy("doc_id", "rect_id").agg(F.count("*").alias("lines"))
+    scored = large.join(counts, ["doc_id", "rect_id"], "left").withColumn("score", F.coalesce("lines", F.lit(0)) / F.greatest(F.lit(1.0), F.col("share")))
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "rect_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

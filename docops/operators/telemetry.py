@@ -5,6 +5,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,15 +146,62 @@ def quota_violations(events: DataFrame, limits: DataFrame, default: int = 10) ->
     return counts.join(limits, "endpoint", "left").where(F.col("n") > quota).select("client", "endpoint", "minute", "n", quota.alias("quota"))
 
 
-def snapshot(events: DataFrame, token: str | None, now: str) -> DataFrame:
-    """One row of JSON with totals, status counts, outcomes, minutes and recent errors."""
-    rows = in_range(events, token, now)
-    pair = lambda df, k: df.agg(F.sort_array(F.collect_list(F.struct(F.col(k).alias("key"), "n")))).scalar()
-    minutes = requests_per_minute(rows, token, now).select("minute", t.hhmm(F.col("minute")).alias("ts"), "n")
-    series = minutes.agg(F.sort_array(F.collect_list(F.struct("minute", "ts", "n"))).alias("m")).select(F.transform("m", lambda x: F.struct(x["ts"].alias("ts"), x["n"].alias("count")))).scalar()
-    errors = recent_errors(rows, token, now).agg(F.collect_list(F.struct("at", "path", "code", "message"))).scalar()
-    parts = F.struct("requests", "jobs", pair(by_status(rows, token, now), "status_class").alias("by_status"), pair(by_tool_outcome(rows, token, now), "outcome").alias("by_outcome"), series.alias("series"), errors.alias("errors"))
-    return totals(rows, token, now).select(F.to_json(parts).alias("snapshot"))
+TALLY = "what string, key string, n long, error struct<us: long, event_id: long, at: string, path: string, code: int, message: string>"
+_TALLY = pa.schema([("what", pa.string()), ("key", pa.string()), ("n", pa.int64()), ("error", pa.struct([("us", pa.int64()), ("event_id", pa.int64()), ("at", pa.string()), ("path", pa.string()), ("code", pa.int32()), ("message", pa.string())]))])
+
+
+def _newest(errors: pa.Table, n: int) -> pa.Table:
+    return errors.take(pc.sort_indices(errors, [("us", "descending"), ("event_id", "ascending")])[:n])
+
+
+def tally(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(what, key, n, error): in one pass, how often each value of the key columns occurs, and the newest n ``error`` structs.
+
+    What leaves a task is its distinct values with their counts and n errors, whatever it read: no built-in aggregate
+    keeps the n first rows by an order.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        newest = pa.Table.from_batches([], pa.schema(list(_TALLY.field("error").type)))
+        for b in batches:
+            for what in keys:
+                for x in pc.value_counts(b[what].drop_null()):
+                    counts[what, x["values"].as_py()] += x["counts"].as_py()
+            found = b["error"].drop_null()
+            if len(found):
+                newest = _newest(pa.concat_tables([newest, pa.Table.from_arrays(found.flatten(), schema=newest.schema)]), n)
+        rows = [(what, key, m, None) for (what, key), m in counts.items()] + [("error", None, 0, e) for e in newest.to_pylist()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TALLY)], schema=_TALLY)
+
+    return rows.select(*[F.col(k).cast("string").alias(k) for k in keys], "error").mapInArrow(count, TALLY)
+
+
+def snapshot(events: DataFrame, token: str | None, now: str, recent: int = 5) -> DataFrame:
+    """One row of JSON with totals, status counts, outcomes, minutes and recent errors, from one pass over the events.
+
+    Tasks count what they read and keep their newest errors; these few rows are added up by key, and the sums put in
+    one row: as many as the range has minutes, and some dozens.
+    """
+    start, end = _bounds(token, now)
+    ts, code, request = F.col("ts").cast("timestamp"), t.status_code(F.col("status")), F.col("kind") == "request"
+    tool = F.when(request, t.tool_of(F.col("path"))).otherwise(F.nullif(F.lower(F.trim("tool")), F.lit("")))
+    ok = F.when(request, code < 400).otherwise(F.coalesce(F.col("ok"), F.lit(False)))
+    error = F.struct(F.unix_micros(ts).alias("us"), F.col("event_id").cast("long").alias("event_id"), t.hhmmss(ts).alias("at"), "path", code.cast("int").alias("code"), t.short_message(F.col("message")).alias("message"))
+    minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    rows = in_range(events, token, now).select("kind", F.when(request, t.status_class(F.col("status"))).alias("status"), t.outcome_key(tool, ok).alias("outcome"), F.when(request, minute(ts)).alias("minute"), F.when(request & (code >= 400), error).alias("error"))
+    spine = events.sparkSession.range(1).select(F.explode(F.sequence(start, F.date_trunc("minute", end), F.expr("INTERVAL 1 MINUTE"))).alias("m"))
+    zeros = spine.select(F.lit("minute").alias("what"), minute(F.col("m")).alias("key"), F.lit(0).cast("long").alias("n"), F.lit(None).cast(TALLY.split("error ")[1]).alias("error"))
+    sums = tally(rows, ["kind", "status", "outcome", "minute"], recent).unionByName(zeros).groupBy("what", "key").agg(F.sum("n").alias("n"), F.collect_list("error").alias("errors"))
+
+    listed = lambda what: F.sort_array(F.collect_list(F.when(F.col("what") == what, F.struct("key", "n"))))
+    total = lambda kind: F.coalesce(F.sum(F.when((F.col("what") == "kind") & (F.col("key") == kind), F.col("n"))), F.lit(0)).cast("long")
+    newest = F.sort_array(F.transform(F.flatten(F.collect_list("errors")), lambda e: F.struct((-e["us"]).alias("us"), e["event_id"].alias("event_id"), e.alias("e"))))
+    one = sums.agg(total("request").alias("requests"), total("job").alias("jobs"), listed("status").alias("by_status"), listed("outcome").alias("by_outcome"), listed("minute").alias("minutes"), F.slice(newest, 1, recent).alias("newest"))
+    series = F.transform("minutes", lambda x: F.struct(F.substring(x["key"], 12, 5).alias("ts"), x["n"].alias("count")))
+    errors = F.transform("newest", lambda x: F.struct(*[x["e"][c].alias(c) for c in ("at", "path", "code", "message")]))
+    return one.select(F.to_json(F.struct("requests", "jobs", "by_status", "by_outcome", series.alias("series"), errors.alias("errors"))).alias("snapshot"))
 
 
 # feedback and logs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -163,8 +164,9 @@ def a19_has_signature(load):
 
 @query("SELECT doc_id, doc_id % 3 = 0 AS signed FROM documents")
 def a19b_signature_markers(load):
-    body = F.encode(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" /ByteRange [0 1]"))).otherwise(F.col("text")), "utf-8")
-    return op.signature_markers(load("documents").where(F.length("text") >= 0).select("doc_id", body.alias("content")))
+    text = F.coalesce("text", F.lit(""))
+    body = F.encode(F.when(F.col("doc_id") % 3 == 0, F.concat(text, F.lit(" /ByteRange [0 1]"))).otherwise(text), "utf-8")
+    return op.signature_markers(load("documents").select("doc_id", body.alias("content")))
 
 
 @query("""x AS (SELECT job_id, file_id AS pos, file_id % 4 = 0 AS signed, file_id % 3 = 0 AS preserved, file_id % 2 = 0 AS resize, job_id % 2 = 0 AS flatten FROM job_files),
@@ -218,10 +220,10 @@ def s5_read_inventory(load):
     folder = f"{shared_folder(orders.sparkSession)}/inventory-{uuid.uuid4().hex}"
     named = orders.select(F.col("o_orderkey").cast("string").alias("value"), F.concat(F.lit("client-"), F.col("o_custkey") % 16).alias("name"))
     named.repartition("name").write.partitionBy("name").text(f"{folder}/parts")
-    for part in sorted(r.name for r in named.select("name").distinct().collect()):  # a name a file, not a row
-        files = readers.read_inventory(orders.sparkSession, f"{folder}/parts/name={part}")
-        inventory = files.withColumn("name", F.lit(part)) if part == "client-0" else inventory.unionByName(files.withColumn("name", F.lit(part)))
-    return inventory.groupBy("name").agg(F.sum("length").alias("length"))
+    parts = sorted(r.name for r in named.select("name").distinct().collect())  # a name a file, not a row
+    listed = [readers.read_inventory(orders.sparkSession, f"{folder}/parts/name={part}").withColumn("name", F.lit(part)) for part in parts]
+    none = orders.sparkSession.createDataFrame([], "path string, length long, modificationTime timestamp, name string")
+    return reduce(lambda a, b: a.unionByName(b), listed, none).groupBy("name").agg(F.sum("length").alias("length"))
 
 
 @query("""o AS (SELECT doc_id, page_number AS pos, CASE page_number % 3 WHEN 0 THEN 'text' ELSE 'redact' END AS type, (page_number - 1) % 4 AS page_index, bytes % 50 AS x, bytes % 40 AS y FROM page_geometry),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..streaming import telemetry as st
+from ..streaming.errors import run_error_buffer
+from ..streaming.ranges import run_ranges
 from .fixtures import query
 from .telemetry import CLASS, TOOL, VALID, stamp
 
@@ -21,6 +23,11 @@ def counts(load, name, make, keys):
     return st.run_counts(make(stream(load, folder)), folder, keys)
 
 
+def trailing(load, name, token, slide):
+    folder = st.work_folder(load("events").sparkSession, name)
+    return run_ranges(stream(load, folder), folder, token, slide, "60 days").select(stamp("until", "until"), "status_class", "tool", "n")
+
+
 @query("SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute, CAST(count(*) AS BIGINT) AS n FROM request_events WHERE kind = 'request' GROUP BY 1", "request_events")
 def st1_minute_counts(load):
     # files come in no order of time: the watermark is wide enough that none is late
@@ -30,7 +37,13 @@ def st1_minute_counts(load):
 @query(f"""w AS (SELECT unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR, date_trunc('hour', ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS until, status, path FROM request_events WHERE kind = 'request')
     SELECT strftime(until, '%Y-%m-%d %H:%M:%S') AS until, {CLASS} AS status_class, {TOOL} AS tool, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY ALL""", "request_events")
 def st2_range_counts(load):
-    return counts(load, "st2", lambda s: st.range_counts(s, "24h", "1 hour", "60 days"), ["until", "status_class", "tool"]).select(stamp("until", "until"), "status_class", "tool", "n")
+    return trailing(load, "st2", "24h", 60)
+
+
+@query(f"""w AS (SELECT unnest(generate_series(date_trunc('minute', ts) + INTERVAL 1 MINUTE, date_trunc('minute', ts) + INTERVAL 60 MINUTE, INTERVAL 1 MINUTE)) AS until, status, path FROM request_events WHERE kind = 'request')
+    SELECT strftime(until, '%Y-%m-%d %H:%M:%S') AS until, {CLASS} AS status_class, {TOOL} AS tool, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY ALL""", "request_events")
+def st2_ranges_by_minute(load):
+    return trailing(load, "st2m", "1h", 1)
 
 
 # The events come in three batches.  The first moves the watermark, which holds for late events from the third on: of that
@@ -52,8 +65,7 @@ def st3_retention(load):
 def st4_error_buffer(load):
     spark = load("events").sparkSession
     folder = st.work_folder(spark, "st4")
-    st.run(stream(load, folder), folder, st.error_buffer(folder), "append")
-    return st.latest(spark, folder, "buffer").select("event_id", "path", F.col("status").cast("int").alias("code"))
+    return run_error_buffer(stream(load, folder), folder).select("event_id", "path", "code")
 
 
 @query(f"{VALID} SELECT arrival, type, page, message, reject_reason FROM w", "feedback")
@@ -68,11 +80,29 @@ def st9_ingest_feedback(load):
     return good.unionByName(spark.read.parquet(f"{folder}/rejected").select(*cols, "reject_reason"))
 
 
+def expired(load, folder, each):
+    """The expired sessions, worked on by ``each`` and read back.
+
+    The earlier half of the uses is there when the stream starts first, the other when it starts again.
+    """
+    used = load("sessions").select("session_id", "file_id", F.col("ts").cast("timestamp").alias("ts"))
+    spark, half = used.sparkSession, used.agg(F.timestamp_seconds(F.avg(F.unix_timestamp("ts")))).scalar()
+    for part in (used.where(F.col("ts") < half), used.where(F.col("ts") >= half)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = each(st.expired_sessions(spark.readStream.schema("session_id long, file_id long, ts timestamp").parquet(f"{folder}/in")))
+        st.run(out, folder, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), "append")
+    return spark.read.schema("session_id long, file_id long, path string").parquet(f"{folder}/out/*")
+
+
 @query("m AS (SELECT max(ts) AS m FROM sessions) SELECT session_id FROM sessions, m WHERE epoch_ms(ts) + 3600000 < epoch_ms(m)", "sessions")
 def st6_stream_expired_sessions(load):
     spark = load("events").sparkSession
     folder = st.work_folder(spark, "st6")
-    load("sessions").select("session_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(f"{folder}/in")
-    out = st.expired_sessions(spark.readStream.schema("session_id long, ts timestamp").parquet(f"{folder}/in"))
-    st.run(out, folder, lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), "append")
-    return spark.read.schema("session_id long").parquet(f"{folder}/out/*").select("session_id")
+    return expired(load, folder, lambda out: out).select("session_id")
+
+
+@query("""m AS (SELECT max(ts) AS m FROM sessions), x AS (SELECT session_id, file_id FROM sessions, m WHERE epoch_ms(ts) + 3600000 < epoch_ms(m))
+    SELECT session_id, x.file_id, path FROM x LEFT JOIN file_inventory USING (file_id)""", "sessions file_inventory")
+def st6_purged_files(load):
+    folder = st.work_folder(load("events").sparkSession, "st6f")
+    return expired(load, folder, lambda out: st.purged_files(out, load("file_inventory"))).select("session_id", "file_id", "path")

@@ -62,13 +62,16 @@ def p36_extract_money(load):
     return load("fee_lines").select("doc_id", "line_pos", F.array_join(t.extract_money(F.col("line")), ";").alias("money"))
 
 
-@query("SELECT doc_id, replace(replace(translate(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), 'çáàãâéêíóôõú', 'caaaaeeiooou'), '%', ' pct '), 'º', '') AS key FROM documents")
+KEY = "SELECT doc_id, replace(replace(translate(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'), 'çáàãâéêíóôõú', 'caaaaeeiooou'), '%', ' pct '), 'º', '') AS key FROM documents"
+
+
+@query(KEY)
 def p37_norm_key(load):
     return load("documents").select("doc_id", t.norm_key(F.col("text")).alias("key"))
 
 
-# all documents, long ones too; its test holds it against plain Python
-@query()
+# all documents, long ones too; a test holds it against plain Python besides
+@query(KEY)
 def p37_norm_key_all(load):
     return load("documents").select("doc_id", t.norm_key(F.col("text")).alias("key"))
 
@@ -138,6 +141,35 @@ def w3_unique_names(load):
     return op.headers(whole(load))
 
 
+def numbered_names(style, names):
+    """Oracle: names of a customer's orders, the r-th repeat numbered by the r-th number that no name of the customer has."""
+    first, made = {"field": (2, "concat(name, '__copy_', CAST({} AS STRING))"), "file": (1, "concat(regexp_extract(name, '^([^.]*)', 1), ' (', CAST({} AS STRING), ')', regexp_extract(name, '([.].*)$', 1))")}[style]
+    case = " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(names))
+    return f"""WITH x AS (SELECT o_custkey, o_orderkey, CASE o_orderkey % {len(names)} {case} END AS name FROM orders),
+        y AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, name ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS c, list(name) OVER (PARTITION BY o_custkey) AS names FROM x),
+        z AS (SELECT *, unnest(range({first}, c + {first} + 1)) AS k FROM y WHERE n > 1),
+        f AS (SELECT *, {made.format("k")} AS made FROM z), g AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS r FROM f WHERE NOT list_contains(names, made))
+        SELECT o_orderkey, name AS unique_name FROM y WHERE n = 1 UNION ALL SELECT o_orderkey, made FROM g WHERE r = n - 1"""
+
+
+def renamed(load, style, names):
+    name = F.get(F.array(*map(F.lit, names)), F.col("o_orderkey") % len(names))
+    return op.unique_names(load("orders").select("o_custkey", "o_orderkey", name.alias("name")), ["o_custkey"], [F.col("o_orderkey")], style=style).select("o_orderkey", "unique_name")
+
+
+FIELDS, FILES = ["campo", "campo__copy_2", "campo", "campo", "campo__copy_2__copy_2"], ["a.pdf", "a (1).pdf", "a.pdf", "a", "a (2).pdf", "a.pdf", "a (1) (1).pdf"]
+
+
+@query(numbered_names("field", FIELDS))
+def w3_unique_fields(load):
+    return renamed(load, "field", FIELDS)
+
+
+@query(numbered_names("file", FILES))
+def w3_unique_files(load):
+    return renamed(load, "file", FILES)
+
+
 @query(f"{BD} SELECT table_id, row_pos, col_pos, value FROM bd", C)
 def a25_drop_repeated_header(load):
     return op.body(whole(load))

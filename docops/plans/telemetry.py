@@ -89,6 +89,13 @@ def p5_norm_ts(load):
     return load("events").select("event_id", stamp(t.norm_ts(raw), "at"))
 
 
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 15 WHEN 1 THEN 60 WHEN 2 THEN 1440 WHEN 3 THEN 15 WHEN 4 THEN 15 END AS minutes, event_id % 7 > 4 AS error FROM events")
+def p6_minutes_of_range(load):
+    k = F.col("event_id") % 7
+    token = F.when(k == 0, "15m").when(k == 1, " 1H ").when(k == 2, "24h").when(k == 3, " ").when(k == 5, "7d").when(k == 6, "15")
+    return load("events").select("event_id", t.minutes_of_range(token).alias("minutes")).withColumn("error", F.col("minutes").isNull())
+
+
 @query(f"SELECT event_id FROM {RANGE} r", "request_events")
 def p7_in_range(load):
     return op.in_range(load("request_events"), "24h", NOW).select("event_id")
@@ -318,6 +325,16 @@ def s2_write_feedback(load):
     return readers.read_feedback(rows.sparkSession, path).select("page", "type", "message", "request_id")
 
 
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, CASE WHEN o_orderkey % 2 = 0 THEN 'corrigido' ELSE 'adicionado' END AS tag, concat('Pedido ', CAST(o_orderkey AS STRING)) AS title, CASE WHEN o_orderkey % 5 > 0 THEN concat('a \"b\" ', o_orderstatus) END AS desc FROM orders WHERE o_custkey % 10 > 0")
+def s11_parse_updates(load):
+    """A change feed a customer, every third a bare list, every tenth no JSON."""
+    k = F.col("o_orderkey")
+    item = F.struct(F.date_format(F.col("o_orderdate").cast("timestamp"), "yyyy-MM-dd").alias("date"), F.when(k % 2 == 0, "corrigido").otherwise("adicionado").alias("tag"), F.concat(F.lit("Pedido "), k).alias("title"), F.when(k % 5 > 0, F.concat(F.lit('a "b" '), "o_orderstatus")).alias("desc"))
+    feeds = load("orders").groupBy("o_custkey").agg(F.collect_list(item).alias("recent"))
+    text = F.when(F.col("o_custkey") % 10 == 0, "[{").when(F.col("o_custkey") % 3 == 0, F.to_json("recent")).otherwise(F.to_json(F.struct("recent")))
+    return readers.parse_updates(feeds.select(text.alias("value")))
+
+
 @query()
 def s6_read_documents(load):
     """The tables' own files as documents."""

@@ -62,12 +62,24 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("path", "length", "modificationTime", "content", F.substring("content", 1, 8192).alias("header"))
 
 
+UPDATE = "date: string, tag: string, title: string, desc: string"
+
+
+def parse_updates(feeds: DataFrame) -> DataFrame:
+    """date, tag, title, desc of change feeds in column ``value``: an object whose ``recent`` lists them, or a bare list.
+
+    A feed that is neither has no rows; blank entries of a list go.
+    """
+    text = F.trim("value", F.lit(" \t\r\n"))
+    listed = F.from_json(text, f"array<struct<{UPDATE}>>")
+    inside = F.from_json(text, f"recent array<struct<{UPDATE}>>")["recent"]
+    rows = feeds.select(F.explode(F.when(text.startswith("["), listed).otherwise(inside)).alias("u")).select("u.*")
+    return rows.where("coalesce(date, tag, title, desc) IS NOT NULL")
+
+
 def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """date, tag, title, desc of a change feed: a JSON object whose ``recent`` lists them, or a bare list."""
-    item = "date string, tag string, title string, desc string"
-    whole = spark.read.schema(f"{item}, recent array<struct<{item.replace(' string', ': string')}>>").json(path, multiLine=True)
-    one = F.struct("date", "tag", "title", "desc")
-    return whole.select(F.explode(F.coalesce("recent", F.array(one))).alias("u")).select("u.*")
+    """The change feeds of files, one a file."""
+    return parse_updates(spark.read.text(path, wholetext=True))
 
 
 def target_labels(cells: DataFrame) -> DataFrame:

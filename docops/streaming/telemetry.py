@@ -29,13 +29,6 @@ def minute_counts(stream: DataFrame, keep: str = "24 hours") -> DataFrame:
     return with_retention(stream.where("kind = 'request'"), keep).groupBy(F.window("ts", "1 minute")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("minute"), "n")
 
 
-def range_counts(stream: DataFrame, token: str, slide: str = "1 minute", keep: str = "24 hours") -> DataFrame:
-    """(until, status_class, tool, n): requests of the whole minutes up to ``until`` in a trailing range that moves by ``slide``."""
-    minutes = t.range_minutes(token)
-    w = F.window("ts", f"{minutes} minutes", slide)
-    return with_retention(stream.where("kind = 'request'"), keep).groupBy(w, t.status_class(F.col("status")).alias("status_class"), t.tool_of(F.col("path")).alias("tool")).agg(F.count("*").alias("n")).select(F.col("window.end").alias("until"), "status_class", "tool", "n")
-
-
 def run_counts(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     """Process what is there in update mode, so that windows behind the watermark leave the state, and read the counts.
 
@@ -57,27 +50,6 @@ def run(stream: DataFrame, folder: str, each: Callable[[DataFrame, int], None] |
     return target
 
 
-def latest(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table of the last batch that wrote ``folder``/``name``-<batch>."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
-    numbers = [int(x.getPath().getName().rpartition("-")[2]) for x in listed if x.getPath().getName().startswith(f"{name}-")]
-    return spark.read.parquet(f"{folder}/{name}-{max(numbers)}")
-
-
-def error_buffer(folder: str, n: int = 100) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step that keeps the newest n errors of all batches: n rows of state, whatever the batches hold."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        errors = batch.where("kind = 'request'").where(t.status_code(F.col("status")) >= 400).select("event_id", "ts", "path", "status", "message")
-        if number > 0:
-            errors = errors.unionByName(spark.read.parquet(f"{folder}/buffer-{number - 1}"))
-        errors.dropDuplicates(["event_id"]).orderBy(F.desc("ts"), F.desc("event_id")).limit(n).write.mode("overwrite").parquet(f"{folder}/buffer-{number}")
-
-    return step
-
-
 def ingest_feedback(stream: DataFrame, good: str, rejected: str, checkpoint: str):
     """Validate a stream of feedback; each batch is appended to the good or the rejected records.  A batch that runs again replaces itself."""
 
@@ -90,22 +62,40 @@ def ingest_feedback(stream: DataFrame, good: str, rejected: str, checkpoint: str
 
 
 def expired_sessions(stream: DataFrame, ttl: int = 3600, delay: str = "0 seconds") -> DataFrame:
-    """(session_id, ts): sessions of (session_id, ts) whose last use lies more than ttl seconds behind the stream's time."""
+    """(session_id, file_id, ts) of sessions whose last use lies more than ttl seconds behind the stream's time.
+
+    ``stream`` has session_id, file_id and ts.  The state of a session is its last use and that use's file (of equal
+    times the larger id); every later use sets its timer back, and an earlier one that comes late does not.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
-            (last,) = state.get
+            last, file = state.get
             state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "ts": [pd.Timestamp(last, unit="us")]})
+            yield pd.DataFrame({"session_id": [key[0]], "file_id": pd.array([file], "Int64"), "ts": [pd.Timestamp(last, unit="us")]})
             return
-        last = state.get[0] if state.exists else 0
+        last, file = state.get if state.exists else (None, None)
         for b in batches:
-            last = max(last, int(b.ts.astype("datetime64[us]").astype("int64").max()))
-        state.update((last,))
+            b = b.sort_values(["ts", "file_id"], na_position="first")
+            at, own = b.ts.iloc[-1].value // 1000, b.file_id.iloc[-1]
+            own = None if pd.isna(own) else int(own)
+            if last is None or at > last or at == last and own is not None and (file is None or own > file):
+                last, file = at, own
+        state.update((last, file))
         state.setTimeoutTimestamp(max(last // 1000 + 1000 * ttl, state.getCurrentWatermarkMs() + 1))
 
     used = stream.withWatermark("ts", delay)
-    return used.groupBy("session_id").applyInPandasWithState(step, "session_id long, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return used.groupBy("session_id").applyInPandasWithState(step, "session_id long, file_id long, ts timestamp", "last long, file_id long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def purged_files(expired: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Expired sessions with the path of their file, null where the inventory (file_id, path) has none any more.
+
+    A join of the stream with a table, which is read anew for every batch.
+    """
+    # rows of the stateful operator are views of Arrow batches, which a shuffle can't take: an expression copies them
+    copied = expired.withColumn("file_id", F.when(F.col("file_id").isNotNull(), F.col("file_id")))
+    return copied.join(inventory.select("file_id", "path"), "file_id", "left").select("session_id", "file_id", "ts", "path")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

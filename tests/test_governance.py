@@ -1,8 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from docops.functions import governance as g
 from docops.operators import governance as op
-from docops.streaming import telemetry as st
 
 
 def values(spark, column, rows, schema):
@@ -47,9 +47,35 @@ def test_reuse_computes_each_key_once(spark):
     assert got == {1: ("X", False), 2: ("X", False), 3: ("Y", False), 4: ("old", True)} and seen == [2]
 
 
-def test_error_buffer_keeps_the_newest(spark, tmp_path):
-    step = st.error_buffer(str(tmp_path), 3)
-    make = lambda a, b: spark.createDataFrame([(i, "request", "/x", "500", None) for i in range(a, b)], "event_id int, kind string, path string, status string, message string").withColumn("ts", F.timestamp_seconds("event_id"))
-    step(make(0, 5), 0)
-    step(make(5, 7), 1)
-    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/buffer-1").collect()) == [4, 5, 6]
+def objects(spark, rows):
+    return spark.createDataFrame([(*r, 1, "field", "/FT", "/Tx") for r in rows], "doc_id int, object_id int, parent_id int, page_number int, scope string, key string, value string")
+
+
+def walked(rows, max_depth):
+    """Ancestors with their depth, step by step, until the chain ends or comes back."""
+    parent = {(d, o): p for d, o, p in rows}
+    out = set()
+    for d, o, _ in rows:
+        seen, at = [o], o
+        while (at := parent.get((d, at))) is not None and at not in seen and len(seen) <= max_depth:
+            seen.append(at)
+            out.add((d, o, at, len(seen) - 1))
+    return out
+
+
+@pytest.mark.parametrize("max_depth", [1, 2, 3, 5, 16, 20, 40])
+def test_chains_against_a_walk(spark, max_depth):
+    """Straight chains, trees, cycles with tails of every length, parents that are not there."""
+    rows = [(1, i, i - 1 if i else None) for i in range(45)] + [(2, i, (i - 1) // 2 if i else None) for i in range(60)]
+    rows += [(3 + c, i, i + 1 if i < 30 else 30 - c) for c in range(9) for i in range(31)] + [(20, 1, 99), (20, 2, 1), (20, 3, 3), (20, 4, 3)]
+    got = {tuple(r) for r in op.field_chain(objects(spark, rows), max_depth).collect()}
+    assert got == walked(rows, max_depth)
+
+
+def test_chains_take_few_joins(spark, monkeypatch):
+    tables = []
+    real = op.stored
+    monkeypatch.setattr(op, "stored", lambda df, name: tables.append(df) or real(df, name))
+    op.field_chain(objects(spark, [(1, i, i - 1 if i else None) for i in range(100)])).collect()
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") for df in tables]
+    assert joins == [0, 1, 1, 1, 1, 1]  # the edges, and five doublings

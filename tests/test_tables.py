@@ -1,6 +1,9 @@
+import itertools
+import random
 import re
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from docops.functions import tables as t
@@ -69,6 +72,76 @@ def test_unique_names_avoid_taken_ones(spark):
     assert files[3:] == ["a.pdf", "a (1).pdf"]
 
 
+def one_by_one(names, style):
+    """A name keeps its first place; repeats take the next number that no name has."""
+    first = 1 if style == "file" else 2
+    seen, out = {}, []
+    for name in names:
+        if name not in seen:
+            seen[name] = first
+            out.append(name)
+            continue
+        base, dot, ext = name.rpartition(".") if style == "file" and "." in name else (name, "", "")
+        while True:
+            made = {"column": f"{name} ({seen[name]})", "field": f"{name}__copy_{seen[name]}", "file": f"{base} ({seen[name]}){dot}{ext}"}[style]
+            seen[name] += 1
+            if made not in names:
+                break
+        out.append(made)
+    return out
+
+
+@pytest.mark.parametrize("style", ["column", "field", "file"])
+def test_unique_names_against_a_loop(spark, style):
+    r = random.Random(style)
+    parts = {"column": ["x", "x (2)", "x (3)", "x (2) (2)", "x (02)", "x (1)", " (2)", "y", "x\n (2)"], "field": ["f", "f__copy_2", "f__copy_3", "f__copy_2__copy_2", "f__copy_1", "g", "__copy_2"], "file": ["a.pdf", "a (1).pdf", "a (2).pdf", "a (1) (1).pdf", "a", "a (1)", ".pdf", " (1).pdf", "a.b.pdf", "a (1).b.pdf", "a (0).pdf"]}[style]
+    lists = [[r.choice(parts) for _ in range(r.randrange(1, 25))] for _ in range(60)] + [[parts[0]] * 40 + parts[1:3]]
+    df = spark.createDataFrame([(k, i, n) for k, names in enumerate(lists) for i, n in enumerate(names)], "k int, i int, name string")
+    got = [[x.unique_name for x in sorted(rows, key=lambda x: x.i)] for _, rows in itertools.groupby(sorted(op.unique_names(df, ["k"], [F.col("i")], style=style).collect(), key=lambda x: x.k), key=lambda x: x.k)]
+    want = [one_by_one(names, style) for names in lists]
+    assert got == want and all(len(set(x)) == len(x) for x in got)
+    arrays = df.groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "name"))), lambda x: x["name"]).alias("names"))
+    assert [r[0] for r in arrays.orderBy("k").select(t.unique_in_order(F.col("names"), style)).collect()] == want
+
+
+def test_unique_names_of_nulls(spark):
+    df = spark.createDataFrame([(1, 0, None), (1, 1, "x"), (1, 2, None), (None, 3, "x"), (None, 4, "x")], "k int, i int, name string")
+    assert [r.unique_name for r in op.unique_names(df, ["k"], [F.col("i")]).orderBy("i").collect()] == [None, "x", None, "x", "x (2)"]
+
+
+def test_csv_keeps_all_columns(spark, tmp_path):
+    cells = table(spark, [["a", "b"], ["c", "d", "e"]])
+    with pytest.raises(ValueError, match="3 columns"):
+        op.write_tables_csv(cells, str(tmp_path / "no"), 2)
+    op.write_tables_csv(cells, str(tmp_path / "csv"))
+    text = "".join(f.read_text() for f in sorted((tmp_path / "csv").glob("part-*")))
+    assert text.splitlines() == ["a;b;", "c;d;e"]
+    op.write_tables_csv(cells.limit(0), str(tmp_path / "none"))
+
+
+def rectangles(r, n, docs, size):
+    return [(r.randrange(docs), i, x := r.uniform(-50, 600), y := r.uniform(-50, 800), x + size(), y + size()) for i in range(n)]
+
+
+def test_lines_in_rects_against_all_pairs(spark):
+    r = random.Random(2)
+    rects = rectangles(r, 150, 3, lambda: r.choice([0.0, 1.0, 12.0, 16.0, 28.0, r.uniform(0, 500), 2.0 ** r.randrange(10) * 16 - 4])) + [(0, 900, None, 1.0, 2.0, 3.0), (0, 901, 5.0, 5.0, -5.0, 9.0)]
+    lines = rectangles(r, 600, 4, lambda: r.choice([0.0, 0.0, r.uniform(0, 60), r.uniform(-40, 500)])) + [(d, 1000 + i, x0 + a, y0 + a, x1 + b, y1 + b) for d, i, x0, y0, x1, y1 in rects[:150] for a, b in [(-2.0, 2.0)]] + [(0, 2000, None, None, 1.0, 1.0)]
+    v = spark.createDataFrame(lines, "doc_id int, n int, x0 double, y0 double, x1 double, y1 double")
+    q = spark.createDataFrame(rects, "doc_id int, rect_id int, rx0 double, ry0 double, rx1 double, ry1 double")
+    want = {(i, k) for d, i, x0, y0, x1, y1 in lines if x0 is not None for e, k, a, b, c, f in rects if a is not None and d == e and min(x0, x1) >= a - 2 and max(x0, x1) <= c + 2 and min(y0, y1) >= b - 2 and max(y0, y1) <= f + 2}
+    got = [(x.n, x.rect_id) for x in op.lines_in_rects(v, q).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 300
+
+
+def test_pairs_of_a_large_document(spark):
+    """100,000 lines and 10,000 rectangles of one document: far fewer pairs are tested than the 10^9 there are."""
+    place = lambda n, seed, size: spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").alias("n"), (F.rand(seed) * 10_000).alias("x0"), (F.rand(seed + 1) * 10_000).alias("y0"), (F.rand(seed + 2) ** 4 * size).alias("w"), (F.rand(seed + 3) ** 4 * size).alias("h"))
+    v = place(100_000, 1, 300).select("doc_id", "n", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"))
+    q = place(10_000, 7, 1000).select("doc_id", F.col("n").alias("rect_id"), F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), (F.col("x0") + F.col("w")).alias("rx1"), (F.col("y0") + F.col("h")).alias("ry1"))
+    assert op.rect_candidates(v, q).count() < 5_000_000
+
+
 def test_matching(spark):
     labels = spark.createDataFrame([(1, 0, "Código"), (1, 1, "Vlr"), (1, 2, "Procedimento médico"), (1, 3, "Valor total")], "table_id long, col_pos int, label string")
     got = {r.target: r.col_pos for r in op.match_columns(labels, ["codigo", "procedimento", "valor", "zzz"]).collect()}
