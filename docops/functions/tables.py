@@ -50,10 +50,16 @@ def format_brl(raw: Column) -> Column:
 
 
 def extract_money(text: Column) -> Column:
-    """All R$ amounts of a text, else all bare ones, in one form."""
-    marked = F.regexp_extract_all(text, F.lit(f"({MONEY_BR})"), F.lit(1))
+    """All R$ amounts of a text, else all bare ones, in one form.
+
+    Each text is searched once for either; most bare amounts have the form already but for R$ and a comma.
+    """
+    none = F.array().cast("array<string>")
+    marked = F.when(F.contains(text, F.lit("R$")), F.regexp_extract_all(text, F.lit(f"({MONEY_BR})"), F.lit(1))).otherwise(none)
     bare = F.regexp_extract_all(text, F.lit(f"({MONEY_NUM})"), F.lit(1))
-    return F.when(F.size(marked) > 0, marked).otherwise(F.transform(bare, format_brl))  # marked ones have the form
+    plain = lambda x: F.when(x.rlike(r"^(?:0|[1-9]\d{0,2})[.,]\d\d$"), F.concat(F.lit("R$ "), F.translate(x, ".", ","))).otherwise(format_brl(x))
+    once = F.transform(F.array(marked), lambda m: F.when(F.size(m) > 0, m).otherwise(F.transform(bare, plain)))
+    return F.when(text.isNotNull(), F.get(once, 0))
 
 
 def norm_key(text: Column) -> Column:
@@ -62,12 +68,23 @@ def norm_key(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, "%", " pct "), "º", "")
 
 
-def line_class(line: Column) -> Column:
-    """note, header (3 of the tokens and no code), section, total, item (starts with a code) or other."""
-    low = F.lower(line)
-    hits = sum((F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in HEADER_TOKENS), F.lit(0))
+#: Of each alternative of NOTE and SECTION a part that a line has to hold, in lower case: most lines hold none.
+NOTE_PARTS, SECTION_PART = ["obs", "exce", "referem-se", "haver", "anexo"], "exemplos"
+
+
+def line_class(line: Column, low: Column | None = None) -> Column:
+    """note, header (3 of the tokens and no code), section, total, item (starts with a code) or other.
+
+    ``low`` is the line in lower case, where the caller has it as a column.
+    """
+    low = F.lower(line) if low is None else low
+    has = lambda part: F.contains(low, F.lit(part))
+    hits = sum((F.when(has(t), 1).otherwise(0) for t in HEADER_TOKENS), F.lit(0))
+    noted = has(NOTE_PARTS[0])
+    for part in NOTE_PARTS[1:]:
+        noted = noted | has(part)
     return (
-        F.when(line.rlike(NOTE), "note").when((hits >= 3) & ~line.rlike(CODE), "header").when(line.rlike(SECTION), "section")
+        F.when(noted & line.rlike(NOTE), "note").when((hits >= 3) & ~line.rlike(CODE), "header").when(has(SECTION_PART) & line.rlike(SECTION), "section")
         .when(F.contains(F.upper(line), F.lit("TOTAL DE COPARTICI")), "total").when(F.trim(line).rlike(f"^{CODE}"), "item").otherwise("other")
     )
 

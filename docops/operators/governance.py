@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import governance as g
@@ -49,17 +49,23 @@ def ancestor_lists(objects: DataFrame, max_depth: int = 20) -> DataFrame:
     after five joins.  Objects whose list ended are joined no more, and rounds end when all have.
     """
     edges = objects.where("parent_id IS NOT NULL AND parent_id <> object_id").select("doc_id", "object_id", F.array("parent_id").alias("ancestors")).distinct()
-    lists, length = stored(edges, "chains"), 1
-    while length < max_depth and lists.where(F.size("ancestors") == length).limit(1).count():
+    (lists, longest), length = _with_longest(edges), 1
+    while length < max_depth and longest == length:
         last = F.when(F.size("ancestors") == length, F.element_at("ancestors", -1))
         more = lists.select("doc_id", F.col("object_id").alias("last"), F.col("ancestors").alias("more"))
         both = F.array_remove(F.array_distinct(F.concat("ancestors", F.coalesce("more", F.slice("ancestors", 1, 0)))), F.col("object_id"))
         grown = lists.withColumn("last", last).join(more, ["doc_id", "last"], "left")
-        lists = stored(grown.select("doc_id", "object_id", F.slice(both, 1, max_depth).alias("ancestors")), "chains")
+        lists, longest = _with_longest(grown.select("doc_id", "object_id", F.slice(both, 1, max_depth).alias("ancestors")))
         length *= 2
     return lists
 
 
+def _with_longest(lists: DataFrame) -> tuple[DataFrame, int | None]:
+    """The lists stored, and the length of the longest, which is observed as they are written."""
+    seen = Observation()
+    return stored(lists.observe(seen, F.max(F.size("ancestors")).alias("longest")), "chains"), seen.get["longest"]
+
+
 def field_chain(objects: DataFrame, max_depth: int = 20) -> DataFrame:
     """(doc_id, object_id, ancestor, depth): each object with its ancestors; a cycle is cut where it comes back."""
     lists = ancestor_lists(objects, max_depth)

@@ -156,13 +156,15 @@ def stitch_fee_lines(lines: DataFrame) -> DataFrame:
     """Fee records of (doc_id, line_pos, line): items with their continuations, and totals.
 
     After an item, lines without an amount go on with its description and amounts fill its five places from the left,
-    until the next item, total or section; headers and notes neither end nor join it.  A line's class is worked out once.
+    until the next item, total or section; headers and notes neither end nor join it.  Lines are shuffled once, with
+    their class; amounts are read of those lines only that belong to an item or a total.
     """
-    one = F.array(F.struct("line_pos", "line", t.line_class(F.col("line")).alias("kind")))
-    kinds = fill_section(lines.select("doc_id", F.inline(F.filter(one, lambda x: ~x["kind"].isin("note", "header")))))
+    low = lines.select("doc_id", "line_pos", "line", F.lower("line").alias("low"))
+    kinds = low.select("doc_id", "line_pos", "line", t.line_class(F.col("line"), F.col("low")).alias("kind"))
     w = Window.partitionBy("doc_id").orderBy("line_pos").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.when(F.col("kind").isin("item", "total", "section"), 1).otherwise(0)
-    island = kinds.withColumn("island", F.sum(starts).over(w)).where("island > 0")
+    starts = F.when(F.col("kind").isin("item", "total", "section"), F.struct("line_pos", "kind"))
+    joins = ~F.col("kind").isin("note", "header", "section")
+    island = fill_section(kinds).withColumn("start", F.last(starts, ignorenulls=True).over(w)).where(joins & F.col("start.kind").isin("item", "total")).withColumn("island", F.col("start.line_pos"))
     own = F.col("kind") == "item"
     rest = F.when(own, t.after_code(F.col("line"))).otherwise(F.trim("line"))
     read = island.withColumn("rest", rest).withColumn("money", t.extract_money(F.col("rest")))
