@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,9 @@ _ROW = pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("payload", pa.b
 PART, PARTS = 64, 8
 #: Bytes of text that one key owner should see the keys of.
 OWNED = 64 << 20
+#: From here on a size is the optimizer's word for not knowing.
+UNKNOWN = 1 << 60
+_SIZES: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -138,18 +142,28 @@ class Words:
 
 
 def estimated(docs: DataFrame) -> int:
-    """Bytes that the optimizer expects of a table: of its files, where it is read from files.  It sets costs, never results."""
-    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of a table's texts, about: what its files hold, or else a sum over its rows.  It sets costs, never results.
+
+    The optimizer multiplies the sizes of a join's sides, so its leaves are added up; where one has no known size, as
+    a table that was made from rows has not, the texts' lengths are summed.
+    """
+    if docs not in _SIZES:
+        plan = docs.select("text")._jdf.queryExecution().optimizedPlan()
+        size = lambda node: int(str(node.stats().sizeInBytes()))
+        leaves = plan.collectLeaves()
+        known = min(size(plan), sum(size(leaves.apply(i)) for i in range(leaves.size())))
+        _SIZES[docs] = known if known < UNKNOWN else docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return _SIZES[docs]
 
 
 def owners(docs: DataFrame) -> int:
     """Buckets: two to a shuffle partition, more where one would see the keys of more than ``OWNED`` bytes."""
-    return max(2 * partitions(docs.sparkSession), min(estimated(docs.select("text")) // OWNED, 1 << 20))
+    return max(2 * partitions(docs.sparkSession), min(estimated(docs) // OWNED, 1 << 20))
 
 
 def key_bits(docs: DataFrame, least: int) -> int:
     """Bits of a probe's key: some 15 more than numbers of the input's bytes have, so that few keys meet by chance."""
-    return min(64, max(least, estimated(docs.select("text")).bit_length() + 15))
+    return min(64, max(least, estimated(docs).bit_length() + 15))
 
 
 def chunked(docs: DataFrame, extra: tuple[str, ...] = (), size: int = 2 << 20, part: int | None = None) -> DataFrame:
@@ -159,7 +173,7 @@ def chunked(docs: DataFrame, extra: tuple[str, ...] = (), size: int = 2 << 20, p
     a chunk of its own.  Chunks are numbered by partition, whose rows are put in order first, so that a partition that
     is computed again gives the same chunks, whatever order its rows come in.
     """
-    part = part or max(1, min(PART, estimated(docs.select("text")) // size // (PARTS * partitions(docs.sparkSession))))
+    part = part or max(1, min(PART, estimated(docs) // size // (PARTS * partitions(docs.sparkSession))))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -46,6 +46,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of a file of a round of ``components``.
+ROUND_ROWS = 1_000_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's edges, each vertex with the smallest one it is connected to there."""
     root: dict[int, int] = {}
@@ -82,19 +86,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     shared folder.  Ids without an edge do not appear.  Nothing is gathered on the driver but whether a label moved.
     """
     spark = edges.sparkSession
-    few = max(16, partitions(spark) // 8)  # rounds are small: files and tasks beyond this only cost time
     high, low = F.greatest(F.col(a), F.col(b)).cast("long").alias("u"), F.least(F.col(a), F.col(b)).cast("long").alias("v")
     stars = edges.where(F.col(a) != F.col(b)).select(high, low).mapInArrow(_forest, "u long, v long")
-    stars = stored(stars.repartition(partitions(spark), "u").mapInArrow(_forest, "u long, v long").distinct().coalesce(few), "stars")
+    stars = stored(stars.repartition(partitions(spark), "u").mapInArrow(_forest, "u long, v long").distinct(), "stars")
+    # every round's table is dealt anew to as many files as its rows ask for; the joins before it use the whole cluster
+    few = max(16, stars.count() // ROUND_ROWS)
     ways = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    label = stored(ways.groupBy("u").agg(F.min(F.least("u", "v")).alias("label")).withColumnRenamed("u", "id").coalesce(few), "labels")
+    label = stored(ways.groupBy("u").agg(F.min(F.least("u", "v")).alias("label")).withColumnRenamed("u", "id").repartition(few, "id"), "labels")
     while True:
         own = label.select(F.col("id").alias("u"), F.col("label").alias("low"), F.col("label").alias("own"))
         near = ways.join(label.withColumnRenamed("id", "v"), "v").select("u", F.col("label").alias("low"), F.lit(None).cast("long").alias("own"))
         near = near.unionByName(own).groupBy("u").agg(F.min("low").alias("low"), F.min("own").alias("own"))
         jump = label.select(F.col("id").alias("low"), F.col("label").alias("far"))
         moved = F.least("low", "far")
-        step = stored(near.join(jump, "low").select(F.col("u").alias("id"), moved.alias("label"), (moved < F.col("own")).alias("moved")).coalesce(few), "labels")
+        step = stored(near.join(jump, "low").select(F.col("u").alias("id"), moved.alias("label"), (moved < F.col("own")).alias("moved")).repartition(few, "id"), "labels")
         discard(label)
         label = step.select("id", "label")
         if not step.where("moved").limit(1).count():

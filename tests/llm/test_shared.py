@@ -15,3 +15,18 @@ def test_components(spark):
     got = {x.id: x.component for x in components(df).collect()}
     assert got == {v: c for v, c in root.items() if any(v in e and e[0] != e[1] for e in edges)}
     assert components(df.limit(0)).collect() == []
+
+
+def test_size_of_tables_that_are_no_files(spark, tmp_path):
+    """Rows without files are measured; the sides of joins are added, not multiplied."""
+    from docops.llm.chunks import estimated, owners
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(i, "some words of text " * 20) for i in range(200)], "doc_id long, text string")
+    assert estimated(rows) == 200 * 380 and owners(rows) == owners(rows.limit(0)) == 16
+    rows.write.parquet(f"{tmp_path}/t")
+    files = spark.read.parquet(f"{tmp_path}/t")
+    other = files.select("doc_id", F.lit(1).alias("n"))
+    joined = files.join(other, "doc_id").join(other.withColumnRenamed("n", "m"), "doc_id")
+    assert owners(files) == owners(joined) == 16 and estimated(joined) < 10 * estimated(files) + 100_000
+    assert owners(rows.join(other, "doc_id")) == 16
