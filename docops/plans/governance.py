@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import governance as g
 from ..operators import governance as op
+from ..operators.reuse import ReuseStore
 from ..sources import readers
 from ..sources.checkpoints import shared_folder
 from .fixtures import NOW, query
@@ -193,6 +194,17 @@ def c1_reuse_by_content(load):
     return op.reuse_by_content(requests, cache, lambda df: df.withColumn("result", F.length("payload").cast("long")))
 
 
+@query("""WITH r AS (SELECT doc_id AS request_id, substr(sha256(text), 1, 40) AS content_id, length(text) AS n, doc_id % 2 = 0 AS even FROM documents), c AS (SELECT DISTINCT content_id FROM r WHERE even)
+    SELECT request_id, r.content_id, CAST(0 AS INT) AS setting, n AS result, c.content_id IS NOT NULL AS hit FROM r LEFT JOIN c USING (content_id)""")
+def c1_reuse_store(load):
+    """Every document asked for in one of two settings, then every one in the first."""
+    docs = load("documents").select(F.col("doc_id").alias("request_id"), g.content_id(F.encode(F.col("text"), "utf-8")).alias("content_id"), F.col("text").alias("payload"))
+    store = ReuseStore(docs.sparkSession, f"{shared_folder(docs.sparkSession)}/reuse-{uuid.uuid4().hex}", 16)
+    compute = lambda df: df.withColumn("result", F.length("payload").cast("long"))
+    store.reuse(docs.withColumn("setting", (F.col("request_id") % 2).cast("int")), compute)
+    return store.reuse(docs.withColumn("setting", F.lit(0)), compute)
+
+
 @query("SELECT session_id FROM sessions WHERE file_id IN (SELECT file_id FROM file_inventory)", "sessions file_inventory")
 def j13_live_sessions(load):
     return op.live_sessions(load("sessions"), load(I)).select("session_id")

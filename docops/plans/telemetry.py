@@ -12,6 +12,7 @@ from ..functions.governance import sniff_type
 from ..operators import telemetry as op
 from ..sources import readers
 from ..sources.checkpoints import shared_folder
+from ..sources.log_tail import read_log_tail
 from ..streaming import telemetry as st
 from .fixtures import NOW, query
 
@@ -139,11 +140,11 @@ def l4_log_tail(load):
 
 @query(f"WITH {LOGS}, p AS ({PARSED}), tail AS (SELECT * FROM p ORDER BY arrival DESC LIMIT 700) SELECT ts, level, place, request, message, CAST(row_number() OVER (ORDER BY arrival) AS INT) AS place_in_tail FROM tail")
 def l4_log_tail_of_file(load):
-    """The lines written to a file and read back: the tail comes in the file's order."""
+    """The lines written to files and the tail read from their ends: it comes in the files' order."""
     lines = log_lines(load)
     path = f"{shared_folder(lines.sparkSession)}/log-{uuid.uuid4().hex}"
-    lines.orderBy("arrival").coalesce(1).select("value").write.text(path)
-    tail = op.log_tail(readers.read_logs(lines.sparkSession, path), 700)
+    lines.orderBy("arrival").select("value").write.text(path)  # files in the order of their names
+    tail = op.log_tail(readers.parse_logs(read_log_tail(lines.sparkSession, path, 700, "name")), 700)
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("arrival"))  # at most 5,000 rows
     return tail.withColumn("place_in_tail", place).drop("arrival")
 
