@@ -24,7 +24,7 @@ class ReuseStore:
     """
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, result: str = "long"):
-        self.spark = spark
+        self.spark, self.buckets = spark, buckets
         self.name = f"reuse_{hashlib.sha256(folder.encode()).hexdigest()[:16]}"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} (content_id STRING, setting INT, result {result}, run STRING) USING parquet CLUSTERED BY (content_id, setting) INTO {buckets} BUCKETS LOCATION '{folder}'")
 
@@ -36,7 +36,12 @@ class ReuseStore:
     def missing(self, requests: DataFrame) -> DataFrame:
         """A request (keys and payload) of every key that the store has no result of."""
         asked = requests.groupBy(*KEYS).agg(F.any_value("payload").alias("payload"))
-        return asked.join(self.rows(), KEYS, "left_anti")
+        # an anti join would be pushed below the dealing, and both sides be shuffled
+        return self._dealt(asked).join(self.rows().select(*KEYS, "run"), KEYS, "left").where("run IS NULL").drop("run")
+
+    def _dealt(self, keys: DataFrame) -> DataFrame:
+        """Distinct keys dealt as the store's buckets are, so that a join leaves the store where it is."""
+        return keys.repartition(self.buckets, *KEYS)
 
     def append(self, results: DataFrame, run: str) -> None:
         """Add results in one write, whose files appear when all of its tasks are done; one that fails leaves none."""
@@ -53,7 +58,7 @@ class ReuseStore:
         missing = stored(self.missing(named), "missing")
         if missing.limit(1).count():
             self.append(stored(compute(missing), "computed"), run)
-        asked = named.select(*KEYS).distinct()
+        asked = self._dealt(named.select(*KEYS).distinct())
         known = asked.join(self.rows(), KEYS).select(*KEYS, "result", (F.col("run") != run).alias("hit"))
         # many requests may share a key: this join is of two shuffled sides, which Spark may split
         return named.select("request_id", *KEYS).join(known, KEYS).select("request_id", *KEYS, "result", "hit")

@@ -238,6 +238,17 @@ def s5_read_inventory(load):
     return reduce(lambda a, b: a.unionByName(b), listed, none).groupBy("name").agg(F.sum("length").alias("length"))
 
 
+@query("SELECT concat('client-', CAST(o_custkey % 16 AS STRING)) AS name, CAST(sum(length(CAST(o_orderkey AS STRING)) + 1) AS BIGINT) AS length, sha256(string_agg(concat(CAST(o_orderkey AS STRING), chr(10)), '' ORDER BY o_orderkey)) AS content_sha256, sha256(substr(string_agg(concat(CAST(o_orderkey AS STRING), chr(10)), '' ORDER BY o_orderkey), 1, 8192)) AS header_sha256 FROM orders GROUP BY o_custkey % 16")
+def s6_read_written_documents(load):
+    """The orders' keys as one file a client, read back whole."""
+    orders = load("orders")
+    folder = f"{shared_folder(orders.sparkSession)}/documents-{uuid.uuid4().hex}"
+    named = orders.select("o_orderkey", F.col("o_orderkey").cast("string").alias("value"), F.concat(F.lit("client-"), F.col("o_custkey") % 16).alias("name"))
+    named.repartition("name").sortWithinPartitions("name", "o_orderkey").select("value", "name").write.partitionBy("name").text(folder)
+    sha = lambda c: F.sha2(c, 256)
+    return readers.read_documents(orders.sparkSession, f"{folder}/*").select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "length", sha(F.col("content")).alias("content_sha256"), sha(F.col("header")).alias("header_sha256"))
+
+
 @query("""o AS (SELECT doc_id, page_number AS pos, CASE page_number % 3 WHEN 0 THEN 'text' ELSE 'redact' END AS type, (page_number - 1) % 4 AS page_index, bytes % 50 AS x, bytes % 40 AS y FROM page_geometry),
     p AS (SELECT o.doc_id, g.page_number, pos, type, o.x, o.y, g.width / 100.0::DOUBLE AS sx, g.height / 100.0::DOUBLE AS sy FROM o JOIN page_geometry g ON o.doc_id = g.doc_id AND o.page_index + 1 = g.page_number),
     q AS (SELECT *, unnest(CASE WHEN type = 'text' THEN [0, 1] ELSE [0] END) AS line_no FROM p)

@@ -307,6 +307,18 @@ def j12_match_columns(load):
     return op.match_columns(labels(load), TARGETS).withColumn("score", F.round("score", 9))
 
 
+# accents on either side: equal keys score 1 + 0.15, observacoes has 9 letters of observacao's 10 and its own 11 in common order
+ACCENTS = ["Observacao", " OBSERVAÇÃO", "Observações", "Funcao", "Função do item", "outra coisa"]
+
+
+@query("""x AS (SELECT DISTINCT table_id, CAST(table_id % 6 AS INT) AS k FROM cells), s(k, target, score) AS (VALUES (0, 'Observação', 1.15::DOUBLE), (1, 'Observação', 1.15::DOUBLE), (2, 'Observação', 18 / 21.0::DOUBLE), (3, 'Função', 1.15::DOUBLE), (4, 'Função', 12 / 20.0::DOUBLE + 0.15::DOUBLE))
+    SELECT table_id, target, CAST(0 AS INT) AS col_pos, round(score, 9) AS score FROM x JOIN s USING (k)""", C)
+def j12_match_accents(load):
+    label = F.get(F.array(*map(F.lit, ACCENTS)), (F.col("table_id") % 6).cast("int"))
+    own = load(C).select("table_id").distinct().select("table_id", F.lit(0).alias("col_pos"), label.alias("label"))
+    return op.match_columns(own, ["Observação", "Função"]).withColumn("score", F.round("score", 9))
+
+
 WIDER = [*TARGETS, "VALOR (2)"]  # a fourth match, which tables need to be accepted
 MATCHED = f"{LABELS}, n AS (SELECT table_id, count(*) FILTER (label IN ('Qtd', 'Valor', 'Taxa', 'Valor (2)') AND table_id % 4 > 0) AS n FROM x GROUP BY table_id)"
 
