@@ -50,7 +50,7 @@ def worded(annotated: Column) -> Column:
 
 
 def _choices(i: Column, n: int, fixed: tuple[int, int] = (0, 0), more: Column | None = None) -> Column:
-    """Of the n words from place i of t and l: a hash for every choice of reading placeholders as such or as words.
+    """Of the n words from place i of w: a hash for every choice of reading placeholders as such or as words.
 
     At least one word of a choice is literal; those of ``fixed`` are placeholders read as such.  Two windows share a
     hash if each word of one equals the other's as a placeholder or as a word, and some word is the same.  ``more``
@@ -58,13 +58,13 @@ def _choices(i: Column, n: int, fixed: tuple[int, int] = (0, 0), more: Column |
     """
     open_ = [k for k in range(n) if not fixed[0] <= k < fixed[1]]
     all_ = (1 << len(open_)) - 1
-    held = sum(F.when(F.get("t", i + k) != F.get("l", i + k), 1 << b).otherwise(0) for b, k in enumerate(open_))
-    hashed = lambda words: F.xxhash64(F.lit(n), F.lit(fixed[0]), *words)
-    plain = F.array(hashed([F.get("t", i + k) for k in range(n)]))
-    bit = {k: 1 << b for b, k in enumerate(open_)}
-    choice = lambda v: hashed([F.when(v.bitwiseAND(bit[k]) > 0, F.get("l", i + k)).otherwise(F.get("t", i + k)) if k in bit else F.get("t", i + k) for k in range(n)])
-    some = lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.lit(all_)), lambda v: (v.bitwiseAND(m) == v) & ((v != 0) | (m != all_))), choice)
-    each = lambda m: F.when(m == 0, plain).when(m != all_, some(m)).otherwise(F.concat(some(m), more) if more is not None else some(m))
+    bits = F.array(*[F.lit(1 << open_.index(k) if k in open_ else 0) for k in range(n)])
+    words = F.slice("w", F.greatest(i, F.lit(0)) + 1, n)
+    hashed = lambda v: F.xxhash64(F.lit(n), F.lit(fixed[0]), F.transform(words, lambda x, k: F.when(v.bitwiseAND(F.get(bits, k)) > 0, x["l"]).otherwise(x["t"])))
+    held = F.aggregate(F.transform(words, lambda x, k: F.when(x["t"] != x["l"], F.get(bits, k)).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    some = lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.lit(all_)), lambda v: (v.bitwiseAND(m) == v) & ((v != 0) | (m != all_))), hashed)
+    none = F.array().cast("array<bigint>")
+    each = lambda m: F.when(m == 0, F.array(hashed(F.lit(0)))).otherwise(some(m) if more is None else F.concat(some(m), F.when(m == all_, more).otherwise(none)))
     return F.flatten(F.transform(F.array(held), each))  # the array holds the mask, so that it is worked out once
 
 
@@ -72,11 +72,16 @@ def _keys(i: Column, block: int) -> Column:
     """Keys of the block at place i: its own, and if it is of placeholders only those of 2 * block - 1 words around it."""
     more = []
     for back in (block - 1, (block - 1) // 2, 0):  # the block stands at the end, in the middle, at the beginning
-        fits = (i >= back) & (i - back + 2 * block - 1 <= F.size("t"))
+        fits = (i >= back) & (i - back + 2 * block - 1 <= F.size("w"))
         more.append(F.when(fits, _choices(i - back, 2 * block - 1, (back, back + block))).otherwise(F.array().cast("array<bigint>")))
     return _choices(i, block, more=F.concat(*more))
 
 
+def both_readings(annotated: Column) -> Column:
+    """Of each word its reading as a placeholder (t) and as a word (l)."""
+    return F.zip_with(template(annotated), worded(annotated), lambda t, l: F.struct(t.alias("t"), l.alias("l")))  # noqa: E741
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = 13, block: int = 5) -> DataFrame:
     """(doc_id, item_id, doc_start, run, n_slots, exact) for each document and item that it gives away.
 
@@ -89,18 +94,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = 13, block: in
     if run < 2 * block + 2:
         raise ValueError("a run must hold a whole block and its neighbours: run >= 2 * block + 2")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), annotate(F.col("text")).alias("a")).where("item_id IS NOT NULL AND a <> ''").distinct()
-    items = items.select(F.xxhash64("item_id", "a").alias("k"), "item_id", F.split("a", " ").alias("item"), template(F.col("a")).alias("t"), worded(F.col("a")).alias("l")).withColumn("size", F.size("t"))
+    items = items.select(F.xxhash64("item_id", "a").alias("k"), "item_id", F.split("a", " ").alias("item"), both_readings(F.col("a")).alias("w")).withColumn("size", F.size("w"))
     places = F.sequence(F.lit(0), F.col("size") - block)
-    windows = items.where(F.col("size") >= block).select("k", F.explode(places).alias("i"), "size", "t", "l").select("k", "i", "size", F.explode(_keys(F.col("i"), block)).alias("h"))
+    windows = items.where(F.col("size") >= block).select("k", F.explode(places).alias("i"), "size", "w").select("k", "i", "size", F.explode(_keys(F.col("i"), block)).alias("h"))
     few = lambda df: df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     small = few(windows.select("h")) and few(items.select("k"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     marked = own.select("doc_id", annotate(F.col("text")).alias("a"))
-    split = marked.select("doc_id", template(F.col("a")).alias("t"), worded(F.col("a")).alias("l"))
+    split = marked.select("doc_id", both_readings(F.col("a")).alias("w"))
 
     def hits(step: int, part: DataFrame, n: int, keys: Callable[[Column], Column]) -> DataFrame:
-        places = F.sequence(F.lit(0), F.floor((F.size("t") - n) / step).cast("int"))
-        hashes = F.when(F.size("t") >= n, F.transform(places, lambda j: keys(j * step)))
+        places = F.sequence(F.lit(0), F.floor((F.size("w") - n) / step).cast("int"))
+        hashes = F.when(F.size("w") >= n, F.transform(places, lambda j: keys(j * step)))
         blocks = split.select("doc_id", F.posexplode(hashes).alias("j", "h")).select("doc_id", "j", F.explode("h").alias("h"))
         return blocks.join(F.broadcast(part) if small else part, "h").select("doc_id", "k", (F.col("j") * step - F.col("i")).alias("shift")).distinct()
 
@@ -108,7 +113,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = 13, block: in
     short = windows.where(F.col("size") < 2 * block - 1)
     if short.limit(1).count():  # a short item need not hold a whole block of the document: every place is tried
         found = found.unionByName(hits(1, short, block, lambda i: _choices(i, block)))
-    whole = lambda n: lambda i: F.array(F.xxhash64(F.lit(-n), *[F.get("l", i + k) for k in range(n)]))
+    whole = lambda n: lambda i: F.array(F.xxhash64(F.lit(-n), *[F.get("w", i + k)["l"] for k in range(n)]))
     for n in sorted(r["size"] for r in items.where(F.col("size") < block).select("size").distinct().collect()):  # fewer than ``block`` numbers
         tiny = items.where(F.col("size") == n).select("k", F.lit(0).alias("i"), F.explode(whole(n)(F.lit(0))).alias("h"))
         found = found.unionByName(hits(1, tiny, n, whole(n)))

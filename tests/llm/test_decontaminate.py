@@ -153,11 +153,11 @@ def test_what_follows_does_not_clear(spark):
 
 def test_tables_of_figures_share_no_key(spark):
     """Windows of placeholders only are joined by their neighbours: rows of figures meet in no key of their own."""
-    from docops.llm.decontaminate import _keys, annotate, template, worded
+    from docops.llm.decontaminate import _keys, annotate, both_readings
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(" ".join(str(i * 7) for i in range(100)),), ("one two three 4 5 6 7 8 nine ten",)], "x string").select(annotate(F.col("x")).alias("a"))
-    df = df.select(template(F.col("a")).alias("t"), worded(F.col("a")).alias("l")).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("t") - 5), lambda i: _keys(i, 5))).alias("h"), F.size("t").alias("n"))
+    df = df.select(both_readings(F.col("a")).alias("w")).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: _keys(i, 5))).alias("h"), F.size("w").alias("n"))
     sizes = {}
     for x in df.collect():
         sizes.setdefault(x.n, []).append(len(x.h))
