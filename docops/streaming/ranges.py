@@ -71,10 +71,10 @@ def run_ranges(stream: DataFrame, folder: str, token: str, slide: int = 1, keep:
         merged = _merged(known, changed)
         oldest = merged.agg(F.expr(f"unix_timestamp(timestamp_seconds(max(minute) * 60) - INTERVAL {keep}) div 60 - {minutes}")).scalar()
         merged.where(F.col("minute") >= oldest).write.mode("overwrite").parquet(f"{folder}/buckets-{number}")
-        if low is not None:
-            reached = session.read.schema(BUCKET).parquet(f"{folder}/buckets-{number}").where(F.col("minute").between(low - minutes, high + minutes))
-            sums = trailing_sums(reached, minutes, slide).where(F.col("until").between(low + 1, high + minutes))
-            sums.write.mode("overwrite").parquet(f"{folder}/ranges/batch={number}")
+        low, high = (0, -minutes) if low is None else (low, high)  # a batch without requests reaches into none
+        reached = session.read.schema(BUCKET).parquet(f"{folder}/buckets-{number}").where(F.col("minute").between(low - minutes, high + minutes))
+        sums = trailing_sums(reached, minutes, slide).where(F.col("until").between(low + 1, high + minutes))
+        sums.write.mode("overwrite").parquet(f"{folder}/ranges/batch={number}")
         _remove(session, f"{folder}/buckets-{number - 2}")
 
     run(minute_buckets(stream, keep), folder, step, "update")

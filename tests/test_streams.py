@@ -79,6 +79,11 @@ def test_buckets_are_bounded(spark, tmp_path):
     assert 0 < spark.read.parquet(f"{tmp_path}/work/{last}").count() <= 136
 
 
+def test_no_requests(spark, tmp_path):
+    write(spark, [(1, 1, ZERO, "job", "/x", "200", None, None, None)], f"{tmp_path}/in")
+    assert ranges.run_ranges(read(spark, f"{tmp_path}/in"), f"{tmp_path}/work", "1h").collect() == []
+
+
 def wanted_errors(rows, n):
     bad = [r for r in rows if r[3] == "request" and r[5] in ("404", "500")]
     return [(r[0], r[4], int(r[5]), (r[6] or "")[:200] or None) for r in sorted(bad, key=lambda r: (r[2], r[0]), reverse=True)[:n]]
