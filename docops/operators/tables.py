@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -305,28 +307,37 @@ def cluster_1d(df: DataFrame, value: str, keys: list[str], tol: float) -> DataFr
 # schema matching: the one matcher that built-in expressions can't state
 
 
+@lru_cache(1 << 16)
+def _likeness(column: str, target: str) -> float:
+    return SequenceMatcher(None, column, target).ratio() + (0.15 if column in target or target in column else 0.0)
+
+
 def match_columns(labels: DataFrame, targets: list[str], min_score: float = 0.55) -> DataFrame:
     """(table_id, target, col_pos, score): each target, in order, takes the free column whose name is most alike.
 
     Both names are folded to keys.  The score is the matcher's ratio of column to target, and 0.15 more if one key holds
-    the other (an empty one is held by all); of equal scores the first column wins.  Only a table's labels are grouped.
+    the other (an empty one is held by all); of equal scores the first column wins.  A table's labels come as one row,
+    many tables to a batch; a worker remembers the scores of names that it has met.
     """
-    keys = F.array(*[t.norm_key(F.lit(x)) for x in targets]).alias("wanted")
-    keyed = labels.select("table_id", "col_pos", t.norm_key(F.col("label")).alias("key"), keys)
-
-    def score(column: str, target: str) -> float:
-        return SequenceMatcher(None, column, target).ratio() + (0.15 if column in target or target in column else 0.0)
-
-    def pick(batch: pd.DataFrame) -> pd.DataFrame:
-        free, out = dict(batch.sort_values("col_pos")[["col_pos", "key"]].values.tolist()), []
-        for name, target in zip(targets, batch.wanted.iloc[0]):
-            best = max(((score(k, target), -c) for c, k in free.items()), default=(0.0, 0))
-            if best[0] >= min_score:
-                out.append((batch.table_id.iloc[0], name, -best[1], best[0]))
-                del free[-best[1]]
-        return pd.DataFrame(out, columns=["table_id", "target", "col_pos", "score"])
-
-    return keyed.groupBy("table_id").applyInPandas(pick, "table_id long, target string, col_pos int, score double")
+    wanted = F.array(*[t.norm_key(F.lit(x)) for x in targets])
+    keyed = labels.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("col_pos", t.norm_key(F.col("label")).alias("key")))).alias("own"))
+    kind = pa.schema([("table_id", pa.int64()), ("target", pa.string()), ("col_pos", pa.int32()), ("score", pa.float64())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for table, own, keys in zip(*(b[c].to_pylist() for c in ("table_id", "own", "wanted"))):
+                free = {c["col_pos"]: c["key"] for c in own}
+                for name, target in zip(targets, keys):
+                    best = max(((_likeness(k, target), -c) for c, k in free.items()), default=(0.0, 0))
+                    if best[0] >= min_score:
+                        out.append((table, name, -best[1], best[0]))
+                        del free[-best[1]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
+
+    rows = keyed.select(F.col("table_id").cast("long").alias("table_id"), "own", wanted.alias("wanted"))
+    return rows.mapInArrow(pick, "table_id long, target string, col_pos int, score double")
 
 
 def accept_schema(labels: DataFrame, matches: DataFrame, n_targets: int) -> DataFrame:

@@ -76,11 +76,11 @@ def expired_sessions(stream: DataFrame, ttl: int = 3600, delay: str = "0 seconds
             return
         last, file = state.get if state.exists else (None, None)
         for b in batches:
-            b = b.sort_values(["ts", "file_id"], na_position="first")
-            at, own = b.ts.iloc[-1].value // 1000, b.file_id.iloc[-1]
-            own = None if pd.isna(own) else int(own)
-            if last is None or at > last or at == last and own is not None and (file is None or own > file):
-                last, file = at, own
+            times = b.ts.to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            for at, own in zip(times, b.file_id.tolist()):  # a key's rows are few: no frame is sorted for them
+                own = None if own is None or own != own else int(own)
+                if last is None or at > last or at == last and own is not None and (file is None or own > file):
+                    last, file = at, own
         state.update((last, file))
         state.setTimeoutTimestamp(max(last // 1000 + 1000 * ttl, state.getCurrentWatermarkMs() + 1))
 
