@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import re
 import uuid
 from collections.abc import Iterator
