@@ -301,11 +301,11 @@ def l3_latest_feedback(load):
 
 @query(f"{PUBLIC} SELECT page, type, message, request_id FROM q ORDER BY arrival DESC LIMIT 100", "feedback")
 def l3_latest_feedback_of_file(load):
-    """The records appended to a file and read back: the last ones are the newest."""
+    """The records written to files in their order and read back: the last ones are the newest."""
     rows = load("feedback")
     path = f"{shared_folder(rows.sparkSession)}/feedback-{uuid.uuid4().hex}"
-    readers.write_feedback(rows.orderBy("arrival").coalesce(1).select("page", "type", "message", "request_id"), path)
-    return op.latest_feedback(readers.read_feedback(rows.sparkSession, path), 1000).select("page", "type", "message", "request_id")
+    readers.write_feedback(rows.orderBy("arrival").select("page", "type", "message", "request_id"), path)
+    return op.latest_feedback(readers.read_feedback(rows.sparkSession, path, "name"), 1000).select("page", "type", "message", "request_id")
 
 
 @query("SELECT arrival, page, type, message, request_id FROM feedback WHERE arrival % 7 > 2", "feedback")

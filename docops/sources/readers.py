@@ -16,15 +16,20 @@ def parse_feedback(lines: DataFrame) -> DataFrame:
     return good.select(*[c for c in lines.columns if c != "value"], "r.*").drop("broken")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their ``arrival``, which orders them as they stand: by file, part of the file and line."""
+def read_lines(spark: SparkSession, path: str, order: str = "changed") -> DataFrame:
+    """Lines of text files with their ``arrival``, which orders them as they stand: by file, part of the file and line.
+
+    Files are in order of their change and then of their names (changed), or of their names alone (name), as those of
+    one write of sorted rows are.
+    """
     file = F.col("_metadata")
-    place = F.struct(file["file_modification_time"].alias("changed"), file["file_path"].alias("file"), file["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("line"))
+    fields = [file["file_path"].alias("file"), file["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("line")]
+    place = F.struct(*([] if order == "name" else [file["file_modification_time"].alias("changed")]), *fields)
     return spark.read.text(path).select(place.alias("arrival"), "value")
 
 
-def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    return parse_feedback(read_lines(spark, path))
+def read_feedback(spark: SparkSession, path: str, order: str = "changed") -> DataFrame:
+    return parse_feedback(read_lines(spark, path, order))
 
 
 def write_feedback(rows: DataFrame, path: str) -> None:
