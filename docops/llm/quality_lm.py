@@ -3,8 +3,8 @@
 All trusted text is counted: a chunk sends its 4-grams' counts to their owners, and continuation counts, discounts and
 back-off weights are DataFrame aggregations.  To score, each chunk asks the owners for its distinct 4-grams; sharded
 joins of the tables give their probabilities.  A document's perplexity is held against a quantile of its language's
-trusted documents, taken on a fold that a second model has not seen.  Nothing of the models is broadcast or gathered but
-four counts of counts an order.
+trusted documents of its length, as short texts' perplexities spread more; it is taken on a fold that a second model has
+not seen.  Nothing of the models is broadcast or gathered but four counts of counts an order.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .chunks import ROW, Texts, blobs, by_chunk, chunked, cut, deltas, frame, gr
 from .shared import partitions, stored
 
 CHUNK = 4 << 20
-#: Rows of limits by language up to which they are broadcast.
-LANGUAGES = 10_000
+#: Rows of limits by language and length up to which they are broadcast.
+LIMITS = 10_000
 SCORES = "doc_id long, lang string, n_bytes long, bits double"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("bits", pa.float64())])
 #: An odd factor that spreads 4-grams evenly over the owners, and its inverse modulo 2**32.
@@ -119,13 +119,20 @@ def _scored(chunks: DataFrame, orders: dict[int, DataFrame], buckets: int) -> Da
     return stored(with_answers(chunks, answers, score, SCORES, _scores), "scores")
 
 
+def _length() -> Column:
+    """Which length a text has: 0 under 256 bytes, 1 under four times that, and so on."""
+    return F.greatest(F.lit(0), F.floor((F.length(F.bin("n_bytes")) - 1) / 2) - 3).cast("int")
+
+
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, weight: float = 50.0, folds: int = 8) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (a byte), threshold, kept of every document.
 
     The model is of all trusted documents (labels.quality = 1).  threshold: the ``quantile`` of the bits a byte of the
-    language's trusted documents of one fold in ``folds``, each under a model of the other folds; a language's quantile is
-    shrunk towards that of all by ``weight`` documents, so one without a document in that fold has the limit of all (a
-    null language counts as one).  A null or empty text has no perplexity and isn't kept; without trusted text in that
+    trusted documents of one language and length in one fold in ``folds``, each under a model of the other folds; it is
+    shrunk towards that of all languages of that length by ``weight`` documents, and this one likewise towards that of
+    all documents, so a language or length without a document in that fold has the wider limit (a null language counts
+    as one).  Lengths: under 256 bytes, under four times that, and so on by factors of four, so 29 at most.  A null or
+    empty text has no perplexity and isn't kept; without trusted text in that
     fold every other one is.  Texts of any length are scored whole; repeated rows are judged alike; rows without doc_id
     are left out; an empty table gives an empty result; other columns are ignored.
     """
@@ -177,14 +184,17 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, weight:
     grams = stored(told.where("bucket >= 0").groupBy("bucket").applyInArrow(add, "k long, c long, rest long"), "grams")
     scores = _scored(chunks, _tables(grams.select("k", "c")), buckets)
     chosen = told.where("bucket < 0").mapInArrow(apart, "part long, chunk long, blob binary")
-    marks = _scored(chosen, _tables(grams.where("rest > 0").select("k", F.col("rest").alias("c"))), buckets).where("bits IS NOT NULL")
-    at = F.percentile_approx("bits", F.lit(quantile), 10000)
-    overall = marks.agg(at).scalar()
-    n = F.col("n")
-    by_lang = stored(marks.groupBy("lang").agg(at.alias("q"), F.count("*").alias("n")), "limits")
-    by_lang = by_lang.select("lang", ((n * F.col("q") + weight * overall) / (n + weight)).alias("own_limit"))
-    few = by_lang.limit(LANGUAGES + 1).count() <= LANGUAGES
-    judged = scores.join(F.broadcast(by_lang) if few else by_lang, "lang", "left")
-    judged = judged.withColumn("limit", F.coalesce("own_limit", overall))
+    marks = _scored(chosen, _tables(grams.where("rest > 0").select("k", F.col("rest").alias("c"))), buckets)
+    marks = marks.where("bits IS NOT NULL").withColumn("length", _length())
+    found = (F.percentile_approx("bits", F.lit(quantile), 10000).alias("q"), F.count("*").alias("n"))
+    overall = marks.agg(found[0]).scalar()
+    towards = lambda wider: (F.col("n") * F.col("q") + weight * wider) / (F.col("n") + weight)
+    by_length = stored(marks.groupBy("length").agg(*found), "limits").select("length", towards(overall).alias("length_limit"))
+    own = marks.groupBy("lang", "length").agg(*found).join(F.broadcast(by_length), "length")
+    own = stored(own.select("lang", "length", towards(F.col("length_limit")).alias("own_limit")), "limits")
+    few = own.limit(LIMITS + 1).count() <= LIMITS
+    judged = scores.withColumn("length", _length()).join(F.broadcast(by_length), "length", "left")
+    judged = judged.join(F.broadcast(own) if few else own, ["lang", "length"], "left")
+    judged = judged.withColumn("limit", F.coalesce("own_limit", "length_limit", overall))
     kept = F.col("bits").isNotNull() & (F.col("limit").isNull() | (F.col("bits") <= F.col("limit")))
     return judged.select("doc_id", "lang", "n_bytes", F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), "limit").alias("threshold"), kept.alias("kept"))

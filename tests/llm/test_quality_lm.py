@@ -81,6 +81,42 @@ def test_limits_are_quantiles_of_a_fold_not_seen(spark):
     assert all(got[i].kept == (got[i].perplexity <= got[i].threshold) for i in range(400))
 
 
+def test_limits_by_length(spark):
+    """By language and length, shrunk towards the length, and that towards all; a length without held documents has the limit of all."""
+    r = random.Random(3)
+    words = {"en": [f"the{c}" for c in "abcdefgh"], "de": [f"das{c}" for c in "ijklmnop"]}
+    sizes = (10, 80, 300)
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.choice(sizes))), lang) for i in range(300) for lang in ("de" if i % 3 == 0 else "en",)]
+    rows += [(1000, "thea " * 2000, "en"), (1001, "x" * 255, "fr"), (1002, "x" * 256, "fr"), (1003, "é" * 512, None), (1004, "y" * 10, "de")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in rows if i < 300], "doc_id long, quality int")
+    got = {x.doc_id: x for x in quality(df, labels, quantile=0.9, weight=7.0).collect()}
+    held = {x.doc_id for x in labels.where("pmod(xxhash64(doc_id, 17), 8) = 0").collect()}
+    rest = [t.encode() for i, t, _ in rows if i < 300 and i not in held]
+    length = lambda t: next(k for k in range(20) if len(t.encode()) < 256 * 4**k)
+    marks = [(lang, length(t), brute(rest, t.encode())) for i, t, lang in rows if i in held]
+    at = lambda b: sorted(b)[int(np.ceil(0.9 * len(b))) - 1]
+    towards = lambda b, wider: (len(b) * at(b) + 7 * wider) / (len(b) + 7) if b else wider
+    overall = at([b for *_, b in marks])
+    assert {k for _, k, _ in marks} == {0, 1, 2} and length(rows[300][1]) == 3
+    for i, t, lang in rows:
+        k = length(t)
+        want = towards([b for x, y, b in marks if (x, y) == (lang, k)], towards([b for _, y, b in marks if y == k], overall))
+        assert abs(np.log2(got[i].threshold) - want) < 1e-4
+        assert got[i].kept == (got[i].perplexity <= got[i].threshold)
+
+
+def test_bad_documents_of_every_language_go(spark):
+    sf = "/root/testdata/sf0.1"
+    kept = {r.doc_id: r for r in op6_quality_lm(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    assert np.mean([kept[x.doc_id].kept for x in labels if x.quality == 1]) > 0.985
+    for lang in ("de", "en", "es", "fr"):
+        bad = [not kept[x.doc_id].kept for x in labels if x.quality == 0 and kept[x.doc_id].lang == lang]
+        print(lang, len(bad), np.mean(bad))
+        assert np.mean(bad) >= 0.9
+
+
 def test_labels(spark):
     sf = "/root/testdata/sf0.01"
     kept = {r.doc_id: r.kept for r in op6_quality_lm(spark, sf).collect()}
