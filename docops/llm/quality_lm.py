@@ -139,7 +139,15 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, weight:
     buckets = partitions(docs.sparkSession)
     docs = docs.withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("")))
     chunks = chunked(docs, ("lang",), CHUNK)
-    listed = chunks.groupBy("part").applyInArrow(lambda t: pa.concat_tables([pa.table({"part": pa.array(t["part"].to_pylist()[:1] * len(x.ids), pa.int64()), "doc_id": x.table["doc_id"].cast(pa.int64())}) for _, x in blobs(t)]), "part long, doc_id long")
+
+    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The part of each document: chunks stay where they are made, only ids are sent."""
+        for b in batches:
+            for part, blob in zip(b["part"].to_pylist(), b["blob"].to_pylist()):
+                ids = Texts(blob).table["doc_id"].combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(ids), pa.int64()), ids], ["part", "doc_id"])
+
+    listed = chunks.mapInArrow(listing, "part long, doc_id long")
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     held = (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(folds)) == 0).alias("held")
     trusted = stored(listed.join(good.select("doc_id", held), "doc_id"), "trusted")
