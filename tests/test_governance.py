@@ -19,6 +19,17 @@ def test_names_and_extensions(spark):
     assert values(spark, g.admit(F.col("n"), F.col("m")), rows, "n string, m string") == [None, "zip_not_office", "type_not_allowed", "extension_not_supported"]
 
 
+def test_routes_of_targets(spark):
+    rows = [("pdf", " Word"), ("xlsx", "EXCEL"), ("png", "pdf"), ("pdf", "docs"), ("png", "docx"), ("pdf", "gif"), (None, "pdf"), ("pdf", None)]
+    got = [tuple(r) for r in values(spark, g.route_conversion(F.col("e"), F.col("t")), rows, "e string, t string")]
+    assert got == [
+        ("docx", "pdf_to_docx", None), ("xlsx", "office", None), ("pdf", "image", None), ("docx", "pdf_to_docx", None), ("docx", None, "unsupported_source"),
+        (None, None, "unknown_target"), ("pdf", None, "unsupported_source"), (None, None, "unsupported_source"),
+    ]
+    # a target is read a few times, not once more for each alias and the one before
+    assert spark.range(1).select(g.route_conversion(F.lit("pdf"), F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString().count("lower(") < 150
+
+
 def test_owned_paths(spark):
     o, j = "a" * 32, "b" * 32
     rows = [(f"generated/{o}/{j}/x.pdf",), (f"generated%2F{o}%2F{j}%2Fx.pdf",), (f"generated/{j}/{o}/x.pdf",), (f"generated/{o}/../x.pdf",), (f"/generated/{o}/{j}/x",), ("%zz",), (None,)]
