@@ -267,7 +267,7 @@ def a27_table_frame(load):
     return out.select("doc_id", F.round("x0", 6).alias("x0"), F.round("top", 6).alias("top"), F.round("x1", 6).alias("x1"), F.round("bottom", 6).alias("bottom"))
 
 
-@query("k AS (SELECT doc_id, x0, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id ORDER BY x0) <= 60 THEN 0 ELSE 1 END AS new FROM words), c AS (SELECT doc_id, x0, sum(new) OVER (PARTITION BY doc_id ORDER BY x0 ROWS UNBOUNDED PRECEDING) AS cluster FROM k) SELECT doc_id, CAST(cluster AS BIGINT) AS cluster, round(avg(x0), 6) AS mean, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY ALL", "words")
+@query("k AS (SELECT doc_id, n, x0, CASE WHEN x0 - lag(x0) OVER (PARTITION BY doc_id ORDER BY x0 NULLS FIRST, n) <= 60 THEN 0 ELSE 1 END AS new FROM words), c AS (SELECT doc_id, x0, sum(new) OVER (PARTITION BY doc_id ORDER BY x0 NULLS FIRST, n ROWS UNBOUNDED PRECEDING) AS cluster FROM k) SELECT doc_id, CAST(cluster AS BIGINT) AS cluster, round(avg(x0), 6) AS mean, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY ALL", "words")
 def w7_cluster_1d(load):
     return op.cluster_1d(load("words"), "x0", ["doc_id"], 60.0).withColumn("mean", F.round("mean", 6))
 
