@@ -4,10 +4,12 @@ import re
 from decimal import Decimal
 
 import pytest
+from oracle import connect, differences
 from pyspark.sql import functions as F
 
 from docops.functions import tables as t
 from docops.operators import tables as op
+from docops.plans.queries import ORACLES, QUERIES
 
 
 def values(spark, column, rows):
@@ -28,6 +30,26 @@ def test_money(spark):
     assert got == [["R$ 1,00"], ["R$ 1,50", "R$ 2,75"], []]
 
 
+def test_oracles_leave_nothing_to_chance(spark, tmp_path):
+    """Letters that grow in upper case push a marker behind the 200th; equal positions end up in one cluster."""
+    texts = ["ß" * 99 + "ererx", "ß" * 98 + "ererx", "ŉ" * 100 + "the ", None, " the x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect(str(tmp_path))
+    assert differences(QUERIES["p42_skip_page"](spark, str(tmp_path)), con, ORACLES["p42_skip_page"]) == ""
+    assert [r.skip for r in docs.orderBy("doc_id").select(t.skip_page(F.col("text"), ["the ", "ERER"]).alias("skip")).collect()] == [False, True, False, False, True]
+    rows = [(d, n, x) for d in range(300) for n, x in enumerate([0.0, 100.0, 100.0, 100.0, 300.0, 300.0, None])]
+    words = spark.createDataFrame(rows, "doc_id long, n long, x0 double")
+    words.write.parquet(f"{tmp_path}/words.parquet")
+    sql = ORACLES["w7_cluster_1d"].split("FROM {lineitem}")[-1]
+    sql = "WITH " + sql[sql.index("k AS (SELECT doc_id, n, x0") :]
+    got = op.cluster_1d(words, "x0", ["doc_id"], 60.0).withColumn("mean", F.round("mean", 6))
+    assert differences(got, connect(str(tmp_path)), sql) == ""
+    assert {(r.cluster, r.mean, r.n) for r in got.collect()} == {(1, None, 1), (2, 0.0, 1), (3, 100.0, 3), (4, 300.0, 2)}
+    # no order of the rows may leave equal values open
+    assert "ORDER BY x0 NULLS FIRST, n" in sql and "ORDER BY x0)" not in sql and "ORDER BY x0 ROWS" not in sql
+
+
 def test_safe_cells_and_keys(spark):
     assert values(spark, t.excel_safe(F.col("s")), ["=1+1", " -a\nb ", None, "ok"]) == ["'=1+1", "'-a b", "", "ok"]
     assert values(spark, t.norm_key(F.col("s")), [" Código  Nº 5% "]) == ["codigo n 5 pct "]
