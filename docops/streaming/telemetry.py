@@ -6,12 +6,10 @@ Windows keep state for the watermark's 24 hours, as long as the widest range tha
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import telemetry as t
 from ..operators import telemetry as op
@@ -64,28 +62,16 @@ def ingest_feedback(stream: DataFrame, good: str, rejected: str, checkpoint: str
 def expired_sessions(stream: DataFrame, ttl: int = 3600, delay: str = "0 seconds") -> DataFrame:
     """(session_id, file_id, ts) of sessions whose last use lies more than ttl seconds behind the stream's time.
 
-    ``stream`` has session_id, file_id and ts.  The state of a session is its last use and that use's file (of equal
-    times the larger id); every later use sets its timer back, and an earlier one that comes late does not.
+    ``stream`` has session_id, file_id and ts; uses without a time are left out.  A session is a window of its own that
+    every use makes longer and that ends when ttl is over; its row has the last use and that use's file (of equal times the
+    larger id), which an earlier one that comes late does not change.  A use more than ttl after the last one finds the
+    session expired and begins it anew: either is a row, however the uses fall into batches.  Late uses count as long as
+    they are not ttl behind themselves.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last, file = state.get
-            state.remove()
-            yield pd.DataFrame({"session_id": [key[0]], "file_id": pd.array([file], "Int64"), "ts": [pd.Timestamp(last, unit="us")]})
-            return
-        last, file = state.get if state.exists else (None, None)
-        for b in batches:
-            times = b.ts.to_numpy().astype("datetime64[us]").astype("int64").tolist()
-            for at, own in zip(times, b.file_id.tolist()):  # a key's rows are few: no frame is sorted for them
-                own = None if own is None or own != own else int(own)
-                if last is None or at > last or at == last and own is not None and (file is None or own > file):
-                    last, file = at, own
-        state.update((last, file))
-        state.setTimeoutTimestamp(max(last // 1000 + 1000 * ttl, state.getCurrentWatermarkMs() + 1))
-
     used = stream.withWatermark("ts", delay)
-    return used.groupBy("session_id").applyInPandasWithState(step, "session_id long, file_id long, ts timestamp", "last long, file_id long", "append", GroupStateTimeout.EventTimeTimeout)
+    over = F.session_window("ts", f"{ttl} seconds 1 microsecond")  # a session of exactly ttl is still in use
+    last = used.groupBy("session_id", over).agg(F.max(F.struct("ts", "file_id")).alias("last"))
+    return last.select("session_id", "last.file_id", "last.ts")
 
 
 def purged_files(expired: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -93,9 +79,7 @@ def purged_files(expired: DataFrame, inventory: DataFrame) -> DataFrame:
 
     A join of the stream with a table, which is read anew for every batch.
     """
-    # rows of the stateful operator are views of Arrow batches, which a shuffle can't take: an expression copies them
-    copied = expired.withColumn("file_id", F.when(F.col("file_id").isNotNull(), F.col("file_id")))
-    return copied.join(inventory.select("file_id", "path"), "file_id", "left").select("session_id", "file_id", "ts", "path")
+    return expired.join(inventory.select("file_id", "path"), "file_id", "left").select("session_id", "file_id", "ts", "path")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

@@ -131,3 +131,19 @@ def test_sessions_with_their_files(spark, tmp_path):
     assert seen[2] == {(1, 10, "in/10.pdf"), (3, 99, None), (4, None, None)} == seen[3]
     assert seen[4] == seen[2] | {(2, 12, "in/12.pdf")}
     assert seen[5] == seen[4] | {(5, 11, "in/11.pdf"), (6, 10, "in/10.pdf")}
+
+
+@pytest.mark.parametrize("together", [True, False])
+def test_a_session_used_after_it_expired(spark, tmp_path, together):
+    """Two rows, whether both uses come in one batch or not; a use at exactly the ttl goes on with the session, one without a time is none."""
+    at = lambda seconds: None if seconds is None else ZERO + dt.timedelta(seconds=seconds)
+    uses = [(1, 10, 0), (1, 11, 5000), (2, 12, 0), (2, 13, 3600), (3, 14, None), (4, 15, 8601)]
+    seen = "session_id long, file_id long, ts timestamp"
+    for rows in [uses, [(9, 19, 9000)]] if together else [*([u] for u in sorted(uses[:4], key=lambda u: u[2])), uses[4:], [(9, 19, 9000)]]:
+        spark.createDataFrame([(i, f, at(s)) for i, f, s in rows], seen).write.mode("append").parquet(f"{tmp_path}/in")
+        out = st.expired_sessions(spark.readStream.schema(seen).parquet(f"{tmp_path}/in"))
+        st.run(out, f"{tmp_path}/work", lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={n}"), "append")
+    got = [(r.session_id, r.file_id) for r in spark.read.schema(seen).parquet(f"{tmp_path}/out/*").collect()]
+    assert sorted(got) == [(1, 10), (1, 11), (2, 13)]
+    # the stream keeps sessions in Spark's own state, without a call of Python for each
+    assert "Python" not in out._jdf.queryExecution().analyzed().toString() and "Pandas" not in out._jdf.queryExecution().analyzed().toString()
