@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
@@ -21,12 +21,17 @@ def cleaned(cells: DataFrame) -> DataFrame:
 
 def drop_empty(cells: DataFrame) -> DataFrame:
     """Without the rows and columns of a table that have no value.  The cells of a table come together, once for all steps."""
-    rows, cols = Window.partitionBy("table_id", "row_pos"), Window.partitionBy("table_id", "col_pos")
+    cols = Window.partitionBy("table_id", "col_pos")
+    rows = _whole_row()  # in the order that with_labels needs: its windows by row and table sort no more
     filled = F.col("value") != ""
     kept = cleaned(cells).repartition("table_id").withColumn("_c", F.bool_or(filled).over(cols)).where("_c")
     return kept.withColumn("_r", F.bool_or(filled).over(rows)).where("_r").drop("_c", "_r")
 
 
+def _whole_row() -> WindowSpec:
+    return Window.partitionBy("table_id", "row_pos").orderBy("col_pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def detect_header(cells: DataFrame, min_fill: float = 0.7) -> DataFrame:
     """(table_id, header_row): the first row filled by min_fill, else the fullest with two values, else the first."""
     rows = cells.groupBy("table_id", "row_pos").agg(F.count_if(F.col("value") != "").alias("n"), F.count("*").alias("w"))
@@ -65,6 +70,11 @@ def unique_names(df: DataFrame, keys: list[str], order: list[Column], name: str
 
 def with_labels(cells: DataFrame, min_fill: float = 0.7) -> DataFrame:
     """Cells with their table's header_row (as detect_header) and their column's label, made unique, in one pass by table."""
+    return _labelled(_with_names(cells, min_fill))
+
+
+def _with_names(cells: DataFrame, min_fill: float = 0.7) -> DataFrame:
+    """Cells with their table's header_row, in that row with all its names and the cell's place among them."""
     table, row = Window.partitionBy("table_id"), Window.partitionBy("table_id", "row_pos")
     filled = cells.withColumn("_n", F.count_if(F.col("value") != "").over(row)).withColumn("_fill", F.col("_n") / F.count("*").over(row))
     first = F.min(F.when(F.col("_fill") >= min_fill, F.col("row_pos"))).over(table)
@@ -73,15 +83,18 @@ def with_labels(cells: DataFrame, min_fill: float = 0.7) -> DataFrame:
     header = F.col("row_pos") == F.col("header_row")
     place = F.row_number().over(Window.partitionBy("table_id", "row_pos").orderBy("col_pos")) - 1
     named = placed.withColumn("_place", place).withColumn("_name", F.when(header, t.header_label(F.col("value"), F.col("_place"))))
-    whole = Window.partitionBy("table_id", "row_pos").orderBy("col_pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    named = named.withColumn("_names", F.collect_list("_name").over(whole))  # empty but in the header row
+    return named.withColumn("_names", F.collect_list("_name").over(_whole_row()))  # empty but in the header row
+
+
+def _labelled(named: DataFrame) -> DataFrame:
+    header = F.col("row_pos") == F.col("header_row")
     label = F.max(F.when(header, F.get(t.unique_in_order(F.col("_names")), F.col("_place")))).over(Window.partitionBy("table_id", "col_pos"))
     return named.withColumn("label", label).drop("_place", "_name", "_names")
 
 
 def headers(cells: DataFrame) -> DataFrame:
     """(table_id, col_pos, label) of the detected header rows, labels made unique."""
-    return with_labels(cells).where("row_pos = header_row").select("table_id", "col_pos", "label")
+    return _labelled(_with_names(cells).where("row_pos = header_row")).select("table_id", "col_pos", "label")
 
 
 def body(cells: DataFrame) -> DataFrame:
@@ -90,9 +103,12 @@ def body(cells: DataFrame) -> DataFrame:
     return _without_repeats(below)
 
 
+def _same_as_labels() -> Column:
+    return F.bool_and(F.coalesce(F.col("value") == F.col("label"), F.lit(False))).over(Window.partitionBy("table_id", "row_pos"))
+
+
 def _without_repeats(marked: DataFrame) -> DataFrame:
-    same = F.bool_and(F.coalesce(F.col("value") == F.col("label"), F.lit(False))).over(Window.partitionBy("table_id", "row_pos"))
-    return marked.withColumn("_same", same).where("NOT _same").drop("_same", "label")
+    return marked.withColumn("_same", _same_as_labels()).where("NOT _same").drop("_same", "label")
 
 
 def drop_repeated_header(cells: DataFrame, labels: DataFrame) -> DataFrame:
@@ -102,16 +118,31 @@ def drop_repeated_header(cells: DataFrame, labels: DataFrame) -> DataFrame:
 
 def infer_types(cells: DataFrame, min_ratio: float = 0.6) -> DataFrame:
     """(table_id, col_pos, type): percent, money or number if enough values parse, else text."""
-    ok = t.parse_number(F.col("value")).isNotNull()
-    by = cells.groupBy("table_id", "col_pos").agg((F.count_if(ok) / F.count("*")).alias("ratio"), F.bool_or(F.trim("value").endswith("%")).alias("p"), F.bool_or(F.contains("value", F.lit("R$"))).alias("m"))
-    return by.select("table_id", "col_pos", F.when(F.col("ratio") < min_ratio, "text").when(F.col("p"), "percent").when(F.col("m"), "money").otherwise("number").alias("type"))
+    ratio, percent, money = _type_signs(t.parse_number(F.col("value")))
+    by = cells.groupBy("table_id", "col_pos").agg(ratio.alias("ratio"), percent.alias("p"), money.alias("m"))
+    return by.select("table_id", "col_pos", _type(min_ratio).alias("type"))
+
 
+def _type_signs(number: Column) -> tuple[Column, Column, Column]:
+    return F.count_if(number.isNotNull()) / F.count("*"), F.bool_or(F.trim("value").endswith("%")), F.bool_or(F.contains("value", F.lit("R$")))
 
-def typed(cells: DataFrame) -> DataFrame:
-    """Body cells with their column's type, a number where it is numeric, and a safe text where it isn't."""
-    both = cells.join(infer_types(cells), ["table_id", "col_pos"])
+
+def _type(min_ratio: float) -> Column:
+    return F.when(F.col("ratio") < min_ratio, "text").when(F.col("p"), "percent").when(F.col("m"), "money").otherwise("number")
+
+
+def typed(cells: DataFrame, min_ratio: float = 0.6) -> DataFrame:
+    """Body cells with their column's type (as infer_types), a number where it is numeric, and a safe text where it isn't.
+
+    The type comes by windows, so that the cells are made once; cells of no table or column are left out.
+    """
+    col = Window.partitionBy("table_id", "col_pos")
+    read = cells.where("table_id IS NOT NULL AND col_pos IS NOT NULL").withColumn("number", t.parse_number(F.col("value")))
+    some = F.count_if(F.col("number").isNotNull()).over(col) / F.count("*").over(col)
+    _, percent, money = _type_signs(F.col("number"))
+    both = read.withColumns({"ratio": some, "p": percent.over(col), "m": money.over(col)}).withColumn("type", _type(min_ratio)).drop("ratio", "p", "m")
     text = F.col("type") == "text"
-    return both.withColumn("number", F.when(~text, t.parse_number(F.col("value")))).withColumn("text", F.when(text, t.excel_safe(F.col("value"))))
+    return both.withColumn("number", F.when(~text, F.col("number"))).withColumn("text", F.when(text, t.excel_safe(F.col("value"))))
 
 
 def is_fee_table(cells: DataFrame, min_score: int = 4) -> DataFrame:
@@ -122,10 +153,21 @@ def is_fee_table(cells: DataFrame, min_score: int = 4) -> DataFrame:
     return cells.groupBy("table_id").agg(score.alias("score")).withColumn("is_fee", F.col("score") >= min_score)
 
 
+def table_widths(cells: DataFrame) -> DataFrame:
+    """display_width of whole tables' body and headers, in one pass."""
+    marked = with_labels(cells)
+    below = (F.col("row_pos") > F.col("header_row")) & ~F.col("_same")
+    longest = F.max(F.when(below, F.length("value"))).over(Window.partitionBy("table_id", "col_pos"))
+    return _width(marked.withColumn("_same", _same_as_labels()).withColumn("n", longest).where("row_pos = header_row"))
+
+
 def display_width(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """(table_id, col_pos, width): 1.15 times the longest text (labels with 3 more), from 10 to 60."""
     longest = cells.groupBy("table_id", "col_pos").agg(F.max(F.length("value")).alias("n"))
-    both = labels.join(longest, ["table_id", "col_pos"], "left")
+    return _width(labels.join(longest, ["table_id", "col_pos"], "left"))
+
+
+def _width(both: DataFrame) -> DataFrame:
     width = F.floor(F.greatest(F.length("label") + 3, F.coalesce("n", F.lit(0))) * 1.15).cast("int")
     return both.select("table_id", "col_pos", F.least(F.greatest(width, F.lit(10)), F.lit(60)).alias("width"))
 

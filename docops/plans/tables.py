@@ -202,8 +202,7 @@ def a26_is_fee_table(load):
 
 @query(f"{BD}, n AS (SELECT table_id, col_pos, max(length(value)) AS n FROM bd GROUP BY ALL) SELECT table_id, col_pos, least(greatest(CAST(floor(greatest(length(label) + 3, coalesce(n, 0)) * 1.15::DOUBLE) AS INT), 10), 60) AS width FROM lb LEFT JOIN n USING (table_id, col_pos)", C)
 def a28_display_width(load):
-    cells = whole(load)
-    return op.display_width(op.body(cells), op.headers(cells))
+    return op.table_widths(whole(load))
 
 
 @query("x AS (SELECT doc_id, CAST(page_number % 3 AS INT) AS priority, concat('s', CAST(page_number % 3 AS STRING)) AS strategy, sum(CASE WHEN bytes % 3 = 0 THEN 1 ELSE 0 END) AS n_rows FROM page_geometry GROUP BY ALL) SELECT doc_id, arg_min(strategy, priority) AS strategy FROM x WHERE n_rows > 0 GROUP BY doc_id", "page_geometry")

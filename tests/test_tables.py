@@ -223,3 +223,15 @@ def test_keys_of_all_documents(spark):
     plain = lambda x: re.sub(r"[ \t\n\v\f\r]+", " ", (x or "").strip(" ").lower()).translate(fold).replace("%", " pct ").replace("º", "")
     got = {r.doc_id: r.key for r in QUERIES["p37_norm_key_all"](spark, sf).collect()}
     assert any(len(x or "") >= 2000 for x in docs.values()) and got == {i: plain(x) for i, x in docs.items()}
+
+
+def test_cells_are_made_once(spark):
+    """Types and widths come by windows over one pass of the cells: no join of the cells with what is made of them."""
+    rows = [["Title", None, None, ""], ["Nome", "Valor", "Valor", ""], ["ana", "R$ 1,00", "10%", ""], ["Nome", "Valor", "Valor (2)", ""], ["=x" * 20, "R$ 2,50", "x", ""]]
+    cells = op.drop_empty(table(spark, rows))
+    typed = op.typed(op.body(cells))
+    assert sorted((r.row_pos, r.col_pos, r.type) for r in typed.collect()) == [(i, j, k) for i in (2, 4) for j, k in enumerate(("text", "money", "text"))]
+    widths = op.table_widths(cells)
+    assert sorted(widths.collect()) == sorted(op.display_width(op.body(cells), op.headers(cells)).collect()) == [(1, 0, 46), (1, 1, 10), (1, 2, 13)]
+    for df in (typed, widths):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
