@@ -305,8 +305,10 @@ LABELS = "x AS (SELECT table_id, col_pos, CASE col_pos WHEN 3 THEN 'Valor (2)' W
 
 def labels(load):
     """The rows of labels, blank and repeated ones named."""
-    named = load(C).where("row_pos = 1").select("table_id", "col_pos", t.header_label(F.col("value"), F.col("col_pos")).alias("name"))
-    return op.unique_names(named, ["table_id"], [F.col("col_pos")]).select("table_id", "col_pos", F.col("unique_name").alias("label"))
+    name = F.struct("col_pos", t.header_label(F.col("value"), F.col("col_pos")).alias("name"))
+    rows = load(C).where("row_pos = 1").groupBy("table_id").agg(F.sort_array(F.collect_list(name)).alias("row"))
+    unique = F.arrays_zip(F.col("row.col_pos").alias("col_pos"), t.unique_in_order(F.col("row.name")).alias("label"))
+    return rows.select("table_id", F.explode(unique).alias("c")).select("table_id", "c.col_pos", "c.label")
 
 
 @query(f"{LABELS}, k(target, label, score) AS (VALUES ('Valor', 'Valor', 1.15::DOUBLE), ('Taxa anual', 'Taxa', 8 / 14.0::DOUBLE + 0.15::DOUBLE), ('Qtd', 'Qtd', 1.15::DOUBLE)) SELECT table_id, target, col_pos, round(score, 9) AS score FROM x JOIN k USING (label)", C)
