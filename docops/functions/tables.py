@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,20 +35,30 @@ def parse_number(value: Column) -> Column:
     return F.when((text != "") & bare.rlike(NUMBER), F.when(percent, number / 100).otherwise(number)).cast("decimal(38,10)")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once; a column used twice in an expression is worked out twice."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def format_brl(raw: Column) -> Column:
     """``R$ n.nnn,cc``; what has that form already, or can't be read, stays as it is.
 
     The cents are what is left after the whole part, rounded: below zero they keep their sign, and they may be 100.
     """
     s = F.trim(raw)
-    t = F.trim(F.regexp_replace(s, r"^R\$\s*", ""))
-    t = F.when((F.instr(t, ",") > 0) & (F.instr(t, ".") > 0), F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", "."))
-    value = F.when(t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), t.try_cast("double"))
-    whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("long")
-    cents = F.bround((value - whole) * 100).cast("int").cast("string")
-    padded = F.when(F.length(cents) < 2, F.lpad(cents, 2, "0")).otherwise(cents)  # lpad would cut longer ones
-    shown = F.concat(F.lit("R$ "), F.translate(F.format_number(whole, 0), ",", "."), F.lit(","), padded)
-    return F.when(s.rlike(f"^{MONEY_BR}"), s).when(value.isNotNull(), shown).otherwise(raw)
+
+    def shown(value: Column, whole: Column) -> Column:
+        padded = lambda c: F.when(F.length(c) < 2, F.lpad(c, 2, "0")).otherwise(c)  # noqa: E731 (lpad would cut longer ones)
+        cents = _let(F.bround((value - whole) * 100).cast("int").cast("string"), padded)
+        return F.concat(F.lit("R$ "), F.translate(F.format_number(whole, 0), ",", "."), F.lit(","), cents)
+
+    both = lambda t: (F.instr(t, ",") > 0) & (F.instr(t, ".") > 0)
+    dotted = lambda t: F.when(both(t), F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", "."))
+    number = lambda t: F.when(t.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"), t.try_cast("double"))
+    whole = lambda v: F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("long")
+    value = _let(_let(F.trim(F.regexp_replace(s, r"^R\$\s*", "")), dotted), number)
+    written = _let(value, lambda v: F.when(v.isNotNull(), _let(whole(v), lambda w: shown(v, w))).otherwise(raw))
+    return F.when(s.rlike(f"^{MONEY_BR}"), s).otherwise(written)
 
 
 def extract_money(text: Column) -> Column:

@@ -235,3 +235,9 @@ def test_cells_are_made_once(spark):
     assert sorted(widths.collect()) == sorted(op.display_width(op.body(cells), op.headers(cells)).collect()) == [(1, 0, 46), (1, 1, 10), (1, 2, 13)]
     for df in (typed, widths):
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_amounts_are_read_once(spark):
+    """Each step of format_brl stands in its expression once: used twice it is worked out twice, and the code grows past what Java compiles."""
+    plan = spark.createDataFrame([("R$ 1,5",)], "s string").select(t.format_brl(F.col("s")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(step) for step in ("regexp_replace(", "bround(", "format_number(")] == [1, 1, 1]
