@@ -115,3 +115,18 @@ def test_hot_keys(spark, tmp_path, counted):
     asked = requests(spark, [("hot" if i % 3 == 0 else f"k{i}", 1) for i in range(900)])
     got = ReuseStore(spark, f"file://{tmp_path}/s", 4, "string").reuse(asked, compute)
     assert got.count() == 900 and seen.count("hot1") == 1 and len(seen) == 601
+
+
+def test_headers_of_files_of_any_length(spark, tmp_path):
+    """A file longer than an array can be has a header like the others; no more of it is read."""
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    for name, start, size in (("large.pdf", b"%PDF-1.7", 3 << 30), ("small.png", b"\x89PNG\r\n\x1a\n", 9000)):
+        with open(folder / name, "wb") as f:
+            f.write(start)
+            f.truncate(size)  # a hole: it takes no room
+    got = {r.path.rsplit("/", 1)[1]: (r.length, bytes(r.header)) for r in readers.read_headers(spark, str(folder)).collect()}
+    head = lambda start: start + bytes(8192 - len(start))
+    assert got == {"large.pdf": (3 << 30, head(b"%PDF-1.7")), "small.png": (9000, head(b"\x89PNG\r\n\x1a\n"))}
+    small = lambda df: df.where("length < 10000").select("path", "length", "modificationTime", "header").orderBy("path").collect()
+    assert small(readers.read_headers(spark, str(folder))) == small(readers.read_documents(spark, str(folder)))
