@@ -262,11 +262,18 @@ def write_tables(cells: DataFrame, path: str, tables: DataFrame, single: bool =
     """Cells (table_id, row_pos, col_pos, value) in one folder a sheet, or all in one sheet, rows counted on over its tables.
 
     ``tables`` (doc_id, table_id, is_fee) names the sheets; a name is shared by documents, which stay apart by doc_id.
+    Cells of no row, and tables of no document, are left out.  Cells are shuffled once, to where their table's first line
+    is known, and written from there.
     """
-    named = cells.join(name_tables(tables, single).select("doc_id", "table_id", "sheet"), "table_id")
-    rows = named.select("doc_id", "sheet", "table_id", "row_pos").distinct()
-    line = F.row_number().over(Window.partitionBy("doc_id", "sheet").orderBy("table_id", "row_pos")) - 1
-    placed = named.join(rows.withColumn("line", line), ["doc_id", "sheet", "table_id", "row_pos"])
+    names = name_tables(tables, single).select("doc_id", "table_id", "sheet").where("doc_id IS NOT NULL")
+    sizes = cells.where("row_pos IS NOT NULL").select("table_id", "row_pos").distinct().groupBy("table_id").agg(F.count("*").alias("n"))
+    # rows of the sheet's earlier tables; a table that is listed twice counts once
+    once = F.row_number().over(Window.partitionBy("sheet", "doc_id", "table_id").orderBy("table_id")) == 1
+    before = F.sum(F.when(F.col("once"), F.col("n")).otherwise(0)).over(Window.partitionBy("sheet", "doc_id").orderBy("table_id")) - F.col("n")
+    starts = names.join(sizes, "table_id").withColumn("once", once).withColumn("before", before).drop("once", "n")
+    # a row a table is hashed, so that cells are sorted once: by sheet first, as the writer wants its rows
+    place = F.dense_rank().over(Window.partitionBy("sheet", "table_id").orderBy("row_pos")) - 1
+    placed = cells.where("row_pos IS NOT NULL").join(starts.hint("shuffle_hash"), "table_id").withColumn("line", (F.col("before") + place).cast("int"))
     placed.select("doc_id", "sheet", "line", "col_pos", "value").write.mode("overwrite").partitionBy("sheet").parquet(path)
 
 

@@ -241,3 +241,16 @@ def test_amounts_are_read_once(spark):
     """Each step of format_brl stands in its expression once: used twice it is worked out twice, and the code grows past what Java compiles."""
     plan = spark.createDataFrame([("R$ 1,5",)], "s string").select(t.format_brl(F.col("s")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert [plan.count(step) for step in ("regexp_replace(", "bround(", "format_number(")] == [1, 1, 1]
+
+
+def test_sheets_of_repeated_tables(spark, tmp_path):
+    """Lines go on over a sheet's tables; cells are shuffled once for it.  A table listed twice has its lines once, cells of no row none."""
+    cells = spark.createDataFrame([(1, 5, 0, "a"), (1, 5, 1, "b"), (1, 9, 0, "c"), (2, 0, 0, "d"), (2, None, 0, "x"), (3, 1, 0, "e"), (4, 0, 0, "y")], "table_id long, row_pos int, col_pos int, value string")
+    tables = spark.createDataFrame([(7, 1, False), (7, 1, False), (7, 2, True), (8, 3, False), (9, 1, False), (None, 4, False)], "doc_id long, table_id long, is_fee boolean")
+    op.write_tables(cells, str(tmp_path / "one"), tables, True)
+    got = sorted((r.doc_id, r.line, r.value) for r in spark.read.parquet(str(tmp_path / "one")).collect())
+    assert got == sorted([(7, 0, "a"), (7, 0, "b"), (7, 1, "c")] * 2 + [(7, 2, "d"), (8, 0, "e"), (9, 0, "a"), (9, 0, "b"), (9, 1, "c")])
+    op.write_tables(cells, str(tmp_path / "many"), tables)
+    got = sorted((r.doc_id, r.sheet, r.line, r.value) for r in spark.read.parquet(str(tmp_path / "many")).collect())
+    want = [(d, s, k, v) for d, s in ((7, "Tabela 1"), (7, "Tabela 2"), (9, "Tabela 1")) for k, v in ((0, "a"), (0, "b"), (1, "c"))]
+    assert got == sorted([*want, (7, "Coparticipacao", 0, "d"), (8, "Tabela 1", 0, "e")])
