@@ -254,3 +254,12 @@ def test_sheets_of_repeated_tables(spark, tmp_path):
     got = sorted((r.doc_id, r.sheet, r.line, r.value) for r in spark.read.parquet(str(tmp_path / "many")).collect())
     want = [(d, s, k, v) for d, s in ((7, "Tabela 1"), (7, "Tabela 2"), (9, "Tabela 1")) for k, v in ((0, "a"), (0, "b"), (1, "c"))]
     assert got == sorted([*want, (7, "Coparticipacao", 0, "d"), (8, "Tabela 1", 0, "e")])
+
+
+def test_labels_take_one_shuffle(spark):
+    from docops.sources import readers
+
+    cells = table(spark, [["x", None, " "], ["", None, "C ", "D"], ["", "E", "F", "G"]])
+    got = readers.target_labels(cells)
+    assert [r.labels for r in got.collect()] == [["C", "D"]]
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
