@@ -123,3 +123,24 @@ def test_labels(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
     good, bad = [kept[x.doc_id] for x in labels if x.quality == 1], [kept[x.doc_id] for x in labels if x.quality == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.2
+
+
+def test_grams_take_little_memory():
+    """4-grams begin anew in each document, and a chunk takes a small multiple of its text to make them."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from docops.llm.chunks import Texts
+    from docops.llm.quality_lm import SPREAD, _grams
+
+    made = lambda texts: Texts(Texts.packed(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.binary())})))
+    texts = [b"", b"a", b"bc", b"", b"", b"def", b"\n\xffgh\x00", b"ijklm"]
+    padded = [b"\n\n\n" + x for x in texts]
+    want = [int.from_bytes(x[i : i + 4], "big") * SPREAD % 2**32 for x in padded for i in range(len(x) - 3)]
+    assert _grams(made(texts)).tolist() == want
+    large = made([bytes(range(200)) * 10] * 1000)
+    tracemalloc.start()
+    _grams(large)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * len(large.data)
