@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import ROW, Texts, blobs, by_chunk, chunked, cut, deltas, frame, groups, pack, sent, undeltas, unframe, unpack, with_answers
+from .chunks import ROW, Texts, blobs, by_chunk, chunked, cut, deltas, frame, give_back, groups, pack, sent, undeltas, unframe, unpack, with_answers
 from .shared import partitions, stored
 
 CHUNK = 4 << 20
@@ -93,6 +93,7 @@ def _scored(chunks: DataFrame, orders: dict[int, DataFrame], buckets: int) -> Da
     def distinct(t: pa.Table) -> pa.Table:
         key = np.unique(np.concatenate([undeltas(unpack(x)[0]) for p in t["payload"].to_pylist() for _, x in unframe(p)]))
         gram = (key * np.uint64(UNSPREAD) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        give_back()
         return pa.table({"bucket": pa.array([t["bucket"][0].as_py()] * len(key), pa.int32()), "spread": pa.array(key.astype(np.int64)), "k": pa.array(gram)})
 
     grams = asked.groupBy("bucket").applyInArrow(distinct, "bucket int, spread long, k long").withColumn("p", F.lit(1 / 256))
@@ -109,6 +110,7 @@ def _scored(chunks: DataFrame, orders: dict[int, DataFrame], buckets: int) -> Da
         known, bits = known[order], bits[order]
         reply = lambda x: pack(bits[np.searchsorted(known, undeltas(unpack(x)[0]).astype(np.int64))])
         back = [frame([(c, reply(x)) for c, x in unframe(p)]) for p in left["payload"].to_pylist()]
+        give_back()
         return pa.Table.from_arrays([left["part"].combine_chunks(), left["bucket"].combine_chunks(), pa.array(back, pa.binary())], ["part", "bucket", "payload"])
 
     def score(chunk: int, texts: Texts, got: dict[int, bytes]) -> list:
@@ -191,6 +193,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, weight:
         first = groups(key[order])
         gram = key[order][first] * np.uint64(UNSPREAD) & np.uint64(0xFFFFFFFF)
         sums = [np.add.reduceat(np.concatenate([p[i] for p in parts]).astype(np.int64)[order], first) for i in (1, 2)]
+        give_back()
         return pa.table({"k": pa.array(gram.astype(np.int64)), "c": pa.array(sums[0]), "rest": pa.array(sums[1])})
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,9 @@
 import random
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
 
 from docops.llm.shared import components
 
@@ -30,3 +35,25 @@ def test_size_of_tables_that_are_no_files(spark, tmp_path):
     joined = files.join(other, "doc_id").join(other.withColumnRenamed("n", "m"), "doc_id")
     assert owners(files) == owners(joined) == 16 and estimated(joined) < 10 * estimated(files) + 100_000
     assert owners(rows.join(other, "doc_id")) == 16
+
+
+WORKER = """
+import re
+import pyarrow as pa
+from docops.llm import chunks, ngram_join
+
+held = lambda: int(re.search(r"Private_Dirty:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+text = " ".join(f"w{i}" for i in range(300_000)).encode()[: 2 << 20]
+chunk = pa.table({"chunk": [1], "blob": pa.array([chunks.Texts.packed(pa.table({"doc_id": [1], "text": pa.array([text], pa.binary())}))])})
+before = held()
+for _, texts in chunks.blobs(chunk):
+    ngram_join._Sets(texts, 5, 44)
+powers = sum(x.nbytes for both in chunks._powers.values() for x in both) / 2**20
+print(held() - before - powers)
+"""
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="memory is read from /proc")
+def test_a_worker_keeps_no_freed_arrays_of_a_chunk():
+    run = subprocess.run([sys.executable, "-c", WORKER], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True)
+    assert float(run.stdout) < 16, run.stdout
