@@ -197,7 +197,11 @@ def chunked(docs: DataFrame, extra: tuple[str, ...] = (), size: int = 2 << 20, p
 
 
 def give_back() -> None:
-    """Freed arrays go back to the system, where the C library can; else a worker keeps some 100 MB of them while idle."""
+    """Powers go, which are soon made again, and freed arrays go back to the system, where the C library can.
+
+    Else an idle worker keeps some 100 MB of them.
+    """
+    _powers.clear()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

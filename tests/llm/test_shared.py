@@ -48,8 +48,7 @@ chunk = pa.table({"chunk": [1], "blob": pa.array([chunks.Texts.packed(pa.table({
 before = held()
 for _, texts in chunks.blobs(chunk):
     ngram_join._Sets(texts, 5, 44)
-powers = sum(x.nbytes for both in chunks._powers.values() for x in both) / 2**20
-print(held() - before - powers)
+print(held() - before)
 """
 
 
