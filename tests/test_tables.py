@@ -263,3 +263,19 @@ def test_labels_take_one_shuffle(spark):
     got = readers.target_labels(cells)
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1  # before it runs: then it shows two plans
     assert [r.labels for r in got.collect()] == [["C", "D"]]
+
+
+def test_page_fixtures_are_dealt_by_the_inputs_size(spark, monkeypatch, tmp_path):
+    from docops.plans import fixtures
+    from docops.sources.parts import dealt
+
+    spark.range(40_000).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    assert dealt(t, "id", 1000).rdd.getNumPartitions() > 32 and dealt(t, "id", 1000).count() == 40_000
+    assert dealt(t, "id") is t
+    rows = spark.createDataFrame([(1,)], "id long")
+    assert dealt(rows, "id", 1) is rows
+    # Spark would join the partitions of the small tables to one; given ones stay, and the window needs no other shuffle
+    monkeypatch.setattr(fixtures, "dealt", lambda df, key: dealt(df, key, 1000))
+    for name in ("p20_valid_pages", "w8_fill_section", "w9_stitch_fee_lines"):
+        assert fixtures.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 32, name
