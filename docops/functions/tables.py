@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Patterns and words of the fee schedules.
-CODE = r"\d\.\d{2}\.\d{5}"
+CODE, CODE_LENGTH = r"\d\.\d{2}\.\d{5}", 10
 MONEY_BR = r"R\$\s*\d{1,3}(?:\.\d{3})*,\d{2}"
 MONEY_NUM = r"\b\d{1,3}(?:[.,]\d{3})*[.,]\d{2}\b"
 SECTION = r"(?i)EXEMPLOS\s+DE\s+(?:EXAMES|CO(?:PARTICIPAÇÃO|PARTICIPA[CÇ][AÃ]O))|OUTROS\s+EXEMPLOS"
@@ -61,16 +61,21 @@ def format_brl(raw: Column) -> Column:
     return F.when(s.rlike(f"^{MONEY_BR}"), s).otherwise(written)
 
 
-def extract_money(text: Column) -> Column:
-    """All R$ amounts of a text, else all bare ones, in one form.
-
-    Each text is searched once for either; most bare amounts have the form already but for R$ and a comma.
-    """
+def marked_money(text: Column) -> Column:
+    """All R$ amounts of a text; empty without one."""
     none = F.array().cast("array<string>")
-    marked = F.when(F.contains(text, F.lit("R$")), F.regexp_extract_all(text, F.lit(f"({MONEY_BR})"), F.lit(1))).otherwise(none)
-    bare = F.regexp_extract_all(text, F.lit(f"({MONEY_NUM})"), F.lit(1))
+    return F.when(F.contains(text, F.lit("R$")), F.regexp_extract_all(text, F.lit(f"({MONEY_BR})"), F.lit(1))).otherwise(none)
+
+
+def bare_money(text: Column) -> Column:
+    """All bare amounts of a text in the form of R$ ones; most have it already but for R$ and a comma."""
     plain = lambda x: F.when(x.rlike(r"^(?:0|[1-9]\d{0,2})[.,]\d\d$"), F.concat(F.lit("R$ "), F.translate(x, ".", ","))).otherwise(format_brl(x))
-    once = F.transform(F.array(marked), lambda m: F.when(F.size(m) > 0, m).otherwise(F.transform(bare, plain)))
+    return F.transform(F.regexp_extract_all(text, F.lit(f"({MONEY_NUM})"), F.lit(1)), plain)
+
+
+def extract_money(text: Column) -> Column:
+    """All R$ amounts of a text, else all bare ones, in one form.  Each text is searched once for either."""
+    once = F.transform(F.array(marked_money(text)), lambda m: F.when(F.size(m) > 0, m).otherwise(bare_money(text)))
     return F.when(text.isNotNull(), F.get(once, 0))
 
 
@@ -82,6 +87,10 @@ def norm_key(text: Column) -> Column:
 
 #: Of each alternative of NOTE and SECTION a part that a line has to hold, in lower case: most lines hold none.
 NOTE_PARTS, SECTION_PART = ["obs", "exce", "referem-se", "haver", "anexo"], "exemplos"
+#: Header tokens by a part that they have in common.
+HEADER_PARTS = {p: [x for x in HEADER_TOKENS if next((q for q in ("co", "0%") if q in x), "") == p] for p in ("co", "0%", "")}
+#: The same of a total, without letters that others than a to z can become in upper case (dotless i, the ligature of s and t).
+TOTAL_PART = "otal de copar"
 
 
 def line_class(line: Column, low: Column | None = None) -> Column:
@@ -91,13 +100,19 @@ def line_class(line: Column, low: Column | None = None) -> Column:
     """
     low = F.lower(line) if low is None else low
     has = lambda part: F.contains(low, F.lit(part))
-    hits = sum((F.when(has(t), 1).otherwise(0) for t in HEADER_TOKENS), F.lit(0))
+    hits = F.lit(0)
+    for part, tokens in HEADER_PARTS.items():
+        found = sum((F.when(has(t), 1).otherwise(0) for t in tokens), F.lit(0))
+        hits = hits + (F.when(has(part), found).otherwise(0) if part else found)
     noted = has(NOTE_PARTS[0])
     for part in NOTE_PARTS[1:]:
         noted = noted | has(part)
+    section = has(SECTION_PART) & line.rlike(SECTION)
+    total = has(TOTAL_PART) & F.contains(F.upper(line), F.lit("TOTAL DE COPARTICI"))
+    coded = F.when(section, "section").when(total, "total").otherwise("item")  # a line with a code is no header
     return (
-        F.when(noted & line.rlike(NOTE), "note").when((hits >= 3) & ~line.rlike(CODE), "header").when(has(SECTION_PART) & line.rlike(SECTION), "section")
-        .when(F.contains(F.upper(line), F.lit("TOTAL DE COPARTICI")), "total").when(F.trim(line).rlike(f"^{CODE}"), "item").otherwise("other")
+        F.when(noted & line.rlike(NOTE), "note").when(F.trim(line).rlike(f"^{CODE}"), coded).when((hits >= 3) & ~line.rlike(CODE), "header")
+        .when(section, "section").when(total, "total").otherwise("other")
     )
 
 
@@ -115,9 +130,19 @@ def after_code(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(line), f"^{CODE}", ""))
 
 
+def item_parts(line: Column) -> tuple[Column, Column]:
+    """item_code and after_code of a line that is known to begin with a code: codes are of one length."""
+    text = F.trim(line)
+    return F.substring(text, 1, CODE_LENGTH), F.trim(F.substring(text, F.lit(CODE_LENGTH + 1), F.length(text)))
+
+
+def one_spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.trim(text), r"\s{2,}", " "))
+
+
 def without_money(text: Column) -> Column:
     """A text without its amounts, spaces squeezed."""
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(text, MONEY_BR, ""), MONEY_NUM, "")), r"\s{2,}", " "))
+    return one_spaced(F.regexp_replace(F.regexp_replace(text, MONEY_BR, ""), MONEY_NUM, ""))
 
 
 def parse_item_line(line: Column) -> Column:

@@ -204,21 +204,32 @@ def stitch_fee_lines(lines: DataFrame) -> DataFrame:
     their class; amounts are read of those lines only that belong to an item or a total.
     """
     low = lines.select("doc_id", "line_pos", "line", F.lower("line").alias("low"))
-    kinds = low.select("doc_id", "line_pos", "line", t.line_class(F.col("line"), F.col("low")).alias("kind"))
+    classed = low.select("doc_id", "line_pos", "line", t.line_class(F.col("line"), F.col("low")).alias("class"))
+    # headers and notes go before the sort; a filter would be moved below the class and work it out again
+    met = F.when(F.col("class").isin("note", "header"), F.array().cast("array<string>")).otherwise(F.array("class"))
+    kinds = classed.select("doc_id", "line_pos", "line", F.explode(met).alias("kind"))
     w = Window.partitionBy("doc_id").orderBy("line_pos").rowsBetween(Window.unboundedPreceding, 0)
     starts = F.when(F.col("kind").isin("item", "total", "section"), F.struct("line_pos", "kind"))
-    joins = ~F.col("kind").isin("note", "header", "section")
-    island = fill_section(kinds).withColumn("start", F.last(starts, ignorenulls=True).over(w)).where(joins & F.col("start.kind").isin("item", "total")).withColumn("island", F.col("start.line_pos"))
+    title = F.when(F.col("kind") == "section", F.trim("line"))
+    filled = kinds.select("*", F.last(title, ignorenulls=True).over(w).alias("section"), F.last(starts, ignorenulls=True).over(w).alias("start"))
+    island = filled.where(F.col("kind") != "section").where(F.col("start.kind").isin("item", "total")).withColumn("island", F.col("start.line_pos"))
     own = F.col("kind") == "item"
-    rest = F.when(own, t.after_code(F.col("line"))).otherwise(F.trim("line"))
-    read = island.withColumn("rest", rest).withColumn("money", t.extract_money(F.col("rest")))
-    money = F.when(own, F.slice("money", 1, 5)).otherwise(F.col("money"))
-    text = F.when(own, t.without_money(F.col("rest"))).when(F.size("money") == 0, F.col("rest"))
-    part = F.struct("line_pos", "kind", F.when(own, t.item_code(F.col("line"))).alias("code"), money.alias("money"), text.alias("text"), "section")
-    got = read.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(part)).alias("p")).withColumn("head", F.col("p")[0]).where("head.kind IN ('item', 'total')")
+    code, after = t.item_parts(F.col("line"))
+    read = island.withColumn("rest", F.when(own, after).otherwise(F.trim("line"))).withColumn("marked", t.marked_money(F.col("rest")))
+    money = F.when(F.size("marked") > 0, F.col("marked")).otherwise(F.coalesce(t.bare_money(F.col("rest")), F.col("marked")))  # a null line has none
+    # without its R$ amounts a line has mostly no figures left to search for bare ones
+    bare = F.when(F.size("marked") > 0, F.regexp_replace("rest", t.MONEY_BR, "")).otherwise(F.col("rest"))
+    read = read.withColumn("money", money).withColumn("bare", F.when(own, bare))
+    figures = F.contains("bare", F.lit(",")) | F.contains("bare", F.lit("."))
+    said = t.one_spaced(F.when(figures, F.regexp_replace("bare", t.MONEY_NUM, "")).otherwise(F.col("bare")))
+    text = F.when(own, said).when(F.size("money") == 0, F.col("rest"))
+    head = F.when(F.col("line_pos").eqNullSafe(F.col("island")), F.coalesce("section", F.lit("")))
+    part = F.struct("line_pos", "kind", F.when(own, code).alias("code"), F.when(own, F.slice("money", 1, 5)).otherwise(F.col("money")).alias("money"), F.nullif(text, F.lit("")).alias("text"), head.alias("section"))
+    parts = read.select("doc_id", "island", part.alias("part"))
+    got = parts.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list("part")).alias("p")).withColumn("head", F.col("p")[0]).where("head.kind IN ('item', 'total')")
     total = F.col("head.kind") == "total"
-    amounts = F.when(total, F.slice(F.col("head.money"), 1, 4)).otherwise(F.slice(F.flatten(F.transform("p", lambda x: x["money"])), 1, 5))
-    words = F.array_join(F.filter(F.transform("p", lambda x: x["text"]), lambda x: x != ""), " ")
+    amounts = F.when(total, F.slice(F.col("head.money"), 1, 4)).otherwise(F.slice(F.flatten("p.money"), 1, 5))
+    words = F.array_join("p.text", " ")
     at = lambda i: F.coalesce(F.get("amounts", F.lit(i)), F.lit(""))
     rated = [F.when(total, at(i - 1)).otherwise(at(i)) for i in range(1, 5)]
     return got.withColumn("amounts", amounts).select(

@@ -279,3 +279,30 @@ def test_page_fixtures_are_dealt_by_the_inputs_size(spark, monkeypatch, tmp_path
     monkeypatch.setattr(fixtures, "dealt", lambda df, key: dealt(df, key, 1000))
     for name in ("p20_valid_pages", "w8_fill_section", "w9_stitch_fee_lines"):
         assert fixtures.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 32, name
+
+
+def test_fee_lines_take_one_window(spark):
+    """Section and record come by one pass of a document's lines; headers and notes don't enter it.  A line's class does not depend on how it is found."""
+    rows = [
+        "* Obs: nada", "1.01.00001 antes R$ 1,00", "OUTROS  EXEMPLOS", "codigo procedimento 20%", "2.02.00002  Proc  R$ 1.234,50  e 3,10 fim", "co-participação 40%", "com  contraste", None,
+        "* Obs: valores", "5,00 0012.50", "", " 3.03.00003", "R$ 9", "7.777,10", "3.03.0000345x", "a 1.01.00001 codigo 20% 30%", "\ufb06otal de copartici R$ 1,00 R$ 2,00", "3,00",
+        "TOTAL DE COPART\u0131CIPACAO 5,00", "OUTROS EXEMPLOS", "solto 1,00", "4.04.00004 TOTAL DE COPARTICIPAÇÃO 1,00", "5.05.00005 codigo procedimento valor unimed 20%", "6.06.00006 1.01.00001 R$ x, y.",
+    ]
+    lines = spark.createDataFrame([(1, i, x) for i, x in enumerate(rows)] + [(2, None, "1.01.00001 x")], "doc_id long, line_pos int, line string")
+    df = op.stitch_fee_lines(lines)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    got = sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0], -1 if r[1] is None else r[1]))
+    s, s2, total = "OUTROS  EXEMPLOS", "OUTROS EXEMPLOS", "Total de Coparticipação"
+    want = [  # doc, line, section, code, description, amounts
+        (1, 1, "", "1.01.00001", "antes", "R$ 1,00"),
+        (1, 4, s, "2.02.00002", "Proc e fim com  contraste", "R$ 1.234,50", "R$ 5,00"),  # the null line ends nothing, takes nothing
+        (1, 11, s, "3.03.00003", "R$ 9", "R$ 7.777,10"),
+        (1, 14, s, "3.03.00003", "45x", "R$ 1,01"),
+        (1, 16, s, "", total, "", "R$ 1,00", "R$ 2,00"),
+        (1, 18, s, "", total, "", "R$ 5,00"),
+        (1, 21, s2, "", total, "", "R$ 4,04", "R$ 1,00"),
+        (1, 22, s2, "5.05.00005", "codigo procedimento valor unimed 20%"),
+        (1, 23, s2, "6.06.00006", ".00001 R$ x, y.", "R$ 1,01"),
+        (2, None, "", "1.01.00001", "x"),
+    ]
+    assert got == [(*r, *[""] * (10 - len(r)), "total" if r[4] == total else "procedimento") for r in want]
