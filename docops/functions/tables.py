@@ -20,8 +20,10 @@ FOLDED = ("çáàãâéêíóôõú", "caaaaeeiooou")
 
 def excel_safe(value: Column) -> Column:
     """One line, trimmed; a leading = + - or @ gets an apostrophe so that no program takes it for a formula."""
-    text = F.trim(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"[\r\n]", " "))
-    return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
+    raw = F.coalesce(value.cast("string"), F.lit(""))
+    broken = F.contains(raw, F.lit("\n")) | F.contains(raw, F.lit("\r"))
+    text = F.trim(F.when(broken, F.regexp_replace(raw, r"[\r\n]", " ")).otherwise(raw))
+    return F.when(F.substring(text, 1, 1).isin("=", "+", "-", "@"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
 def parse_number(value: Column) -> Column:

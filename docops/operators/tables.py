@@ -255,17 +255,26 @@ def name_tables(tables: DataFrame, single: bool = False) -> DataFrame:
     return tables.withColumn("sheet", F.lit("Tabela 1") if single else F.when(F.col("is_fee"), fee).otherwise(plain))
 
 
+def wide_rows(cells: DataFrame, columns: int) -> DataFrame:
+    """(table_id, row_pos, 0, 1, ...): a row's values, safe for spreadsheets; of two cells at one place the greater stands."""
+    # values are made safe before they are dealt to columns, whose aggregates use what they are given several times
+    safe = cells.select("table_id", "row_pos", "col_pos", t.excel_safe(F.col("value")).alias("value"))
+    return safe.groupBy("table_id", "row_pos").agg(*[F.max(F.when(F.col("col_pos") == i, F.col("value"))).alias(str(i)) for i in range(columns)])
+
+
 def write_tables_csv(cells: DataFrame, path: str, columns: int | None = None) -> None:
     """All rows as text without a header, fields parted by ``;``, every value safe for spreadsheets.
 
     Lines have as many fields as the widest table has columns; with ``columns`` as many as that, and a table that has
     more is an error, as its values would be lost.
     """
-    last = cells.agg(F.max("col_pos")).first()[0]
+    beyond = cells if columns is None else cells.where(F.col("col_pos") >= columns)
+    last = beyond.agg(F.max("col_pos")).first()[0]
     widest = 0 if last is None else last + 1
     if columns is not None and columns < widest:
         raise ValueError(f"a table has {widest} columns, more than {columns}")
-    wide = cells.groupBy("table_id", "row_pos").pivot("col_pos", list(range(columns or max(widest, 1)))).agg(F.first(t.excel_safe(F.col("value"))))
+    # the sort reads its input twice, once for the bounds of its ranges: from a shuffle, so that rows are made once
+    wide = wide_rows(cells, columns or max(widest, 1)).repartition("row_pos", "table_id")
     wide.orderBy("table_id", "row_pos").drop("table_id", "row_pos").write.mode("overwrite").csv(path, sep=";", header=False)
 
 

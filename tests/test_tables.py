@@ -306,3 +306,19 @@ def test_fee_lines_take_one_window(spark):
         (2, None, "", "1.01.00001", "x"),
     ]
     assert got == [(*r, *[""] * (10 - len(r)), "total" if r[4] == total else "procedimento") for r in want]
+
+
+def test_csv_values_are_made_once(spark, tmp_path):
+    """A value is made safe once, whatever the number of columns; wide tables and cells of no column are found as before."""
+    values = ["\r=x", " +1\n", "a\r\nb", None, "-", "", "@", "'", "\n", "x=\n", "\u00e9=", "\t=1"]
+    cells = spark.createDataFrame([(1, 0, i, v) for i, v in enumerate(values)] + [(2, 0, 1, "b"), (2, 1, None, "lost"), (2, 2, 0, "1"), (2, 2, 0, "2")], "table_id long, row_pos int, col_pos int, value string")
+    wide = op.wide_rows(cells, 12)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (wide, op.wide_rows(cells, 1))]
+    assert plans[0].count("regexp_replace(") == plans[1].count("regexp_replace(") > 0
+    rows = {(r[0], r[1]): list(r)[2:] for r in wide.collect()}
+    assert rows[1, 0] == ["'=x", "'+1", "a  b", "", "'-", "", "'@", "'", "", "x=", "\u00e9=", "\t=1"]
+    assert [rows[2, i][:2] for i in range(3)] == [[None, "b"], [None, None], ["2", None]]
+    with pytest.raises(ValueError, match="12 columns, more than 11"):
+        op.write_tables_csv(cells, str(tmp_path / "no"), 11)
+    op.write_tables_csv(cells.where("table_id = 2"), str(tmp_path / "csv"))
+    assert "".join(f.read_text() for f in sorted((tmp_path / "csv").glob("part-*"))).splitlines() == [";b", ";", "2;"]
